@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,10 +40,46 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with the lineage cut: written once as Parquet into the shared folder and read again.
+
+    All executors see that folder, so a lost executor loses nothing. Spark knows the size of what was written, so a
+    later join broadcasts it only if it is small. `forget` or the end of the process removes the files.
+    """
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    if not _WRITTEN:
+        atexit.register(forget_all)
+    _WRITTEN[where] = spark
+    out = spark.read.schema(df.schema).parquet(where)
+    out._cut_at = where
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files behind a table made by `cut`; nothing may read it afterwards."""
+    where = getattr(df, "_cut_at", None)
+    if where and _WRITTEN.pop(where, None):
+        _remove(df.sparkSession, where)
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_all() -> None:
+    """Remove all that `cut` has written, as far as sessions are still there."""
+    for where, spark in list(_WRITTEN.items()):
+        try:
+            _remove(spark, where)
+        except Exception:  # noqa: BLE001 - the session is gone
+            pass
+    _WRITTEN.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
