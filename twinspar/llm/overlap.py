@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sets import class_key, jaccard_at_least, mix64, spread_join
+from ..session import cut
+from .sets import jaccard_at_least, key128, mix64, spread_join
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,10 @@ def segment_codes(cid: pa.Array, name: np.ndarray, items: pa.ListArray, p: Overl
     )
 
 
+#: The key of a class, a name or a digest: 128 bits.
+KEY = "struct<a:bigint,b:bigint>"
+
+
 def _blocks(classes: DataFrame, p: OverlapParams) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,29 +91,39 @@ def _blocks(classes: DataFrame, p: OverlapParams) -> DataFrame:
                 b = batch.slice(at, 2000)
                 yield segment_codes(b.column(0), np.asarray(b.column(1), dtype=np.int64), b.column(2), p)
 
-    return classes.select("cid", F.xxhash64("name"), "items").mapInArrow(kernel, "code bigint, cid binary, fp bigint, n int")
+    return classes.select("cid", "nk.a", "items").mapInArrow(kernel, f"code bigint, cid {KEY}, fp bigint, n int")
 
 
-def prepare(df: DataFrame, p: OverlapParams) -> DataFrame:
-    """Rows that can take part, with the key of their class (null where there is no name).
+def prepare(df: DataFrame, p: OverlapParams, keep: list[str] = []) -> DataFrame:
+    """The rows that can take part, written once: id, train, nk and dk (keys of name and digest, null where there is none), cid (key of the class of
+    equal name and items), items, and the columns `keep`.
 
-    df: id, train (BOOLEAN, null = in no split), name, digest (null = none), items (ARRAY<BIGINT>, distinct, sorted, no
-    nulls; null = none).
+    df: id, train (BOOLEAN, null = in no split), name, digest (null = none), items (ARRAY<BIGINT>, distinct, sorted, no nulls; null = none).
     """
-    named = F.when(F.col("name").isNotNull(), class_key(F.col("name"), F.array_join("items", ",")))
-    return df.where(F.col("train").isNotNull() & (F.size("items") >= p.min_items)).withColumn("cid", named)
+    has = lambda c, *parts: F.when(F.col(c).isNotNull(), key128(*map(F.col, parts)))
+    rows = df.where(F.col("train").isNotNull() & (F.size("items") >= p.min_items))
+    return cut(rows.select("id", "train", has("name", "name").alias("nk"), has("digest", "digest").alias("dk"), has("name", "name", "items").alias("cid"), "items", *keep))
+
+
+def on_both_sides(rows: DataFrame, key: str) -> DataFrame:
+    """The values of `key` that training rows have and held-out rows have: a pre-aggregated group-by of narrow rows."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("h")).where("t and h").select(key)
 
 
 def class_pairs(rows: DataFrame, p: OverlapParams) -> DataFrame:
-    """cid_t, cid_h: classes with a training row and classes with a held-out row that overlap, themselves included."""
-    classes = rows.where("cid is not null").groupBy("cid", "name", "items").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("h"))
+    """cid_t, cid_h: classes with a training row and classes with a held-out row that overlap, themselves included.
+
+    Only classes whose name is on both sides are fingerprinted.
+    """
+    named = rows.join(on_both_sides(rows, "nk"), "nk").groupBy("cid", "nk", "items").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("h"))
+    classes = cut(named)
     same = classes.where("t and h").select(F.col("cid").alias("cid_t"), F.col("cid").alias("cid_h"))
     side = lambda flag, tag: _blocks(classes.where(flag), p).withColumnsRenamed({c: f"{c}_{tag}" for c in ("cid", "fp", "n")})
     near = F.bit_count(F.col("fp_t").bitwiseXOR(F.col("fp_h"))) * (p.num + p.den) <= (F.col("n_t") + F.col("n_h")) * (p.den - p.num)
     candidates = side("t", "t").join(side("h", "h"), "code").where((F.col("cid_t") != F.col("cid_h")) & near).select("cid_t", "cid_h").distinct()
-    sets = lambda tag: classes.where(tag).select(F.col("cid").alias(f"cid_{tag}"), F.col("name").alias(f"name_{tag}"), F.col("items").alias(f"items_{tag}"))
-    verified = candidates.join(sets("t"), "cid_t").join(sets("h"), "cid_h").where((F.col("name_t") == F.col("name_h")) & jaccard_at_least(F.col("items_t"), F.col("items_h"), p.num, p.den))
-    return same.unionByName(verified.select("cid_t", "cid_h"))
+    sets = lambda tag: classes.where(tag).select(F.col("cid").alias(f"cid_{tag}"), F.col("nk").alias(f"nk_{tag}"), F.col("items").alias(f"items_{tag}"))
+    verified = candidates.join(sets("t"), "cid_t").join(sets("h"), "cid_h").where((F.col("nk_t") == F.col("nk_h")) & jaccard_at_least(F.col("items_t"), F.col("items_h"), p.num, p.den))
+    return cut(same.unionByName(verified.select("cid_t", "cid_h")))
 
 
 def overlapping_pairs(df: DataFrame, p: OverlapParams = OverlapParams()) -> DataFrame:
@@ -118,21 +133,22 @@ def overlapping_pairs(df: DataFrame, p: OverlapParams = OverlapParams()) -> Data
     fits both ways is called 'digest'. Hot digests and classes are split. An empty input gives no rows.
     """
     rows = prepare(df, p)
-    side = lambda t, tag: rows.where(F.col("train") == t).select(F.col("id").alias(f"id_{tag}"), F.col("digest").alias(f"digest_{tag}"), F.col("cid").alias(f"cid_{tag}"))
-    train, held = side(True, "t"), side(False, "h")
-    equal = spread_join(train.where("digest_t is not null").select("id_t", F.col("digest_t").alias("digest")), held.where("digest_h is not null").select("id_h", F.col("digest_h").alias("digest")), "digest")
+    side = lambda r, t, tag: r.where(F.col("train") == t).select(F.col("id").alias(f"id_{tag}"), F.col("dk").alias(f"dk_{tag}"), F.col("cid").alias(f"cid_{tag}"))
+    shared = cut(rows.select("id", "train", "dk").join(on_both_sides(rows, "dk"), "dk"))
+    equal = spread_join(shared.where("train").select("dk", F.col("id").alias("id_t")), shared.where("not train").select("dk", F.col("id").alias("id_h")), "dk")
     pairs = class_pairs(rows, p)
-    by_name = spread_join(pairs.join(train.where("cid_t is not null"), "cid_t").drop("cid_t"), held.where("cid_h is not null"), "cid_h").where(~F.equal_null("digest_t", "digest_h") | F.col("digest_t").isNull())
+    both = cut(pairs.join(side(rows, True, "t"), "cid_t").drop("cid_t"))
+    by_name = spread_join(both, side(rows, False, "h").join(pairs.select("cid_h").distinct(), "cid_h"), "cid_h").where(~F.equal_null("dk_t", "dk_h") | F.col("dk_t").isNull())
     return equal.select("id_t", "id_h", F.lit("digest").alias("by")).unionByName(by_name.select("id_t", "id_h", F.lit("name").alias("by")))
 
 
 def overlap_report(df: DataFrame, groups: list[str], p: OverlapParams = OverlapParams()) -> DataFrame:
     """Per `groups` (columns of the held-out rows, such as split and source): held-out rows, and how many of them overlap with
     training by digest, by name and set, and in any way. Counted per row, from classes; no pair is written out."""
-    rows = prepare(df, p)
-    digests = rows.where("train and digest is not null").select("digest").distinct().withColumn("d", F.lit(1))
+    rows = prepare(df, p, groups)
+    digests = on_both_sides(rows, "dk").withColumn("d", F.lit(1))
     near = class_pairs(rows, p).select(F.col("cid_h").alias("cid")).distinct().withColumn("c", F.lit(1))
-    held = rows.where("not train").select("digest", "cid", *groups).join(digests, "digest", "left").join(near, "cid", "left")
+    held = rows.where("not train").select("dk", "cid", *groups).join(digests, "dk", "left").join(near, "cid", "left")
     count = lambda c: F.count_if(c).alias
     d, c = F.col("d").isNotNull(), F.col("c").isNotNull()
     return held.groupBy(*groups).agg(F.count("*").alias("rows_held"), count(d)("by_digest"), count(c)("by_name"), count(d | c)("overlapping"))

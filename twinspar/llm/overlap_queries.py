@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import dataset_of, digest_of, hex_number, source_name, split_of
+from ..functions.names import dataset_of, digest_of, source_name, split_of
 from ..session import table
 from .overlap import overlap_report, overlapping_pairs
 
 
-def block_offsets(bb_list: Column, start: Column) -> Column:
+_ADDRESS = re.compile(r"(?:0x)?([0-9a-f]{1,16})$")
+
+
+def _offsets(listed: str | None, start: str | None) -> list[int] | None:
     """The distinct block addresses of a ';' list minus the start, sorted; parts that are no address are left out."""
-    text = F.regexp_replace(F.lower(bb_list), r"0x|\s+", "")
-    number = lambda x: F.conv(x, 16, -10).try_cast("bigint")
-    parts = F.filter(F.split(text, "[;,]"), lambda x: x != "")
-    parts = F.when(text.rlike("^[0-9a-f;,]*$"), parts).otherwise(F.filter(parts, lambda x: x.rlike("^[0-9a-f]{1,16}$")))
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: number(x) - start)))
+    if listed is None or start is None or not (at := _ADDRESS.match(start.strip().lower())):
+        return None
+    base = int(at[1], 16)
+    try:
+        found = {int(x, 16) for x in listed.split(";") if x}
+    except ValueError:
+        found = {int(m[1], 16) for x in listed.lower().replace(",", ";").split(";") if (m := _ADDRESS.match(x.strip()))}
+    wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    return sorted({wrap(x - base) for x in found})
+
+
+def block_offsets(df: DataFrame, listed: str, start: str) -> DataFrame:
+    """df with `items`, the block offsets, in place of the columns `listed` and `start`."""
+    keep = [c for c in df.columns if c not in (listed, start)]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(keep)
+            items = [_offsets(a, b) for a, b in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(items, pa.list_(pa.int64()))], names=[*keep, "items"])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, listed, start).mapInArrow(kernel, f"{schema}, items array<bigint>")
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "flowchart")
-    split = split_of(F.col("split_name"))
-    return f.select(
+    """id, split, train, name, digest, items, dataset of the rows of flowchart that are in a split."""
+    f = table(spark, d, "flowchart").select("func_id", "split_name", "func_name", "hashopcodes", "idb_path", "bb_list", "start_ea")
+    f = f.withColumn("split", split_of(F.col("split_name"))).where("split is not null")
+    rows = f.select(
         F.col("func_id").alias("id"),
-        split.alias("split"),
-        (split == "training").alias("train"),
+        "split",
+        (F.col("split") == "training").alias("train"),
         source_name(F.col("func_name")).alias("name"),
         digest_of(F.col("hashopcodes")).alias("digest"),
-        block_offsets(F.col("bb_list"), hex_number(F.col("start_ea"))).alias("items"),
         dataset_of(F.col("idb_path")).alias("dataset"),
+        "bb_list",
+        "start_ea",
     )
+    return block_offsets(rows, "bb_list", "start_ea")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,11 +72,4 @@ def report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": found, "p2_report": report}
 
-#: Source-level name, digest, split and block offsets in SQL, for the oracle.
-ROWS_SQL = r"""
-    WITH affix AS (SELECT func_id, idb_path, split_name, hashopcodes, bb_list, start_ea,
-             regexp_replace(regexp_replace(trim(func_name, E' \t\n\r'), '^(\.|j_|__imp_|thunk_|_(Z[\dN])?)+', '\2'),
-                '(\.(cold|isra|constprop|part|lto_priv|llvm|clone)(\.\d+)*|\.\d+|@plt|@{1,2}[A-Za-z_][A-Za-z0-9_.]*)+$', '') AS b
-           FROM flowchart)
-"""
 SQL = {}
