@@ -2,10 +2,10 @@
 
 Each set gets bands*rows minwise hashes; a band is the hash of `rows` of them, and sets that share any band bucket are
 candidates. They are deduplicated and verified on the sets exactly, in whole numbers. A pair at the threshold t is
-missed with probability (1 - t^rows)^bands, less than 1e-5 with the parameters used here; a pair above it more rarely.
+missed with probability (1 - t^rows)^bands, about 1e-5 with the parameters used here; a pair above it more rarely.
 
-Equal sets are one class from the start: they need no search, and a group of copies costs one row. Hot buckets are
-split by `spread_join`.
+Equal sets are one class from the start: they need no search, and a group of copies costs one row. Buckets are
+joined by their codes with adaptive splitting of skewed partitions, and hot classes are split by `spread_join`.
 
 Defined results. Null sets and empty sets are in no pair. Repeated elements count once. Two records with equal sets have
 overlap 1 and are a pair. An empty table has no pairs.
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sets import mix64, spread_join
+from ..session import cut
+from .sets import jaccard_at_least, key128, mix64, spread_join
 
 
 @dataclass(frozen=True)
@@ -66,12 +67,21 @@ def list_bands(items: pa.ListArray, p: Bands) -> np.ndarray:
 
 
 def word_bands(words: np.ndarray, p: Bands) -> np.ndarray:
-    """Band codes of the sets of one-bits of 64-bit words; the minwise element is the first one-bit in a permuted order."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Band codes of the sets of one-bits of 64-bit words; the minwise element is the first one-bit in a permuted order.
+
+    A word is looked up byte by byte: for each permutation a table has the first place of the one-bits of every byte.
+    """
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
     r = np.random.default_rng(p.seed)
     signature = np.empty((len(words), p.bands * p.rows), np.uint8)
     for i in range(signature.shape[1]):
-        signature[:, i] = bits[:, r.permutation(64)].argmax(axis=1)
+        place = r.permutation(64).astype(np.uint8).reshape(8, 8)
+        first = np.where(ones[None], place[:, None, :], np.uint8(64)).min(axis=2)
+        found = first[0][parts[:, 0]]
+        for k in range(1, 8):
+            np.minimum(found, first[k][parts[:, k]], out=found)
+        signature[:, i] = found
     return _band_codes(signature, p)
 
 
@@ -89,12 +99,24 @@ def _buckets(sets: DataFrame, kind: str, codes: Callable, p: Bands) -> DataFrame
 
 
 def _word_codes(column: pa.Array, p: Bands) -> np.ndarray:
-    return word_bands(np.asarray(column, dtype=np.int64).view(np.uint64).copy(), p)
+    return word_bands(np.asarray(column, dtype=np.int64).view(np.uint64), p)
+
+
+def prepare(df: DataFrame, value: str) -> DataFrame:
+    """id, value, key (128 bits of the value) of the records that have a set, written once."""
+    full = F.size(value) > 0 if df.schema[value].dataType.typeName() == "array" else F.col(value) != 0
+    return cut(df.where(full).select("id", value, key128(F.col(value)).alias("key")))
+
 
+def members(rows: DataFrame) -> DataFrame:
+    """key, cid, n: each class of equal sets, its least id and its size. Only keys are shuffled, pre-aggregated."""
+    return cut(rows.groupBy("key").agg(F.min("id").alias("cid"), F.count("*").alias("n")))
 
-def classes_of(df: DataFrame, value: str) -> DataFrame:
-    """cid, value, one row for each distinct value; cid is the least id that has it."""
-    return df.groupBy(value).agg(F.min("id").alias("cid"))
+
+def classes_of(rows: DataFrame, groups: DataFrame, value: str) -> DataFrame:
+    """cid, value: one record of each class. Records are taken out by the few keys that have copies, so sets are not shuffled for them."""
+    copied = groups.where("n > 1").select("key", F.col("cid").alias("first"))
+    return rows.join(copied, "key", "left").where("first is null or first = id").select(F.col("id").alias("cid"), value)
 
 
 def similar_classes(classes: DataFrame, value: str, p: Bands) -> DataFrame:
@@ -102,7 +124,7 @@ def similar_classes(classes: DataFrame, value: str, p: Bands) -> DataFrame:
     array = classes.schema[value].dataType.typeName() == "array"
     buckets = _buckets(classes, value, list_bands if array else _word_codes, p)
     left, right = buckets.withColumnRenamed("cid", "cid_1"), buckets.withColumnRenamed("cid", "cid_2")
-    candidates = left.join(right, "code").where("cid_1 < cid_2").select("cid_1", "cid_2").distinct()
+    candidates = cut(left.join(right, "code").where("cid_1 < cid_2").select("cid_1", "cid_2").distinct())
     one = lambda i: classes.select(F.col("cid").alias(f"cid_{i}"), F.col(value).alias(f"v_{i}"))
     pairs = candidates.join(one(1), "cid_1").join(one(2), "cid_2")
     return pairs.where(_enough(F.col("v_1"), F.col("v_2"), array, p)).select("cid_1", "cid_2")
@@ -110,37 +132,33 @@ def similar_classes(classes: DataFrame, value: str, p: Bands) -> DataFrame:
 
 def _enough(a: Column, b: Column, array: bool, p: Bands) -> Column:
     if array:
-        return F.size(F.array_intersect(a, b)) * (p.num + p.den) >= p.num * (F.size(a) + F.size(b))
+        return jaccard_at_least(a, b, p.num, p.den)
     return F.bit_count(a.bitwiseAND(b)) * p.den >= F.bit_count(a.bitwiseOR(b)) * p.num
 
 
-def members(df: DataFrame, value: str) -> DataFrame:
-    """id, cid of every record: its class, the least id with the same set."""
-    return df.join(classes_of(df, value), value).select("id", "cid")
-
-
 def similar_pairs(df: DataFrame, value: str, p: Bands) -> DataFrame:
     """id_1 < id_2 of all records whose sets overlap by num/den or more, those with equal sets too.
 
     df: id (BIGINT, unique), value (sorted ARRAY<BIGINT> without nulls, or BIGINT word). Null, empty and zero values are in no pair.
     """
-    full = F.size(value) > 0 if df.schema[value].dataType.typeName() == "array" else F.col(value) != 0
-    df = df.where(full).select("id", value)
-    classes = classes_of(df, value)
-    of = members(df, value)
-    near = similar_classes(classes, value, p)
-    both = near.unionByName(near.select(F.col("cid_2").alias("cid_1"), F.col("cid_1").alias("cid_2"))).unionByName(
-        of.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("cid_1"), F.col("cid").alias("cid_2"))
-    )
-    one = lambda i: of.select(F.col("id").alias(f"id_{i}"), F.col("cid").alias(f"cid_{i}"))
-    return spread_join(both.join(one(1), "cid_1").select("id_1", "cid_2"), one(2), "cid_2").where("id_1 < id_2").select("id_1", "id_2")
+    rows = prepare(df, value)
+    groups = members(rows)
+    near = cut(similar_classes(classes_of(rows, groups, value), value, p))
+    # Classes of one record need no membership: the record's id is the class's. Others are spread out.
+    copies = cut(rows.select("id", "key").join(groups.where("n > 1").select("key", "cid"), "key").select("id", "cid"))
+    one = lambda i: copies.select(F.col("id").alias(f"id_{i}"), F.col("cid").alias(f"cid_{i}"))
+    spread = near
+    for i in (1, 2):
+        spread = spread.join(one(i), f"cid_{i}", "left").withColumn(f"id_{i}", F.coalesce(f"id_{i}", f"cid_{i}"))
+    between = spread.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2"))
+    within = spread_join(one(1).withColumnRenamed("cid_1", "cid"), one(2).withColumnRenamed("cid_2", "cid"), "cid").where("id_1 < id_2").select("id_1", "id_2")
+    return between.unionByName(within)
 
 
 def link_counts(df: DataFrame, value: str, p: Bands) -> DataFrame:
     """id, class_id, copies (records with the same set), links (other sets that overlap enough): one row per record with a set."""
-    full = F.size(value) > 0 if df.schema[value].dataType.typeName() == "array" else F.col(value) != 0
-    df = df.where(full).select("id", value)
-    near = similar_classes(classes_of(df, value), value, p)
+    rows = prepare(df, value)
+    groups = members(rows)
+    near = cut(similar_classes(classes_of(rows, groups, value), value, p))
     links = near.select("cid_1").union(near.select("cid_2")).groupBy(F.col("cid_1").alias("cid")).agg(F.count("*").alias("links"))
-    sizes = df.groupBy(value).agg(F.min("id").alias("cid"), F.count("*").alias("copies"))
-    return df.join(sizes, value).join(links, "cid", "left").select("id", F.col("cid").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return rows.select("id", "key").join(groups, "key").join(links, "cid", "left").select("id", F.col("cid").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

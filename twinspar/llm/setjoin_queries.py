@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from .setjoin import Bands, link_counts, similar_pairs
 
-CATALOG = Bands(bands=96, rows=3, num=1, den=2)
+CATALOG = Bands(bands=84, rows=3, num=1, den=2)
 FSS = Bands(bands=45, rows=13, num=9, den=10)
 
 
-def number_set(text: Column) -> Column:
-    """The distinct whole numbers of a list, sorted, whatever stands between them; null where there is none."""
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])\d{1,18}(?![\w.])"), 0), lambda x: x.cast("bigint"))))
-    return F.when(F.size(found) > 0, found)
+_NUMBER = re.compile(r"(?<![\w.])\d{1,18}(?![\w.])")
+
+
+def number_sets(df: DataFrame, text: str) -> DataFrame:
+    """df with `items`, the distinct whole numbers of a list, sorted, whatever stands between them, in place of the column `text`; null where there is none."""
+    keep = [c for c in df.columns if c != text]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [sorted(set(map(int, _NUMBER.findall(t)))) or None if t else None for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(items, pa.list_(pa.int64()))], names=[*keep, "items"])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, text).mapInArrow(kernel, f"{schema}, items array<bigint>")
 
 
 def word(text: Column) -> Column:
@@ -26,9 +40,9 @@ def word(text: Column) -> Column:
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Both catalogue tables: id, items, known (from vuln_sigs)."""
-    one = lambda name, known: table(spark, d, name).select(F.col("sig_id").alias("id"), number_set(F.col("catalog_hash_list")).alias("items"), F.lit(known).alias("known"))
-    return one("catalog_sigs", False).unionByName(one("vuln_sigs", True))
+    """id, items of both catalogue tables."""
+    one = lambda name: table(spark, d, name).select(F.col("sig_id").alias("id"), "catalog_hash_list")
+    return number_sets(one("catalog_sigs").unionByName(one("vuln_sigs")), "catalog_hash_list")
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +50,8 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    sigs = catalog(spark, d)
-    known = table(spark, d, "vuln_sigs").select("sig_id")
-    pairs = similar_pairs(sigs, "items", CATALOG)
-    both = known.select(F.col("sig_id").alias("id_2"), F.lit(True).alias("k2"))
-    first = known.select(F.col("sig_id").alias("id_1"), F.lit(True).alias("k1"))
-    within = pairs.join(both, "id_2", "left").join(first, "id_1", "left").where("k1 is null or k2 is null")
+    known = lambda i: table(spark, d, "vuln_sigs").select(F.col("sig_id").alias(f"id_{i}"), F.lit(True).alias(f"k{i}"))
+    within = similar_pairs(catalog(spark, d), "items", CATALOG).join(known(1), "id_1", "left").join(known(2), "id_2", "left").where("k1 is null or k2 is null")
     out = lambda df, field: df.select(F.lit(field).alias("field"), "id_1", "id_2")
     return out(within, "catalog_hash_list").unionByName(out(similar_pairs(words(spark, d), "word", FSS), "hashes0"))
 
