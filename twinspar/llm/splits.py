@@ -68,7 +68,7 @@ def related(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     edges = None
     for k in keys:
-        pairs = df.where(F.col(k).isNotNull()).select("vertex", k).distinct()
+        pairs = cut(df.where(F.col(k).isNotNull()).select("vertex", k).distinct())
         hub = pairs.groupBy(k).agg(F.min("vertex").alias("u"), F.max("vertex").alias("top")).where("u <> top").select(k, "u")
         star = pairs.join(hub, k).select("u", F.col("vertex").alias("v"))
         edges = star if edges is None else edges.unionByName(star)
@@ -109,6 +109,7 @@ def assign(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 def grouped_splits(df: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """id, component, split of every row. df: id, vertex (see `vertex`) and the other keys that relate rows."""
+    df = cut(df.select("id", "vertex", *keys))
     labels = related(df, keys)
     sizes = df.groupBy("vertex").agg(F.count("*").alias("n"))
     placed = cut(sizes.join(labels, "vertex", "left").select("vertex", "n", F.coalesce("label", "vertex").alias("component")))
