@@ -7,12 +7,13 @@ look-alikes do not change; in Chinese and Japanese, characters stand for words.
 2. The shingles' document frequencies over all documents order each item's shingles by rarity.
 3. A document that holds an item in the sense below shares at least tau of the item's shingles, so at least one of its
    |S| - tau + 1 rarest ones: only these prefixes are joined.
-4. Length and position: the shared shingles must lie in a window of the item's size and cover a share of the item's words.
+4. Length and position: tau shared shingles must lie in a window of the item's size in nearly the item's places, that is within a
+   band of diagonals as wide as the words that may be added or lost, and cover a share of the item's words.
 5. In these windows a local alignment (a match +1, a changed, added or lost word -1) finds the item's words that stand there in order;
    the document holds the item if they are at least num/den of the item's words.
 
-Steps 1 and 4 need covered words of at least `cover` of the item: an alignment of 0.4 of an item whose
-runs between changes are three words or more on average has that.
+Steps 3 and 4 ask that shared shingles cover `cover` = 0.28 of the item's words. 0.4 of an item's words with every third one changed, added or
+lost still cover 0.29 of it on average, with every seventh one 0.37.
 
 Items are broadcast in blocks of bounded size; a larger set of items takes more passes, not more memory.
 
@@ -51,12 +52,13 @@ Q = 3
 
 @dataclass(frozen=True)
 class LeakParams:
-    """Least share of an item's words; least share that shared shingles cover; window as a multiple of the item; characters of items in a block."""
+    """Least share of an item's words; least share that shared shingles cover; words added or lost in a passage, as a share of the item;
+    characters of items in a block."""
 
     num: int = 2
     den: int = 5
-    cover: float = 0.2
-    window: float = 1.25
+    cover: float = 0.28
+    drift: float = 0.25
     block_chars: int = 16_000_000
 
 
@@ -92,7 +94,8 @@ class ItemIndex:
         self.first = np.searchsorted(code[order], np.arange(len(self.key) + 1))
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.least = np.maximum(1, np.ceil(p.cover * self.size / Q)).astype(np.int64)  # tau
-        self.prefix = np.ones(len(self.key), bool)
+        self.band = np.ceil(self.size * p.drift).astype(np.int64)
+        self.rare, self.prefix = np.ones(len(self.owner), bool), np.ones(len(self.key), bool)
 
     def keys(self, w: np.ndarray) -> np.ndarray:
         """The shingle key at each place, -1 where a word is unknown."""
@@ -132,39 +135,62 @@ class ItemIndex:
     def matches(self, w: np.ndarray) -> list[tuple[int, int]]:
         """Items that a document of these words holds, and how many of their words."""
         at, code = self.hits(w)
-        if not len(at):
+        if not len(at) or not self.prefix[code].any():
             return []
-        # the prefix join: items that have one of the document's shingles among their rarest
-        candidates = np.unique(np.concatenate([self.owner[a:b][self.rare[a:b]] for a, b in ((self.first[c], self.first[c + 1]) for c in np.unique(code[self.prefix[code]]))] or [self.owner[:0]]))
-        if not len(candidates):
-            return []
-        n = (self.first[code + 1] - self.first[code]).astype(np.int64)
+        n = self.first[code + 1] - self.first[code]
         flat = np.repeat(self.first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner, place, where = self.owner[flat], self.place[flat], np.repeat(at, n)
-        out = []
-        for i in candidates:
-            mine = owner == i
-            d, s = where[mine], place[mine]
-            size, least = int(self.size[i]), int(self.least[i])
-            if len(d) < least:
+        owner, place, where = self.owner[flat].astype(np.int64), self.place[flat].astype(np.int64), np.repeat(at, n)
+        # the prefix join: only items of which one of the rarest shingles is here
+        joined = np.zeros(len(self.ids), bool)
+        joined[owner[self.rare[flat]]] = True
+        joined &= np.bincount(owner, minlength=len(joined)) >= self.least
+        keep = joined[owner]
+        if not keep.any():
+            return []
+        owner, place, where = owner[keep], place[keep], where[keep]
+        # Position: shingles of one passage lie on diagonals (place in the document less place in the item) that differ by the words added or lost.
+        line = owner * (2 * (len(w) + int(self.size.max())) + 4) + where - place + int(self.size.max())
+        order = np.argsort(line, kind="stable")
+        line, owner, place, where = line[order], owner[order], place[order], where[order]
+        left = np.searchsorted(line, line - self.band[owner])
+        enough = np.flatnonzero((np.arange(len(line)) - left + 1 >= self.least[owner]) & (owner[left] == owner))
+        out: dict[int, int] = {}
+        tried: dict[int, int] = {}
+        for r in enough[np.argsort(left[enough] - enough, kind="stable")]:  # the fullest bands first
+            i = int(owner[r])
+            size = int(self.size[i])
+            first = int(where[left[r]] - place[left[r]])
+            if i in out or abs(tried.get(i, -1 << 40) - first) <= self.band[i]:
                 continue
-            width = ceil(size * self.p.window) + Q
-            best, done = 0, -1
-            left = np.searchsorted(d, d - width)
-            for r in np.flatnonzero(np.arange(len(d)) - left + 1 >= least):
-                lo, hi = int(d[left[r]]), int(d[r])
-                if hi <= done:
-                    continue
-                places = s[left[r] : r + 1]
-                covered = len(np.unique(np.concatenate([places, places + 1, places + 2])))
-                if covered < self.p.cover * size:
-                    continue
-                lo, done = max(0, lo - size), lo + width + size
-                best = max(best, aligned(self.texts[i], w[lo : done + 1]))
-                if best * self.p.den >= self.p.num * size:
-                    out.append((int(i), best))
-                    break
-        return out
+            s = place[left[r] : r + 1]
+            covered = np.zeros(size + Q, bool)
+            for k in range(Q):
+                covered[s + k] = True
+            if covered.sum() < self.p.cover * size:
+                continue
+            tried[i] = first
+            lo = max(0, first - int(self.band[i]))
+            passage = w[lo : first + size + 2 * int(self.band[i]) + Q]
+            if in_order(self.texts[i], passage) * self.p.den < self.p.num * size:
+                continue  # an alignment has no more matches than this
+            found = aligned(self.texts[i], passage)
+            if found * self.p.den >= self.p.num * size:
+                out[i] = found
+        return sorted(out.items())
+
+
+def in_order(item: np.ndarray, passage: np.ndarray) -> int:
+    """The longest common subsequence of words, by bit-parallel sums."""
+    place: dict[int, int] = {}
+    for k, x in enumerate(item.tolist()):
+        place[x] = place.get(x, 0) | 1 << k
+    full = (1 << len(item)) - 1
+    v = full
+    for x in passage.tolist():
+        if u := place.get(x):
+            u &= v
+            v = (v + u | v - u) & full
+    return len(item) - v.bit_count()
 
 
 def aligned(item: np.ndarray, passage: np.ndarray) -> int:
