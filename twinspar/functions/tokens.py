@@ -31,7 +31,11 @@ def trace(instructions: Column, most: int = 512) -> Column:
     """STRUCT of three arrays, cut to `most` tokens: general tokens, the instruction of each, and its place in the instruction."""
     split = F.transform(instructions, lambda i, n: F.transform(trace_tokens(i), lambda t, k: F.struct(general(t).alias("code"), n.alias("inst"), k.alias("pos"))))
     rows = F.slice(F.flatten(split), 1, most)
-    return F.struct(*(F.transform(rows, lambda r, f=f: r[f]).alias(f) for f in ("code", "inst", "pos")))
+    return F.struct(*(F.transform(rows, _field(f)).alias(f) for f in ("code", "inst", "pos")))
+
+
+def _field(name: str):  # noqa: ANN202
+    return lambda r: r[name]
 
 
 def cut_and_padded(ids: Column, width: int) -> Column:

@@ -21,7 +21,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: str | T.Struct
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """A folder of CSV files with one header each; appending adds files and never repeats a header inside one."""
-    df.write.mode("append" if append else "errorifexists").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("append" if append else "errorifexists").option("header", True).option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def without_header_rows(df: DataFrame, column: str, name: str | None = None) -> DataFrame:

@@ -12,19 +12,24 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame, files_at_once:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True).parquet(path)
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Times without a zone count in the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def counts(stream: DataFrame, time: str, window: str, by: list[Column], late: str) -> DataFrame:
     """start, end, by, n, in tumbling windows; rows later than `late` behind the newest are left out and their windows closed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "*").drop("w")
+    return _timed(stream, time, late).groupBy(F.window(time, window).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "*").drop("w")
 
 
 def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str) -> DataFrame:
     """start, end, by, n of sessions that end after a gap."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+    return _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
 def first_deliveries(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Rows whose keys were not seen within the time for late rows; state is bounded by the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_once(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
