@@ -45,6 +45,6 @@ SQL = {
         SELECT held AS split, dataset, count(*) AS rows_held, count(d.func_id) AS by_digest, count(n.func_id) AS by_name, count(coalesce(d.func_id, n.func_id)) AS overlapping
         FROM u LEFT JOIN d USING (func_id) LEFT JOIN n USING (func_id) WHERE NOT train GROUP BY ALL""",
     "p3_found": f"""WITH {_SETS} SELECT 'catalog_hash_list' AS field, i AS id_1, j AS id_2 FROM shared JOIN n a ON a.id = i JOIN n b ON b.id = j WHERE k * 3 >= a.n + b.n
-        UNION ALL SELECT 'hashes0', a.id, b.id FROM w a JOIN w b ON a.id < b.id WHERE a.w <> 0 AND b.w <> 0 AND bit_count(a.w & b.w) * 10 >= 9 * bit_count(a.w | b.w)""",
+        UNION ALL SELECT 'hashes0', a.id, b.id FROM w a JOIN w b ON a.id < b.id WHERE a.w <> 0 AND b.w <> 0 AND bit_count(a.w & b.w)::INT * 10 >= 9 * bit_count(a.w | b.w)::INT""",
     "p5_found": f"WITH RECURSIVE {_PROJECTS} SELECT DISTINCT a AS project_1, b AS project_2 FROM reach WHERE a < b",
 }
