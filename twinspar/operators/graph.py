@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # --- relational ----------------------------------------------------------------------------------------------------
 
 
@@ -87,7 +89,7 @@ def per_graph(df: DataFrame, key: str, compute: Callable, fields: list[tuple[str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *arrays], names=[key, *(n for n, _ in fields)])
 
     schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *(f"`{n}` {k}" for n, k in fields)])
-    return df.select(key, *columns).mapInArrow(kernel, schema)
+    return spread(df.select(key, *columns)).mapInArrow(kernel, schema)
 
 
 def descendants(succ: dict[int, list[int]]) -> dict[int, int]:

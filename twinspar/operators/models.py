@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 Weights = dict[str, np.ndarray]
 
 
@@ -195,4 +197,4 @@ def apply(df: DataFrame, key: str, columns: list[str], network: Callable, weight
             out = [np.atleast_1d(network(*r, w)).tolist() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, name])
 
-    return df.select(key, *columns).mapInArrow(kernel, f"`{key}` {df.schema[key].dataType.simpleString()}, `{name}` array<double>")
+    return spread(df.select(key, *columns)).mapInArrow(kernel, f"`{key}` {df.schema[key].dataType.simpleString()}, `{name}` array<double>")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The words that the permutations add and mix in.
 WORDS = np.array(
     """
@@ -29,38 +31,52 @@ WORDS = np.array(
     3668101852 1283600006 671544087 1665876818 3645433092 3760380605 3802664867 1635015896
     1060356828 1666255066 2953295653 2827859377 386702151 3372348076 4248620909 2259505262
     """.split(),
-    dtype=np.uint64,
+    dtype=np.uint32,
 )
 ROUNDS = 4
-_M32 = np.uint64(0xFFFFFFFF)
 
 
 def _turn(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Rotate 32-bit words to the right."""
-    return ((x >> by) | (x << (np.uint64(32) - by))) & _M32
+    return (x >> by) | (x << ((32 - by) & 31))
 
 
 def permuted(x: np.ndarray, number: int) -> np.ndarray:
-    """The words x under permutation `number`."""
-    x = x.astype(np.uint64)
-    n = np.uint64(len(WORDS))
+    """The 32-bit words x under permutation `number`."""
+    low = np.uint32(len(WORDS) - 1)
     for r in range(ROUNDS):
-        fixed = WORDS[(r + number + 1) % len(WORDS)]
-        at = np.uint64(r + number)
-        x = (x + WORDS[((at + x) % n).astype(np.int64)]) & _M32
-        x = _turn(x, (x ^ fixed) % np.uint64(32))
-        x = x ^ WORDS[((at + x) % n).astype(np.int64)]
-        x = _turn(x, (x ^ fixed) % np.uint64(32))
+        fixed, at = WORDS[(r + number + 1) % len(WORDS)], np.uint32(r + number)
+        x = x + WORDS.take((x + at) & low)
+        x = _turn(x, (x ^ fixed) & np.uint32(31))
+        x = x ^ WORDS.take((x + at) & low)
+        x = _turn(x, (x ^ fixed) & np.uint32(31))
     return x
 
 
+#: Windows that are permuted at once; they stay in the processor's cache.
+_AT_ONCE = 1 << 15
+
+
+def minhash_all(data: list[bytes], n: int) -> np.ndarray:
+    """A row of n minima over the permuted 4-byte windows, big end first, for each of data; none may have fewer than 4 bytes."""
+    windows = []
+    for d in data:
+        b = np.frombuffer(d, np.uint8).astype(np.uint32)
+        windows.append(np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]))
+    size = np.array([len(w) for w in windows])
+    out = np.full((len(data), n), 0xFFFFFFFF, np.uint32)
+    flat, owner = np.concatenate(windows), np.repeat(np.arange(len(data)), size)
+    for at in range(0, len(flat), _AT_ONCE):
+        x, o = flat[at : at + _AT_ONCE], owner[at : at + _AT_ONCE]
+        start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        for k in range(n):
+            out[o[start], k] = np.minimum(out[o[start], k], np.minimum.reduceat(permuted(x, k), start))
+    return out
+
+
 def minhash(data: bytes, n: int) -> list[int] | None:
-    """n minima over the permuted 4-byte windows of data, big end first; null for fewer than 4 bytes."""
-    if len(data) < 4:
-        return None
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    windows = np.unique((b[:-3] << np.uint64(24)) | (b[1:-2] << np.uint64(16)) | (b[2:-1] << np.uint64(8)) | b[3:])
-    return [int(permuted(windows, k).min()) for k in range(n)]
+    """n minima over the permuted 4-byte windows of data; null for fewer than 4 bytes."""
+    return minhash_all([data], n)[0].tolist() if len(data) >= 4 else None
 
 
 def minhash_signatures(df: DataFrame, key: str, data: str, n: int = 128) -> DataFrame:
@@ -68,10 +84,15 @@ def minhash_signatures(df: DataFrame, key: str, data: str, n: int = 128) -> Data
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [minhash(x, n) if x is not None else None for x in batch.column(1).to_pylist()]
+            values = batch.column(1).to_pylist()
+            out: list = [None] * len(values)
+            long = [i for i, x in enumerate(values) if x is not None and len(x) >= 4]
+            if long:
+                for i, row in zip(long, minhash_all([values[i] for i in long], n).astype(np.int64).tolist(), strict=True):
+                    out[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[key, "signature"])
 
-    return df.select(key, data).mapInArrow(kernel, f"`{key}` {df.schema[key].dataType.simpleString()}, signature array<bigint>")
+    return spread(df.select(key, data)).mapInArrow(kernel, f"`{key}` {df.schema[key].dataType.simpleString()}, signature array<bigint>")
 
 
 def function_bytes(blocks: Column) -> Column:
@@ -153,4 +174,4 @@ def graph_hashes(df: DataFrame, key: str, weights: tuple[float, float, float]) -
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "num_nodes", "branching_nodes", "hash0", "hash1"])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, num_nodes bigint, branching_nodes bigint, hash0 bigint, hash1 bigint"
-    return df.select(key, "nodes", "edges", "mnems", "numbers").mapInArrow(kernel, schema)
+    return spread(df.select(key, "nodes", "edges", "mnems", "numbers")).mapInArrow(kernel, schema)

@@ -128,11 +128,14 @@ def jaccard_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vulnerable(spark: SparkSession, d: str) -> DataFrame:
-    """Each reference signature against all signatures of catalog_sigs: vuln_id, sig_id, arch, sim, for those that share a value."""
+    """Each reference signature and each of catalog_sigs that shares a value: vuln_id, sig_id, arch, sim. Shared values are counted by an equi-join."""
     known = table(spark, d, "vuln_sigs").select(F.col("sig_id").alias("vuln_id"), F.array_distinct(_set(F.col("catalog_hash_list"))).alias("known"))
     name = F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1)
-    rows = table(spark, d, "catalog_sigs").select("sig_id", F.regexp_extract(name, "^[A-Za-z]+[0-9]*", 0).alias("arch"), F.array_distinct(_set(F.col("catalog_hash_list"))).alias("s")).where("size(s) > 0")
-    return P.all_against(known, rows).select("vuln_id", "sig_id", "arch", F.round(V.jaccard(F.col("known"), F.col("s")), 6).alias("sim")).where("sim > 0")
+    rows = table(spark, d, "catalog_sigs").select("sig_id", F.regexp_extract(name, "^[A-Za-z]+[0-9]*", 0).alias("arch"), F.array_distinct(_set(F.col("catalog_hash_list"))).alias("s"))
+    values = rows.select("sig_id", "arch", F.size("s").alias("n"), F.explode("s").alias("x"))
+    shared = values.join(known.select("vuln_id", F.size("known").alias("m"), F.explode("known").alias("x")), "x")
+    counted = shared.groupBy("vuln_id", "sig_id", "arch", "n", "m").agg(F.count("*").alias("k"))
+    return counted.select("vuln_id", "sig_id", "arch", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("sim")).where("sim > 0")
 
 
 def vuln_best(spark: SparkSession, d: str) -> DataFrame:

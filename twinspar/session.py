@@ -82,6 +82,15 @@ def forget_all() -> None:
     _WRITTEN.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with a partition for each core at least: for work that costs far more than moving its input, when a small file would give it to one task.
+
+    Larger inputs have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
