@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import variables
+from ..session import cut
 
 
 def at_least_blocks(df: DataFrame, least: int = 5, column: str = "bb_num") -> DataFrame:
@@ -83,8 +84,11 @@ def without_keys(df: DataFrame, keys: list[str], unwanted: DataFrame) -> DataFra
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """Row numbers from 0 in `order`, without one task for all rows: ranges are numbered on their own and shifted by the counts before them."""
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    """Row numbers from 0 in `order`, without one task for all rows: ranges are numbered on their own and shifted by the counts before them.
+
+    The ranges are written first: another evaluation could cut them elsewhere. `order` must have no ties.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1

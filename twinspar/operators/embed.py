@@ -18,7 +18,7 @@ from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 
 def fit_word2vec(sentences: DataFrame, column: str = "tokens", size: int = 100, window: int = 8, least: int = 8, rounds: int = 5, seed: int = 1) -> Word2VecModel:
@@ -136,7 +136,7 @@ def _chance(w: Words) -> np.ndarray:
 
 def fit_documents(docs: DataFrame, m: DocumentModel) -> Words:
     """Word weights of a document model. docs: id, tokens ARRAY<ARRAY<STRING>>."""
-    docs = cut(docs.select("id", "tokens"))
+    docs = cut(spread(docs.select("id", "tokens")))
     w = vocabulary(docs, m)
     if not len(w.number):
         return w
@@ -183,4 +183,4 @@ def infer_documents(docs: DataFrame, words: Words, m: DocumentModel) -> DataFram
                 out.append(d.tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "embedding"])
 
-    return docs.select("id", "tokens").mapInArrow(kernel, f"id {docs.schema['id'].dataType.simpleString()}, embedding array<double>")
+    return spread(docs.select("id", "tokens")).mapInArrow(kernel, f"id {docs.schema['id'].dataType.simpleString()}, embedding array<double>")
