@@ -148,7 +148,7 @@ def list_paths(kind: T.DataType, at: str = "") -> list[str]:
     if isinstance(kind, T.ArrayType):
         return [at, *_below(kind.elementType, at)]
     if isinstance(kind, T.MapType):
-        return [at, *_below(kind.valueType, f"{at}.value")]
+        return [at, *list_paths(kind.valueType, f"{at}.value")]
     return []
 
 

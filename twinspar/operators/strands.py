@@ -18,6 +18,7 @@ from .graph import per_graph
 
 # Operations whose two operands may change places.
 COMMUTATIVE = frozenset("add and or xor mul imul eor orr test xchg".split())
+_NUMBER = re.compile(r"-?(?:0x[0-9a-fA-F]+|[0-9]+)")
 _INPUT = re.compile(r"\bin:[^\s(),]+")
 
 
@@ -31,7 +32,7 @@ def strands_of(statements: list, longest: int = 4000) -> Iterator[str]:
         args = []
         for a in s["args"] or []:
             if a is not None:
-                args.append(value.get(a, a if re.fullmatch(r"-?(?:0x)?[0-9a-fA-F]+", a) else f"in:{a}"))
+                args.append(value.get(a, a if _NUMBER.fullmatch(a) else f"in:{a}"))
         if s["op"] in COMMUTATIVE and len(args) == 2 and all("(" not in a for a in args):
             args.sort()
         text = f"{s['op']}({','.join(args)})"

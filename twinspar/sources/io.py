@@ -30,11 +30,11 @@ def without_header_rows(df: DataFrame, column: str, name: str | None = None) ->
 
 
 def read_functions_json(spark: SparkSession, path: str) -> DataFrame:
-    """idb_path, arch, fva, function (VARIANT) of a folder of JSON files, one object {binary: {arch, fva: {...}}} each. Only the first binary of a file
-    counts; files that are not complete JSON give nothing."""
+    """idb_path, arch, fva, function (VARIANT) of a folder of JSON files, one object {binary: {arch, fva: {...}}} each; a file with
+    several binaries gives all of them. Files that are not complete JSON give nothing."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(F.expr("try_parse_json(value)").alias("v")).where("v is not null")
     files.createOrReplaceTempView("__json_files")
-    binaries = spark.sql("SELECT b.key AS idb_path, b.value AS v FROM __json_files, LATERAL variant_explode(v) b WHERE b.pos = 0")
+    binaries = spark.sql("SELECT b.key AS idb_path, b.value AS v FROM __json_files, LATERAL variant_explode(v) b")
     binaries.createOrReplaceTempView("__json_binaries")
     return spark.sql("SELECT idb_path, try_variant_get(v, '$.arch', 'string') AS arch, f.key AS fva, f.value AS function FROM __json_binaries, LATERAL variant_explode(v) f WHERE f.key <> 'arch'")
 
