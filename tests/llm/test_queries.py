@@ -1,0 +1,33 @@
+"""Queries p2_ to p8_ against their SQL, and those without SQL as runs of a stable schema."""
+
+import pytest
+from oracle import compare
+
+from twinspar.llm import queries
+
+FOUND = {
+    "p2_found": ["func_id_1", "func_id_2"],
+    "p3_found": ["field", "id_1", "id_2"],
+    "p4_found": ["term", "mark"],
+    "p5_found": ["project_1", "project_2"],
+    "p6_found": ["doc_id", "item_id"],
+    "p7_found": ["source"],
+    "p8_found": ["doc_id", "start_char", "end_char"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, sf, name):
+    _, why = compare(spark, sf, queries.QUERIES[name], queries.SQL[name])
+    assert not why
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_runs(spark, sf, name):
+    df = queries.QUERIES[name](spark, sf)
+    assert df.columns == FOUND.get(name, df.columns) and df.count() >= 0
+
+
+def test_columns(spark, sf):
+    for name, columns in FOUND.items():
+        assert queries.QUERIES[name](spark, sf).columns == columns

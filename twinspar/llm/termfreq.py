@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..operators.nested import as_list, child_index
 
-#: Above so many members a bitmap is smaller than a list.
-_LIST_MOST = 4096
+#: Above so many members a bitmap, of 8 KB, is no larger than a list. Lists are shorter than bitmaps, so the length tells them apart.
+_LIST_MOST = 4095
 #: Identifiers of one block share all but this many bits.
 _LOW = 16
 CONTAINER = "term string, block bigint, bits binary, occurrences bigint"
@@ -41,11 +41,9 @@ def pack(low: np.ndarray) -> bytes:
 
 
 def unpack(bits: bytes) -> np.ndarray:
-    """The members of a container; a bitmap is the one that has 8 KB and could not be a list."""
+    """The members of a container, sorted."""
     if len(bits) == (1 << _LOW) // 8:
-        full = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-        if full.sum() > _LIST_MOST:
-            return np.flatnonzero(full)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
     return np.frombuffer(bits, "<u2").astype(np.int64)
 
 
@@ -156,8 +154,7 @@ def bitmaps(df: DataFrame) -> DataFrame:
 def cardinality(bits: Column) -> Column:
     """The number of members of a container."""
     n = F.length(bits)
-    ones = F.bitmap_count(bits)
-    return F.when((n == (1 << _LOW) // 8) & (ones > _LIST_MOST), ones).otherwise((n / 2).cast("bigint"))
+    return F.when(n == (1 << _LOW) // 8, F.bitmap_count(bits)).otherwise((n / 2).cast("bigint"))
 
 
 def term_counts(df: DataFrame) -> DataFrame:
