@@ -9,7 +9,7 @@ look-alikes do not change; in Chinese and Japanese, characters stand for words.
    |S| - tau + 1 rarest ones: only these prefixes are joined.
 4. Length and position: tau shared shingles must lie in a window of the item's size in nearly the item's places, that is within a
    band of diagonals as wide as the words that may be added or lost, and cover a share of the item's words.
-5. In these windows a local alignment (a match +1, a changed, added or lost word -1) finds the item's words that stand there in order;
+5. Shingles in the item's order that are enough by themselves settle it; else in these windows a local alignment (a match +1, a changed, added or lost word -1) finds the item's words that stand there in order;
    the document holds the item if they are at least num/den of the item's words.
 
 Steps 3 and 4 ask that shared shingles cover `cover` = 0.28 of the item's words. 0.4 of an item's words with every third one changed, added or
@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -132,35 +133,47 @@ class ItemIndex:
         self.prefix = np.zeros(len(self.key), bool)
         self.prefix[code[self.rare]] = True
 
-    def matches(self, w: np.ndarray) -> list[tuple[int, int]]:
-        """Items that a document of these words holds, and how many of their words."""
+    def hits_of(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The documents behind each other, parted by unknown words; places with an item shingle, which shingle, and of which document."""
+        gap = np.full(Q - 1, -1, np.int32)
+        w = np.concatenate([x for d in docs for x in (d, gap)])
         at, code = self.hits(w)
-        if not len(at) or not self.prefix[code].any():
+        ends = np.cumsum([len(d) + Q - 1 for d in docs])
+        return w, at, code, np.searchsorted(ends, at, side="right")
+
+    def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """Which of these documents hold which items, and how many of their words. All documents are looked through at once."""
+        w, at, code, doc = self.hits_of(docs)
+        if not len(at):
             return []
         n = self.first[code + 1] - self.first[code]
         flat = np.repeat(self.first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         owner, place, where = self.owner[flat].astype(np.int64), self.place[flat].astype(np.int64), np.repeat(at, n)
-        # the prefix join: only items of which one of the rarest shingles is here
-        joined = np.zeros(len(self.ids), bool)
-        joined[owner[self.rare[flat]]] = True
-        joined &= np.bincount(owner, minlength=len(joined)) >= self.least
-        keep = joined[owner]
+        pair = np.repeat(doc, n) * len(self.ids) + owner
+        # the prefix join: only pairs that share one of the item's rarest shingles; and only those that share enough of all
+        size = len(docs) * len(self.ids)
+        joined = np.zeros(size, bool)
+        joined[pair[self.rare[flat]]] = True
+        joined &= np.bincount(pair, minlength=size) >= np.tile(self.least, len(docs))
+        keep = joined[pair]
         if not keep.any():
             return []
-        owner, place, where = owner[keep], place[keep], where[keep]
+        owner, place, where, pair = owner[keep], place[keep], where[keep], pair[keep]
         # Position: shingles of one passage lie on diagonals (place in the document less place in the item) that differ by the words added or lost.
-        line = owner * (2 * (len(w) + int(self.size.max())) + 4) + where - place + int(self.size.max())
+        most = int(self.size.max())
+        line = pair * (len(w) + 2 * most + 4) + where - place + most
         order = np.argsort(line, kind="stable")
-        line, owner, place, where = line[order], owner[order], place[order], where[order]
+        line, owner, place, where, pair = line[order], owner[order], place[order], where[order], pair[order]
         left = np.searchsorted(line, line - self.band[owner])
-        enough = np.flatnonzero((np.arange(len(line)) - left + 1 >= self.least[owner]) & (owner[left] == owner))
+        enough = np.flatnonzero((np.arange(len(line)) - left + 1 >= self.least[owner]) & (pair[left] == pair))
         out: dict[int, int] = {}
-        tried: dict[int, int] = {}
+        tried: dict[int, list[int]] = {}
+        ends = np.cumsum([len(d) + Q - 1 for d in docs])
         for r in enough[np.argsort(left[enough] - enough, kind="stable")]:  # the fullest bands first
-            i = int(owner[r])
-            size = int(self.size[i])
+            g, i = int(pair[r]), int(owner[r])
+            size, band = int(self.size[i]), int(self.band[i])
             first = int(where[left[r]] - place[left[r]])
-            if i in out or abs(tried.get(i, -1 << 40) - first) <= self.band[i]:
+            if g in out or any(abs(t - first) <= band for t in tried.get(g, ())):
                 continue
             s = place[left[r] : r + 1]
             covered = np.zeros(size + Q, bool)
@@ -168,15 +181,46 @@ class ItemIndex:
                 covered[s + k] = True
             if covered.sum() < self.p.cover * size:
                 continue
-            tried[i] = first
-            lo = max(0, first - int(self.band[i]))
-            passage = w[lo : first + size + 2 * int(self.band[i]) + Q]
+            tried.setdefault(g, []).append(first)
+            d = g // len(self.ids)
+            begin = int(ends[d - 1]) if d else 0
+            if (held := chained(s, where[left[r] : r + 1])) * self.p.den >= self.p.num * size:
+                out[g] = held
+                continue
+            passage = w[max(begin, first - band) : min(int(ends[d]) - Q + 1, first + size + 2 * band + Q)]
             if in_order(self.texts[i], passage) * self.p.den < self.p.num * size:
                 continue  # an alignment has no more matches than this
             found = aligned(self.texts[i], passage)
             if found * self.p.den >= self.p.num * size:
-                out[i] = found
-        return sorted(out.items())
+                out[g] = found
+        return [(g // len(self.ids), g % len(self.ids), m) for g, m in sorted(out.items())]
+
+
+def chained(place: np.ndarray, where: np.ndarray) -> int:
+    """Words of an item in its shingles that stand in a document in the same order; 0 if more words lie between them than they are.
+
+    That many words matched, and fewer changed, is an alignment with a positive score, so none has to be searched for.
+    """
+    tails: list[int] = []
+    last: list[int] = []
+    before = np.full(len(place), -1)
+    order = np.lexsort((-where, place))
+    for k, d in zip(order.tolist(), where[order].tolist(), strict=True):
+        at = bisect_left(tails, d)
+        if at == len(tails):
+            tails.append(d)
+            last.append(k)
+        else:
+            tails[at], last[at] = d, k
+        before[k] = last[at - 1] if at else -1
+    chain, k = [], last[-1]
+    while k >= 0:
+        chain.append(k)
+        k = int(before[k])
+    s, d = place[chain], where[chain]
+    covered = len(np.unique(np.concatenate([s + k for k in range(Q)])))
+    covered = min(covered, len(np.unique(np.concatenate([d + k for k in range(Q)]))))
+    return covered if 2 * covered > max(s.max() - s.min(), d.max() - d.min()) + Q else 0
 
 
 def in_order(item: np.ndarray, passage: np.ndarray) -> int:
@@ -210,6 +254,22 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> int:
     return best & ((1 << 20) - 1)
 
 
+#: Words, and pairs of a document and an item, that are looked through at once; a bound on memory only.
+_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 150_000, 2_000_000
+
+
+def _runs(sizes: list[int], items: int) -> Iterator[tuple[int, int]]:
+    """Documents in runs of bounded size, one at least."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > _WORDS_AT_ONCE or (i - start + 1) * items > _PAIRS_AT_ONCE):
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _reduce(docs: DataFrame, index) -> DataFrame:  # noqa: ANN001 - a broadcast ItemIndex
     """id, words (numbers, -1 for words of no item), seen (distinct item shingles) of every document with an item shingle."""
 
@@ -217,22 +277,28 @@ def _reduce(docs: DataFrame, index) -> DataFrame:  # noqa: ANN001 - a broadcast
         x = index.value
         number = x.vocabulary.get
         for batch in batches:
-            row, kept, seen = [], [], []
-            for i, value in enumerate(batch.column(1)):
-                t = value.as_py()
-                if not t:
-                    continue
-                w = np.array([number(y, -1) for y in words(t)], np.int32)
-                _, code = x.hits(w)
-                if len(code):
-                    row.append(i)
-                    kept.append(w.tobytes())
-                    seen.append(np.unique(code).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(kept, pa.binary()), pa.array(seen, pa.binary())], names=["id", "words", "seen"])
+            texts = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t]
+            for a, b in _runs([len(t) // 5 for _, t in texts], 1):
+                w = [np.array([number(y, -1) for y in words(t)], np.int32) for _, t in texts[a:b]]
+                _, _, code, doc = x.hits_of(w)
+                row, kept, seen = [], [], []
+                for d, c in zip(*_split(doc, code), strict=True):
+                    row.append(texts[a + d][0])
+                    kept.append(w[d].tobytes())
+                    seen.append(np.unique(c).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(kept, pa.binary()), pa.array(seen, pa.binary())], names=["id", "words", "seen"])
 
     return docs.select("id", "text").mapInArrow(kernel, f"id {docs.schema['id'].dataType.simpleString()}, words binary, seen binary")
 
 
+def _split(group: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The groups, which are in order, and the values of each."""
+    if not len(group):
+        return [], []
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return group[start].tolist(), np.split(values, start[1:])
+
+
 def _frequencies(reduced: DataFrame, size: int) -> np.ndarray:
     """In how many documents each of the index's shingles is; as many numbers as the index has shingles."""
 
@@ -254,14 +320,11 @@ def _verify(reduced: DataFrame, index, kind: str) -> DataFrame:  # noqa: ANN001
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         for batch in batches:
-            row, item, found, size = [], [], [], []
-            for i, b in enumerate(batch.column(1)):
-                for k, m in x.matches(np.frombuffer(b.as_py(), np.int32)):
-                    row.append(i)
-                    item.append(x.ids[k])
-                    found.append(m)
-                    size.append(int(x.size[k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(found, pa.int32()), pa.array(size, pa.int32())], names=["id", "item", "words_found", "item_words"])
+            docs = [np.frombuffer(b, np.int32) for b in batch.column(1).to_pylist()]
+            for a, b in _runs([len(d) for d in docs], len(x.ids)):
+                found = x.matches(docs[a:b])
+                row, item, held, size = ([f(r) for r in found] for f in (lambda r: a + r[0], lambda r: x.ids[r[1]], lambda r: r[2], lambda r: int(x.size[r[1]])))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(held, pa.int32()), pa.array(size, pa.int32())], names=["id", "item", "words_found", "item_words"])
 
     return reduced.select("id", "words").mapInArrow(kernel, f"id {kind}, item bigint, words_found int, item_words int")
 
@@ -269,7 +332,7 @@ def _verify(reduced: DataFrame, index, kind: str) -> DataFrame:  # noqa: ANN001
 def leaks(docs: DataFrame, items: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """id, item, words_found, item_words: every document (id, text) and every item (item BIGINT, text) that it holds.
 
-    words_found is the count in the first window that is enough, not the greatest of all.
+    words_found is what the first passage that is enough has been seen to hold, not the greatest number of all.
     """
     spark = docs.sparkSession
     kind = docs.schema["id"].dataType.simpleString()
