@@ -95,6 +95,19 @@ def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     return parts.withColumn(name, inside).join(F.broadcast(counts), "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("bigint")).drop("__part", "__before")
 
 
+def running_total(df: DataFrame, weight: str, order: list[Column]) -> DataFrame:
+    """df with `before`, the sum of `weight` of all rows earlier in `order`, and `total`. `order` must have no ties.
+
+    The rows are range-partitioned, so that a hot value is cut up too, and each range is summed on its own; only one sum per range is summed up over all.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = parts.groupBy("__part").agg(F.sum(weight).alias("__sum"))
+    earlier = F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select("__part", F.coalesce(earlier, F.lit(0)).alias("__start"), F.sum("__sum").over(W.partitionBy()).alias("total"))
+    inside = F.sum(weight).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return parts.join(F.broadcast(starts), "__part").withColumn("before", F.col("__start") + F.coalesce(inside, F.lit(0))).drop("__part", "__start")
+
+
 def golden_diff(golden: DataFrame, output: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows of the golden table whose output is missing or differs, with the names of the columns that differ."""
     b = output.select(*keys, F.lit(True).alias("__there"), *(F.col(c).alias(f"__{c}") for c in columns))

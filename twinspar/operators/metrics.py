@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .curate import running_total
+
 #: The K of Recall@K in result tables.
 RECALL_AT = (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50)
 
@@ -39,20 +41,23 @@ def ranking_table(ranked: DataFrame, positives: DataFrame, by: list[str], at: tu
 def auc(scored: DataFrame, by: list[str], score: str = "sim", label: str = "label") -> DataFrame:
     """by, positives, negatives, auc: the exact area, by ranks averaged over ties. Null where one class is missing. Rows without a score are left out.
 
-    Scores are first counted by value, so a group's window holds distinct scores only.
+    Scores are counted by value, and the negatives below each value come from a running total over range partitions, so no group is gathered in one task.
     """
     values = scored.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = values.withColumn("wins", F.col("p") * (below + F.col("n") / 2.0))
-    out = wins.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("wins").alias("wins"))
-    return out.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auc"))
+    run = running_total(values, "n", [*(F.col(c) for c in by), F.col(score)])
+    # Within a group, what lies below is what lies before, less what lies before the whole group.
+    sums = [F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("before") + F.col("n") / 2.0)).alias("w"), F.min("before").alias("first")]
+    out = run.groupBy(*by).agg(*sums)
+    area = (F.col("w") - F.col("first") * F.col("positives")) / (F.col("positives") * F.col("negatives"))
+    return out.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), area).alias("auc"))
 
 
 def binned_auc(scored: DataFrame, by: list[str], thresholds: int = 200, score: str = "sim", label: str = "label") -> DataFrame:
     """by, auc: the trapezoid over equally spaced thresholds of scores scaled to 0..1 in each group; an approximation of `auc`."""
-    w = W.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    scaled = scored.where(F.col(score).isNotNull()).withColumn("s", (F.col(score) - low + 1e-8) / (high - low + 1e-8))
+    rows = scored.where(F.col(score).isNotNull())
+    ends = rows.groupBy(*by).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    rows = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))
+    scaled = rows.withColumn("s", (F.col(score) - F.col("__low") + 1e-8) / (F.col("__high") - F.col("__low") + 1e-8))
     bins = scaled.groupBy(*by, F.floor(F.col("s") * (thresholds - 1)).alias("bin")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = bins.withColumn("wins", F.col("p") * (below + F.col("n") / 2.0)).groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -60,9 +65,12 @@ def binned_auc(scored: DataFrame, by: list[str], thresholds: int = 200, score: s
 
 
 def target_ranks(scored: DataFrame, by: list[str], is_target: Column, order: list[Column]) -> DataFrame:
-    """by, rank: the place of the true match in each group's list, best score first, missing scores last. If several match, the best place counts."""
-    placed = scored.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.col("sim").desc_nulls_last(), *order)))
-    return placed.where(is_target).groupBy(*by).agg(F.min("place").cast("bigint").alias("rank"))
+    """by, rank: the place of the true match in each group's list, best score first, missing scores last, ties by `order`. If several match, the
+    best place counts. Counted against the best match by pre-aggregation; no list is sorted."""
+    key = F.struct(F.coalesce(-F.col("sim"), F.lit(float("inf"))).alias("s"), *order)
+    rows = scored.select(*by, key.alias("__k"), is_target.alias("__t"))
+    best = rows.where("__t").groupBy(*by).agg(F.min("__k").alias("__b"))
+    return rows.join(best, by).groupBy(*by).agg((F.lit(1) + F.count_if(F.col("__k") < F.col("__b"))).alias("rank"))
 
 
 def rank_lists(ranked: DataFrame, by: list[str], order: str) -> DataFrame:

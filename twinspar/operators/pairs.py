@@ -8,7 +8,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # For each task, which of arch, bit, compiler, version and optimizations must be equal (True) or differ (False) in a positive pair.
@@ -63,10 +62,8 @@ def sample(pairs: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
 
 
 def sample_by(pairs: DataFrame, by: str, quotas: dict[str, int], seed: int, keys: list[str]) -> DataFrame:
-    """Of each value of `by` so many rows as its quota, in hash order. The hash is ranked within values of `by` after each task kept its own best."""
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    ranked = pairs.withColumn("__h", hash_order(F.lit(seed), *keys)).withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy("__h", *keys)))
-    return ranked.where(F.col("__r") <= F.try_element_at(quota, F.col(by))).drop("__h", "__r")
+    """Of each value of `by` so many rows as its quota, in hash order: a top-k for each value, so no value is gathered in one task."""
+    return reduce(DataFrame.unionByName, [sample(pairs.where(F.col(by) == value), n, seed, keys) for value, n in quotas.items()])
 
 
 def probe(seed: Column, n: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -29,11 +28,17 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("v").alias("vb")), "a")
 
 
+def _with_next(e: DataFrame) -> DataFrame:
+    """func_id, func_id_2: each row with the next one of its func_name, by an equi-join on row numbers; a name of any size is spread over ranges."""
+    rows = cut(numbered(e.select("func_name", "func_id"), ["func_name", "func_id"], "place"))
+    after = rows.select("func_name", (F.col("place") - 1).alias("place"), F.col("func_id").alias("func_id_2"))
+    return rows.join(after, ["func_name", "place"]).select("func_id", "func_id_2")
+
+
 def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scored positives (each vector with the next one of its label) and negatives (100 probed vectors of other labels each)."""
     e = cut(numbered(vectors(spark, d).withColumnRenamed("vec_id", "func_id").withColumnRenamed("label", "func_name"), ["func_id"]))
-    nxt = e.withColumn("func_id_2", F.lead("func_id").over(W.partitionBy("func_name").orderBy("func_id"))).where("func_id_2 is not null")
-    pos = nxt.select(F.col("func_id").alias("func_id_1"), "func_id_2", F.col("func_id").alias("idx"))
+    pos = _with_next(e).select(F.col("func_id").alias("func_id_1"), "func_id_2", F.col("func_id").alias("idx"))
     neg = P.negatives(e, e, "rank", PROBES, NEGATIVES)
     sim = lambda p: P.described(p, e, ["v", "func_name"]).withColumn("sim", F.round(V.cosine(F.col("v_1"), F.col("v_2")), 6)).drop("v_1", "v_2")
     return cut(sim(pos)), cut(sim(neg))
@@ -146,10 +151,12 @@ def vuln_best(spark: SparkSession, d: str) -> DataFrame:
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
     """The first vector of each label against all others; the second one is the match that is looked for."""
-    e = vectors(spark, d).withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("vec_id")))
-    q = e.where("n = 1").select(F.col("label").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    e = vectors(spark, d)
+    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("query_id"), F.col("q.v").alias("qv"))
+    second = e.join(first, "label").where("vec_id > query_id").groupBy("label").agg(F.min("vec_id").alias("match"))
+    q = first.join(second, "label", "left").select(F.col("label").alias("query"), "query_id", "qv", "match")
     both = P.all_against(q, e).where("vec_id <> query_id")
-    return both.select("query", "query_id", "vec_id", F.round(V.cosine(F.col("qv"), F.col("v")), 6).alias("sim"), ((F.col("label") == F.col("query")) & (F.col("n") == 2)).alias("hit"))
+    return both.select("query", "query_id", "vec_id", F.round(V.cosine(F.col("qv"), F.col("v")), 6).alias("sim"), F.equal_null("vec_id", "match").alias("hit"))
 
 
 def vuln_rank(spark: SparkSession, d: str) -> DataFrame:
