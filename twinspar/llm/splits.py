@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..operators.curate import running_total
 from ..session import cut, forget
 
 
@@ -75,18 +75,6 @@ def related(df: DataFrame, keys: list[str]) -> DataFrame:
     return components(edges)
 
 
-def running_total(df: DataFrame, weight: str, order: list[Column]) -> DataFrame:
-    """df with `before`, the sum of `weight` of all rows earlier in `order`, and `total`. `order` must have no ties.
-
-    The rows are range-partitioned and each range is summed on its own; only one sum per range is summed up over all.
-    """
-    parts = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sums = parts.groupBy("part").agg(F.sum(weight).alias("part_sum"))
-    starts = sums.select("part", F.coalesce(F.sum("part_sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("part_sum").over(W.partitionBy()).alias("total"))
-    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return parts.join(starts, "part").withColumn("before", F.col("start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("part", "start")
-
-
 def assign(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     """component, weight, split: the components, heaviest first, cut by cumulative weight.
 
