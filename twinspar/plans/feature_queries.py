@@ -17,6 +17,7 @@ from ..operators import features as A
 from ..operators import graph as G
 from ..operators import models as N
 from ..operators import strands as S
+from ..operators.pairs import all_against
 from ..sources import io
 from ..session import cut, shared_dir, table
 from ..streaming import streams
@@ -287,11 +288,12 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word2vec(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest of the other mnemonics to each one, by vectors trained on blocks as sentences. The vocabulary is crossed with itself in full: it is bounded by the least count."""
-    model = E.fit_word2vec(_sentences(spark, d), size=32, least=8, rounds=1)
-    v = cut(_plain_vectors(model))
-    both = v.alias("a").join(v.alias("b"), F.col("a.word") != F.col("b.word")).select(F.col("a.word").alias("word"), F.col("b.word").alias("near"), V.cosine(F.col("a.v"), F.col("b.v")).alias("sim"))
-    return both.groupBy("word").agg(F.max_by("near", "sim").alias("near"), F.max("sim").alias("sim"))
+    """The nearest of all other mnemonics to each of the 100 most frequent ones, by vectors trained on blocks as sentences."""
+    v = cut(_plain_vectors(E.fit_word2vec(_sentences(spark, d), size=32, least=8, rounds=1)))
+    queries = v.join(vocab(spark, d).select(F.col("token").alias("word")), "word").select(F.col("word").alias("query"), F.col("v").alias("qv"))
+    both = all_against(queries, v).where("word <> query")
+    near = both.groupBy("query").agg(F.max_by(F.struct("word", V.cosine(F.col("qv"), F.col("v")).alias("sim")), V.cosine(F.col("qv"), F.col("v"))).alias("n"))
+    return near.select(F.col("query").alias("word"), F.col("n.word").alias("near"), F.col("n.sim").alias("sim"))
 
 
 def _plain_vectors(model: E.Word2VecModel) -> DataFrame:
