@@ -22,6 +22,8 @@ def get_session(app: str = "twinspar", master: str | None = None, shuffle_partit
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "8g")  # all of Spark is in the driver there
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
