@@ -19,7 +19,7 @@ from ..operators import models as N
 from ..operators import strands as S
 from ..operators.pairs import all_against
 from ..sources import io
-from ..session import cut, shared_dir, table
+from ..session import cut, shared_dir, spread, table
 from ..streaming import streams
 
 KEY = ["record_id"]
@@ -97,7 +97,7 @@ def asm_tokens(spark: SparkSession, d: str) -> DataFrame:
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """record_id, lines: the instructions of each function, blocks in order of addresses."""
     ordered = F.transform(F.array_sort(F.map_entries("basic_blocks")), lambda e: F.coalesce(e["value"]["bb_disasm"], F.array().cast("array<string>")))
-    return acfg(spark, d).select("record_id", F.filter(F.flatten(ordered), lambda x: x.isNotNull()).alias("lines")).where("size(lines) > 0")
+    return spread(acfg(spark, d)).select("record_id", F.filter(F.flatten(ordered), lambda x: x.isNotNull()).alias("lines")).where("size(lines) > 0")
 
 
 def traces(spark: SparkSession, d: str) -> DataFrame:
