@@ -288,10 +288,9 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word2vec(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest of all other mnemonics to each of the 100 most frequent ones, by vectors trained on blocks as sentences."""
+    """The nearest of the other mnemonics to each one, by vectors trained on blocks as sentences. The vocabulary is counted and crossed with itself in blocks."""
     v = cut(_plain_vectors(E.fit_word2vec(_sentences(spark, d), size=32, least=8, rounds=1)))
-    queries = v.join(vocab(spark, d).select(F.col("token").alias("word")), "word").select(F.col("word").alias("query"), F.col("v").alias("qv"))
-    both = all_against(queries, v).where("word <> query")
+    both = all_against(v.select(F.col("word").alias("query"), F.col("v").alias("qv")), v).where("word <> query")
     near = both.groupBy("query").agg(F.max_by(F.struct("word", V.cosine(F.col("qv"), F.col("v")).alias("sim")), V.cosine(F.col("qv"), F.col("v"))).alias("n"))
     return near.select(F.col("query").alias("word"), F.col("n.word").alias("near"), F.col("n.sim").alias("sim"))
 
