@@ -1,8 +1,11 @@
 """Queries that give the whole job: no row, slot or instruction left out."""
 
-from pyspark.sql import functions as F
+import pytest
+from oracle import compare
 
+from twinspar.operators import pairs
 from twinspar.plans import feature_queries as Q
+from twinspar.plans import similarity_queries as S
 
 
 def test_word2vec_queries_every_trained_word(spark):
@@ -12,3 +15,31 @@ def test_word2vec_queries_every_trained_word(spark):
     assert len(trained) > Q.TOP
     assert len(near) == len(trained) and {r["word"] for r in near} == trained
     assert all(r["near"] in trained and r["near"] != r["word"] for r in near)
+
+
+def test_every_slot_gets_a_negative(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "RANGE", 7, raising=False)
+    names = ["a" if i % 25 or not i else "b" if i % 2 else None for i in range(130)]
+    df = spark.createDataFrame([(i, 1000 + i, n) for i, n in enumerate(names)], "idx bigint, func_id bigint, func_name string")
+    by = {1000 + i: n for i, n in enumerate(names)}
+    got = pairs.negatives(df, df, "XM", probes=2, count=3).collect()
+    assert sorted((r["func_id_1"], r["k"]) for r in got) == sorted((i, k) for i, n in by.items() if n for k in range(3))
+    assert all(by[r["func_id_2"]] and by[r["func_id_1"]] != by[r["func_id_2"]] for r in got)
+    assert pairs.negatives(df.where("func_name = 'a'"), df.where("func_name = 'a'"), "XM").count() == 0
+    named = [i for i, n in by.items() if n]
+    want = {a: next(b for b in named[k + 1 :] + named if by[b] != by[a]) for k, a in enumerate(named)}
+    assert {r["func_id"]: r["__next"] for r in pairs._next_names(df, "func_id", "func_name").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["rank_min", "rank_max", "auc_exact", "auc_by_task", "mrr_recall_cosine", "triplet_accuracy"])
+def test_ranked_against_all_100_negatives(spark, sf, name):
+    """16 probes fill all slots of this table, so SQL with as many says what is right."""
+    sql = S.SQL[name].replace("range(4) q(j)", "range(16) q(j)")
+    assert sql != S.SQL[name]
+    _, why = compare(spark, sf, S.QUERIES[name], sql)
+    assert not why
+
+
+def test_no_negative_is_missing(spark, sf):
+    _, neg = S.scored(spark, sf)
+    assert neg.count() == S.NEGATIVES * S.vectors(spark, sf).count()

@@ -8,8 +8,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .curate import numbered
+
 # For each task, which of arch, bit, compiler, version and optimizations must be equal (True) or differ (False) in a positive pair.
 FREE = ("arch", "bit", "compiler", "version", "optimizations")
 TASKS: dict[str, tuple[bool | None, ...]] = {
@@ -25,6 +29,7 @@ TASKS: dict[str, tuple[bool | None, ...]] = {
     "XM": (None, None, None, None, None),
 }
 TASKS["XO"] = TASKS["opt"]
+RANGE = 1 << 16
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -75,14 +80,41 @@ def negatives(left: DataFrame, pool: DataFrame, task: str, probes: int = 16, cou
     """For each left row `count` rows of another name out of the pool, without a cross join.
 
     pool: idx (0..N-1), id, name, other columns. For each k < count, probe numbers hashed from (id, task, k, j) are looked up in the pool by an equi-join; the
-    first j whose name differs is taken. A left row for which no probe differs gets fewer. Rows without a name are no candidates.
+    first j whose name differs is taken. Where none differs, one more probe is the place to go on from, to the next row of another name. So a left row
+    gets fewer only if the pool has no other name. Rows without a name are no candidates and get none.
     """
     size = pool.agg(F.count("*").alias("__size"))
-    tries = left.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")).crossJoin(F.broadcast(size)).where("__size > 0")
-    tries = tries.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
-    seed = F.concat_ws(":", F.col(f"{id}_1").cast("string"), F.lit(task), F.col("k").cast("string"), F.col("j").cast("string"))
-    found = tries.withColumn("idx", probe(seed, F.col("__size"))).join(pool.select("idx", F.col(id).alias(f"{id}_2"), F.col(name).alias("__n2")), "idx").where("__n1 <> __n2")
-    return found.groupBy(f"{id}_1", "k").agg(F.min_by(f"{id}_2", "j").alias(f"{id}_2")).select(f"{id}_1", F.col("k").cast("bigint").alias("k"), f"{id}_2", F.lit(task).alias("db_type"))
+    slots = left.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")).where("__n1 is not null").crossJoin(F.broadcast(size)).where("__size > 0")
+    tries = slots.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
+    seed = lambda j: F.concat_ws(":", F.col(f"{id}_1").cast("string"), F.lit(task), F.col("k").cast("string"), j.cast("string"))
+    found = tries.withColumn("idx", probe(seed(F.col("j")), F.col("__size"))).join(pool.select("idx", F.col(id).alias(f"{id}_2"), F.col(name).alias("__n2")), "idx")
+    found = cut(found.groupBy(f"{id}_1", "k").agg(F.max("__n1").alias("__n1"), F.min_by(f"{id}_2", F.when(F.col("__n1") != F.col("__n2"), F.col("j"))).alias(f"{id}_2")))
+    out, empty = found.where(f"{id}_2 is not null").drop("__n1"), found.where(f"{id}_2 is null").drop(f"{id}_2")
+    if not empty.isEmpty():
+        after = _next_names(pool, id, name)
+        places = after.agg(F.count("*").alias("__size"))
+        last = empty.crossJoin(F.broadcast(places)).where("__size > 0").withColumn("place", probe(seed(F.lit(probes)), F.col("__size"))).join(after, "place")
+        last = last.withColumn(f"{id}_2", F.when(F.col("__n1") != F.col(name), F.col(id)).otherwise(F.col("__next")))
+        out = out.unionByName(last.where(f"{id}_2 is not null").select(f"{id}_1", "k", f"{id}_2"))
+    return out.select(f"{id}_1", F.col("k").cast("bigint").alias("k"), f"{id}_2", F.lit(task).alias("db_type"))
+
+
+def _next_names(pool: DataFrame, id: str, name: str) -> DataFrame:
+    """place, id, name, __next: the named rows of the pool, numbered, each with the next one of another name; after the last comes the first. None if there is one name only.
+
+    Runs of a name are found by an equi-join with the row before; the next start of a run is looked for in ranges of places first, then among the ranges.
+    """
+    rows = cut(numbered(pool.where(F.col(name).isNotNull()).select("idx", id, name), ["idx"], "place"))
+    n = rows.agg(F.count("*").alias("__size"))
+    before = rows.crossJoin(F.broadcast(n)).select(((F.col("place") + 1) % F.col("__size")).alias("place"), F.col(name).alias("__before"))
+    starts = rows.join(before, "place").select("place", id, name, F.floor(F.col("place") / RANGE).alias("__range"), F.when(F.col(name) != F.col("__before"), F.struct("place", id)).alias("__start"))
+    starts = cut(starts)
+    ranges = starts.groupBy("__range").agg(F.min("__start").alias("__first"))
+    ranges = ranges.withColumn("__later", F.min("__first").over(W.orderBy("__range").rowsBetween(1, W.unboundedFollowing))).drop("__first")
+    here = F.min("__start").over(W.partitionBy("__range").orderBy("place").rowsBetween(1, W.unboundedFollowing))
+    wrapped = starts.agg(F.min("__start").alias("__wrapped"))
+    out = starts.withColumn("__here", here).join(ranges, "__range").crossJoin(F.broadcast(wrapped))
+    return out.select("place", id, name, F.coalesce("__here", "__later", "__wrapped")[id].alias("__next"))
 
 
 def described(pairs: DataFrame, df: DataFrame, columns: list[str], id: str = "func_id") -> DataFrame:

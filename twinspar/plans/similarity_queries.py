@@ -36,10 +36,10 @@ def _with_next(e: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scored positives (each vector with the next one of its label) and negatives (100 probed vectors of other labels each)."""
+    """Scored positives (each vector with the next one of its label) and negatives (100 vectors of other labels each; the SQL leaves out those that its 4 probes do not find)."""
     e = cut(numbered(vectors(spark, d).withColumnRenamed("vec_id", "func_id").withColumnRenamed("label", "func_name"), ["func_id"]))
     pos = _with_next(e).select(F.col("func_id").alias("func_id_1"), "func_id_2", F.col("func_id").alias("idx"))
-    neg = P.negatives(e, e, "rank", PROBES, NEGATIVES)
+    neg = P.negatives(e, e, "rank", count=NEGATIVES)
     sim = lambda p: P.described(p, e, ["v", "func_name"]).withColumn("sim", F.round(V.cosine(F.col("v_1"), F.col("v_2")), 6)).drop("v_1", "v_2")
     return cut(sim(pos)), cut(sim(neg))
 
