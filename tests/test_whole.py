@@ -1,9 +1,10 @@
 """Queries that give the whole job: no row, slot or instruction left out."""
 
+import numpy as np
 import pytest
 from oracle import compare
 
-from twinspar.operators import pairs
+from twinspar.operators import embed, pairs
 from twinspar.plans import feature_queries as Q
 from twinspar.plans import similarity_queries as S
 
@@ -43,3 +44,30 @@ def test_ranked_against_all_100_negatives(spark, sf, name):
 def test_no_negative_is_missing(spark, sf):
     _, neg = S.scored(spark, sf)
     assert neg.count() == S.NEGATIVES * S.vectors(spark, sf).count()
+
+
+def test_documents_have_all_instructions(spark, tmp_path, monkeypatch):
+    lines = [f"mov r{i}, 0x{i:x}" for i in range(500)]
+    rows = [(1, {"0": {"bb_disasm": lines}})]
+    spark.createDataFrame(rows, "record_id bigint, basic_blocks map<string,struct<bb_disasm:array<string>>>").write.parquet(f"{tmp_path}/acfg_disasm.parquet")
+    monkeypatch.setattr(Q.E, "fit_documents", lambda text, m: None)
+    monkeypatch.setattr(Q.E, "infer_documents", lambda text, words, m: text)
+    (row,) = Q.documents("pvdm", spark, str(tmp_path)).collect()
+    assert len(row["tokens"]) == 500 and "r499" in row["tokens"][-1]
+
+
+@pytest.mark.parametrize("kind", ["pvdm", "pvdbow", "asm"])
+def test_long_documents_in_runs_give_the_same(monkeypatch, kind):
+    m = embed.DocumentModel(kind=kind, size=4, negative=3)
+    r = np.random.default_rng(3)
+    doc = [r.integers(0, 9, n).tolist() for n in r.integers(1, 5, 40)]
+    width = m.size if kind == "asm" else m.width
+
+    def stepped(run):
+        monkeypatch.setattr(embed, "RUN", run, raising=False)
+        w = embed.Words({}, np.ones(9), np.random.default_rng(1).random((9, width)), np.random.default_rng(2).random((9, m.width)))
+        d = embed._step(doc, np.full(m.width, 0.1), w, m, np.cumsum(np.full(9, 1 / 9)), np.random.default_rng(4), True)
+        return d, w.into, w.out
+
+    for one, other in zip(stepped(10_000), stepped(7), strict=True):
+        np.testing.assert_allclose(one, other)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut, spread
 
+RUN = 4096
+
 
 def fit_word2vec(sentences: DataFrame, column: str = "tokens", size: int = 100, window: int = 8, least: int = 8, rounds: int = 5, seed: int = 1) -> Word2VecModel:
     """Skip-gram vectors of the words in an array column."""
@@ -100,28 +102,36 @@ def _contexts(doc: list[list[int]], d: np.ndarray, w: Words, m: DocumentModel) -
 
 
 def _step(doc: list[list[int]], d: np.ndarray, w: Words, m: DocumentModel, chance: np.ndarray, r: np.random.Generator, words_too: bool) -> np.ndarray:
-    """One pass over a document; returns its new vector and, if asked, moves the word weights in place."""
+    """One pass over a document; returns its new vector and, if asked, moves the word weights in place. Long documents go in runs of words to bound memory; the weights move after the last."""
     c, target, parts = _contexts(doc, d, w, m)
-    wrong = np.searchsorted(chance, r.random((len(target), m.negative)))
-    which = np.concatenate([target[:, None], wrong], axis=1)
-    aim = np.zeros(which.shape)
-    aim[:, 0] = 1
-    aim[:, 1:][wrong == target[:, None]] = 1
-    o = w.out[which]
-    error = m.rate * (aim - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c, o), -30, 30))))
-    back = np.einsum("ik,ikj->ij", error, o)
-    share = back / np.array([1 + len(p) for p in parts])[:, None]
-    if words_too:
-        np.add.at(w.out, which, error[:, :, None] * c[:, None, :] / len(target) ** 0.5)
-        for g, p in zip(share, parts, strict=True):
-            for k in p:
-                if m.kind == "asm":
-                    w.into[doc[k][0]] += g[: m.size]
-                    if len(doc[k]) > 1:
-                        np.add.at(w.into, doc[k][1:], g[m.size :] / (len(doc[k]) - 1))
-                else:
-                    w.into[k] += g
-    return d + share.sum(axis=0) / len(target) ** 0.5
+    total, scale = np.zeros(m.width), len(target) ** 0.5
+    moved = w if len(target) <= RUN or not words_too else Words(w.number, w.count, np.zeros_like(w.into), np.zeros_like(w.out))
+    for at in range(0, len(target), RUN):
+        run = slice(at, at + RUN)
+        wrong = np.searchsorted(chance, r.random((len(target[run]), m.negative)))
+        which = np.concatenate([target[run, None], wrong], axis=1)
+        aim = np.zeros(which.shape)
+        aim[:, 0] = 1
+        aim[:, 1:][wrong == target[run, None]] = 1
+        o = w.out[which]
+        error = m.rate * (aim - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c[run], o), -30, 30))))
+        back = np.einsum("ik,ikj->ij", error, o)
+        share = back / np.array([1 + len(p) for p in parts[run]])[:, None]
+        total += share.sum(axis=0)
+        if words_too:
+            np.add.at(moved.out, which, error[:, :, None] * c[run, None, :] / scale)
+            for g, p in zip(share, parts[run], strict=True):
+                for k in p:
+                    if m.kind == "asm":
+                        moved.into[doc[k][0]] += g[: m.size]
+                        if len(doc[k]) > 1:
+                            np.add.at(moved.into, doc[k][1:], g[m.size :] / (len(doc[k]) - 1))
+                    else:
+                        moved.into[k] += g
+    if moved is not w:
+        w.into += moved.into
+        w.out += moved.out
+    return d + total / scale
 
 
 def _numbered(tokens: list | None, w: Words) -> list[list[int]]:

@@ -310,8 +310,8 @@ def arith_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(kind: str, spark: SparkSession, d: str) -> DataFrame:
-    """Document vectors of functions, trained on their instructions."""
-    text = _lines(spark, d).select(F.col("record_id").alias("id"), F.transform(F.slice("lines", 1, 400), T.plain_tokens).alias("tokens"))
+    """Document vectors of functions, trained on all of their instructions."""
+    text = _lines(spark, d).select(F.col("record_id").alias("id"), F.transform("lines", T.plain_tokens).alias("tokens"))
     m = E.DocumentModel(kind=kind, size=16, negative=5, rounds=1, infer_rounds=2)
     return E.infer_documents(text, E.fit_documents(text, m), m)
 
