@@ -71,3 +71,20 @@ def test_long_documents_in_runs_give_the_same(monkeypatch, kind):
 
     for one, other in zip(stepped(10_000), stepped(7), strict=True):
         np.testing.assert_allclose(one, other)
+
+
+@pytest.mark.parametrize(
+    ("name", "fixed", "changes"),
+    [
+        ("id_sequences_250", "id_sequences", [("n <= 50", "n <= 250")]),
+        ("id_sequences_block_stop_250", "id_sequences_block_stop", [("before < 50", "before < 250")]),
+        ("id_sequences_padded_150", "id_sequences_padded", [("n <= 30", "n <= 150"), ("list_resize(i, 30, 0)", "list_resize(i, 150, 0)")]),
+    ],
+)
+def test_sequences_of_the_reference_lengths(spark, sf, name, fixed, changes):
+    sql = Q.SQL[fixed]
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    _, why = compare(spark, sf, Q.QUERIES[name], sql)
+    assert not why

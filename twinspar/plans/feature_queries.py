@@ -64,14 +64,14 @@ def bags(spark: SparkSession, d: str) -> DataFrame:
     return A.bags(ids(spark, d), [*KEY, "block"])
 
 
-def sequences(stop: bool, spark: SparkSession, d: str) -> DataFrame:
-    out = A.sequences(ids(spark, d), KEY, ["block", "pos"], 50, stop)
+def sequences(stop: bool, spark: SparkSession, d: str, longest: int = 50) -> DataFrame:
+    out = A.sequences(ids(spark, d), KEY, ["block", "pos"], longest, stop)
     return out.select("record_id", X.joined(F.col("ids")).alias("ids"))
 
 
-def padded(spark: SparkSession, d: str) -> DataFrame:
-    out = A.sequences(ids(spark, d), KEY, ["block", "pos"], 30)
-    return out.select("record_id", X.joined(T.cut_and_padded(F.transform("ids", lambda x: x + 1), 30)).alias("ids"), T.capped_size(F.col("ids"), 30).cast("bigint").alias("size"))
+def padded(spark: SparkSession, d: str, longest: int = 30) -> DataFrame:
+    out = A.sequences(ids(spark, d), KEY, ["block", "pos"], longest)
+    return out.select("record_id", X.joined(T.cut_and_padded(F.transform("ids", lambda x: x + 1), longest)).alias("ids"), T.capped_size(F.col("ids"), longest).cast("bigint").alias("size"))
 
 
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -363,6 +363,9 @@ QUERIES = {
     "id_sequences": partial(sequences, False),
     "id_sequences_block_stop": partial(sequences, True),
     "id_sequences_padded": padded,
+    "id_sequences_250": partial(sequences, False, longest=250),
+    "id_sequences_block_stop_250": partial(sequences, True, longest=250),
+    "id_sequences_padded_150": partial(padded, longest=150),
     "class_counts": class_counts,
     "function_rollup": rollup,
     "tokenize_asm": asm_tokens,
