@@ -26,7 +26,9 @@ def column(spark, kind, values, f):
 
 def test_source_names(spark):
     given = ["_Z5_finiPvi", "foo.constprop.3.isra.0", "bar@@V_3.1", "bar@plt", ".die", "j_read_list", "__start", "sub_D920", "fcn.80001cf0", "FUN_00402f60", "nullsub_12", "foo_3", "foo.part.1", "foo.cold", "", " ", None, "j__init", "sub_add", "_ZN3foo3barEv", "x.lto_priv.7", "_Z99short"]
-    want = ["fini", "foo", "bar", "bar", "die", "read_list", "start", None, None, None, None, "foo", "foo", "foo", None, None, None, "init", "sub_add", "_ZN3foo3barEv", "x", "short"]
+    given += ["fcn.00001390", "sub.123", "loc.77", "fcn.00001390.cold", "j_fcn.00401390", "fcn.80001cf0@plt", "fcn.main", "_ZNK2ns5Thing3runEPKc", "_ZN3fooC1Ev", "_ZL4helpi", "memcpy.2", "_ZN3foo3barEv.isra.0"]
+    want = ["fini", "foo", "bar", "bar", "die", "read_list", "start", None, None, None, None, "foo", "foo", "foo", None, None, None, "init", "sub_add", "foo::bar", "x", "short"]
+    want += [None, None, None, None, None, None, "fcn.main", "ns::Thing::run", "_ZN3fooC1Ev", "help", "memcpy", "foo::bar"]
     assert column(spark, "string", given, names.source_name) == want
 
 
