@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-_PREFIX = r"replace(regexp_replace(regexp_replace({0}, '_Z([0-9N])', chr(1) || '\1', 'g'), '^(\.|j_|__imp_|thunk_|_)+', ''), chr(1), '_Z')"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+# What stands before a name: dots, underscores that begin no mangled name, thunk and import marks. Underscores of _Z are hidden while they go.
+_PREFIX = r"replace(regexp_replace(regexp_replace({0}, '_Z(L?[0-9N])', chr(1) || '\1', 'g'), '^(\.|j_|__imp_|thunk_|_)+', ''), chr(1), '_Z')"
+# A name that a disassembler made up from an address or a number, whatever a compiler or linker put behind it.
+_PLACEHOLDER = r"'^_*(sub|FUN|fcn|fun|loc|locret|nullsub|off|unk|byte|unknown_libname|func|thunk_FUN|case|j_sub)[_.]([0-9A-F]+|[0-9a-f]*[0-9][0-9a-f]*)(_\d+)?(\.[a-z_]+|\.\d+|@+[A-Za-z_][A-Za-z0-9_.]*)*$'"
 
 
 def name_sql(table: str, out: str, keep: str, column: str = "func_name") -> str:
-    """CTEs that end in `out`: the columns `keep` and name, the source-level name of `column`."""
-    return rf"""{out}_1 AS (SELECT {keep}, regexp_replace({_PREFIX.format(_TRIM.format(column))}, '(\.(cold|isra|constprop|part|lto_priv|llvm|clone)(\.\d+)*|\.\d+|@plt|@{{1,2}}[A-Za-z_][A-Za-z0-9_.]*)+$', '') AS b FROM {table}),
-    {out}_2 AS (SELECT {keep}, CASE WHEN regexp_extract(b, '^_ZL?(\d{{1,4}})', 1) <> '' THEN substr(b, length(regexp_extract(b, '^_ZL?\d{{1,4}}')) + 1, regexp_extract(b, '^_ZL?(\d{{1,4}})', 1)::INT) ELSE b END AS b FROM {out}_1),
-    {out}_3 AS (SELECT {keep}, {_PREFIX.format('b')} AS b FROM {out}_2),
-    {out} AS (SELECT {keep}, CASE WHEN regexp_matches(b, '^_*(sub|FUN|fcn|fun|loc|locret|nullsub|off|unk|byte|unknown_libname|func|thunk_FUN|case|j_sub)[_.]([0-9A-F]+|[0-9a-f]*[0-9][0-9a-f]*)(_\d+)?$') OR regexp_replace(b, '_\d{{1,2}}$', '') = '' THEN NULL
-        ELSE regexp_replace(b, '_\d{{1,2}}$', '') END AS name FROM {out}_3)"""
+    """CTEs that end in `out`: the columns `keep` and name, the source-level name of `column`. What is no name at all is taken out first."""
+    return rf"""{out}_0 AS (SELECT {keep}, {_PREFIX.format(_TRIM.format(column))} AS b FROM {table}),
+    {out}_1 AS (SELECT {keep}, regexp_matches(b, {_PLACEHOLDER}) AS no_name, regexp_replace(b, '(\.(cold|isra|constprop|part|lto_priv|llvm|clone)(\.\d+)*|\.\d+|@plt|@{{1,2}}[A-Za-z_][A-Za-z0-9_.]*)+$', '') AS b FROM {out}_0),
+    {out}_2 AS (SELECT {keep}, no_name, CASE WHEN regexp_extract(b, '^_ZL?(\d{{1,4}})', 1) <> '' THEN substr(b, length(regexp_extract(b, '^_ZL?\d{{1,4}}')) + 1, regexp_extract(b, '^_ZL?(\d{{1,4}})', 1)::INT) ELSE b END AS b FROM {out}_1),
+    {out}_3 AS (SELECT {keep}, no_name, {_PREFIX.format('b')} AS b FROM {out}_2),
+    {out} AS (SELECT {keep}, CASE WHEN no_name OR regexp_matches(b, {_PLACEHOLDER}) THEN NULL ELSE nullif(regexp_replace(b, '_\d{{1,2}}$', ''), '') END AS name FROM {out}_3)"""
 
 
 _ROWS = rf"""{name_sql('flowchart', 'nm', 'func_id, split_name, hashopcodes, bb_list, start_ea, idb_path')},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import project_of, source_name
 from ..session import table
+from .sets import spread_join
 from .splits import grouped_splits, related, vertex
 
 SHARES = {"training": 0.7, "validation": 0.15, "testing": 0.15}
@@ -21,9 +22,10 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of projects of a component; a component of many projects is cut into pieces by the number of its pairs."""
     labels = related(rows(spark, d), ["name"]).where("vertex like '0:%'").withColumn("project", F.substring("vertex", 3, 1 << 30))
     one = lambda i: labels.select("label", F.col("project").alias(f"project_{i}"))
-    return one(1).join(one(2), "label").where("project_1 < project_2").select("project_1", "project_2")
+    return spread_join(one(1), one(2), "label").where("project_1 < project_2").select("project_1", "project_2")
 
 
 def splits(spark: SparkSession, d: str) -> DataFrame:
