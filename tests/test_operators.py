@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinspar.functions import names, paths
+from twinspar.functions import mnemonics, names, paths
 from twinspar.functions import tokens as T
 from twinspar.functions import vectors as V
-from twinspar.operators import curate, graph, metrics, models, pairs, signature, strands
+from twinspar.operators import curate, features, graph, metrics, models, pairs, signature, strands
 
 # The bytes of a known function, block by block, and its signature of 16 words.
 BLOCKS = ["gD15CSAAAHUv", "SIM9DwggAABVSInldAw=", "SIs9OgggAOgN////", "6Ej////GBVEJIAABXcM=", "88M="]
@@ -71,6 +71,56 @@ def test_simhash_is_stable_and_local():
     assert a == b and a != f(EDGES[:2])
 
 
+# The instructions of that function, and the counters of its blocks (instructions, call, redirect, transfer, arith, logic) and constants.
+LINES = {
+    1968: ["cmp byte ptr [rip + 0x200979], 0", "jne 0x7e8"],
+    1977: ["cmp qword ptr [rip + 0x20080f], 0", "push rbp", "mov rbp, rsp", "je 0x7d3"],
+    1991: ["mov rdi, qword ptr [rip + 0x20083a]", "call 0x6e0"],
+    2003: ["call 0x720", "mov byte ptr [rip + 0x200951], 1", "pop rbp", "ret"],
+    2024: ["ret"],
+}
+COUNTED = {1968: (2, 0, 1, 0, 0, 0), 1977: (4, 0, 1, 2, 0, 0), 1991: (2, 1, 1, 1, 0, 0), 2003: (4, 1, 2, 1, 0, 0), 2024: (1, 0, 1, 0, 0, 0)}
+CONSTANTS = {1968: [0, 2024], 1977: [0, 2003], 1991: [1760], 2003: [1824, 1], 2024: []}
+
+
+def test_class_counts_golden(spark):
+    rows = [(1, m, n, i, line.split()[0]) for m in ("x86", None) for n, lines in LINES.items() for i, line in enumerate(lines)]
+    t = spark.createDataFrame(rows, "k int, machine string, block bigint, pos int, token string")
+    got = {r["block"]: tuple(r)[2:] for r in features.class_counts(t.where("machine = 'x86'"), ["k", "block"]).collect()}
+    assert got == COUNTED
+    whole = features.class_counts(t.where("machine = 'x86'"), ["k"]).first()
+    assert (whole["n_instructions"], whole["n_call"], whole["n_redirect"], whole["n_transfer"], whole["n_logic"]) == (13, 2, 6, 4, 0)
+    assert tuple(features.class_counts(t.where("machine is null"), ["k"]).first()) == (1, 13, 0, 0, 0, 0, 0)
+    assert features.class_counts(t.limit(0), ["k"]).count() == 0
+
+
+def test_classes_by_machine():
+    of = mnemonics.members
+    assert {"adceq", "adceqs", "adcseq", "subs", "mulsne", "qadd8nv", "ldrsb"} <= of("arm", "arithmetic") and "pop" not in of("arm", "transfer")
+    assert "push" in of("x86", "transfer") and "pop" not in of("x86", "transfer") and "not" not in of("x86", "logic")
+    assert of("sparc", "call") == set() and "jal" in of("mips", "call") and "bl" not in of("x86", "call")
+
+
+def test_constants_and_split_graph_golden(spark):
+    df = spark.createDataFrame([(1, n, x) for n, x in LINES.items()] + [(2, 7, None), (2, 8, ["ldr r0, [sp, #-0x10]!", "mov r1, #-5", None, "lw $v0, 0x10($sp)", "addiu $sp, $sp, -0x20", "mov eax, 0x1001", "movk x0, #0x1000"])], "k int, block bigint, disasm array<string>")
+    got = {(r["k"], r["block"]): r["numerics"] for r in features.block_constants(df, ["k", "block"]).collect()}
+    assert {b: x for (k, b), x in got.items() if k == 1} == CONSTANTS and got[2, 7] == [] and got[2, 8] == [-5, -32, 4096]
+    t = spark.createDataFrame([(1, "x86", n, i, line.split()[0]) for n, lines in LINES.items() for i, line in enumerate(lines)], "k int, machine string, block bigint, pos int, token string")
+    parts = features.sub_blocks(t, ["k"]).groupBy("k", "block", "part").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).withColumn("address", F.when(F.col("part") == 0, F.col("block")).otherwise(F.lit(2008).cast("bigint")))
+    nodes, edges = features.split_graph(parts, spark.createDataFrame([(1, a, b) for a, b in EDGES], "k int, src bigint, dst bigint"), "k")
+    assert {r["node"] for r in nodes.collect()} == {*NODES, 2008}
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {*EDGES, (2003, 2008)}
+
+
+def test_strings_and_incoming_calls(spark):
+    refs = spark.createDataFrame([(1, 10, 0x100), (1, 10, 0x90), (1, 10, 0x100), (1, 11, 0x5)], "k int, block int, address int")
+    got = features.block_strings(refs, spark.createDataFrame([(0x100, "b"), (0x90, "a"), (0x100, "b")], "address int, text string"), ["k", "block"]).collect()
+    assert [tuple(r) for r in got] == [(1, 10, ["a", "b"], 2)]
+    calls = spark.createDataFrame([("p", 1), ("p", 1), ("q", 1), ("p", None)], "binary string, target bigint")
+    own = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "binary string, address bigint")
+    assert {(r["binary"], r["address"]): r["n_incoming_calls"] for r in features.incoming_calls(calls, own).collect()} == {("p", 1): 2, ("p", 2): 0, ("q", 1): 1}
+
+
 def graph_row(spark):
     return spark.createDataFrame([(1, NODES, [*EDGES, (1968, 1977), (1, 2)]), (2, None, None), (3, [5], []), (4, [1, 2], [(1, 2), (2, 1), (1, 1)])], "k int, nodes array<bigint>, edges array<struct<src:bigint,dst:bigint>>")
 

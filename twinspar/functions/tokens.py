@@ -55,6 +55,21 @@ def immediate(operand: Column) -> Column:
     return F.when(operand.startswith("#-"), -value).otherwise(value)
 
 
+def immediates(instruction: Column) -> Column:
+    """The immediate operands of an instruction's text, in order: numbers that are operands of their own, in decimal or hexadecimal, with or without '#'
+    and a minus. What stands in brackets or braces, or before a bracket, is no immediate. Null for null."""
+    operands = F.regexp_replace(F.regexp_replace(F.lower(instruction), r"^\s*\S+\s*", ""), r"-?[0-9a-fx]*\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", "?")
+    words = F.transform(F.split(operands, ","), lambda x: F.regexp_replace(F.trim(x), "^#", ""))
+    found = F.filter(words, lambda x: x.rlike("^-?(?:0x[0-9a-f]{1,16}|[0-9]{1,18})$"))
+
+    def value(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^-", "")
+        n = F.when(digits.startswith("0x"), F.conv(F.substring(digits, 3, 16), 16, -10)).otherwise(digits).try_cast("bigint")
+        return F.when(x.startswith("-"), -n).otherwise(n)
+
+    return F.transform(found, value)
+
+
 def small_immediates(values: Column, most: int = 4096) -> Column:
     """Immediates that are no addresses: at most `most`, negative ones included."""
     return F.filter(values, lambda x: x <= most)

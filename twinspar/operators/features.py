@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codec import strand_bucket
-
-# Families of mnemonics by class, as patterns over lower-case mnemonics; a table (arch, class, mnem) can be given instead.
-CLASSES = {
-    "call": r"^(?:call|bl|blx|blr|jal|jalr|bal|balc|bgezal|bltzal)$",
-    "redirect": r"^(?:call|bl|blx|blr|bx|br|b|ret|retn|leave|iret|jr|j|jal|jalr|bal|balc|loop\w*|j[a-z]{1,4}|b\.?(?:eq|ne|cs|hs|cc|lo|mi|pl|vs|vc|hi|ls|ge|lt|gt|le|al)|b(?:eqz?|nez?|gez|gtz|lez|ltz)l?|cbn?z|tbn?z)$",
-    "transfer": r"^(?:mov\w*|lea|push\w*|pop\w*|xchg|cmov\w+|ld\w*|st[rpmu]\w*|str|l[bhwdu]\w*|li|la|s[bhwd]|sw[lr]|move|mrs|msr|adrp?|cdqe?|cwde?|bswap)$",
-    "arith": r"^(?:add\w*|adc|sub\w*|sbb|sbc|rsb|rsc|i?mul\w*|i?div\w*|inc|dec|neg|madd|msub|mla|mls|[dm]?addi?u?|[d]?subu?|mult?u?|d?divu?)$",
-    "logic": r"^(?:and\w*|x?or\w*|nor\w*|xori?|not|mvn|eor|bic|orn|test|tst|teq|sh[lr]\w*|sa[lr]|ro[lr]|ror|ls[lr]|asr|d?s[lr]l\w*|d?sra\w*)$",
-}
-
-
-def classed(mnemonic: Column) -> dict[str, Column]:
-    """Whether a lower-case mnemonic belongs to each class."""
-    return {c: mnemonic.rlike(p) for c, p in CLASSES.items()}
+from ..functions.mnemonics import COUNTERS, counters, members
+from ..functions.tokens import immediates, small_immediates
 
 
 def instructions(df: DataFrame, keys: list[str], blocks: str = "basic_blocks", field: str = "bb_mnems") -> DataFrame:
@@ -80,19 +70,62 @@ def bags(ids: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def class_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_instructions and one count for each class of mnemonics."""
-    return tokens.groupBy(*keys).agg(F.count("*").alias("n_instructions"), *(F.count_if(c).alias(f"n_{name}") for name, c in classed(F.col("token")).items()))
+    """keys, n_instructions and one count for each class of mnemonics. tokens: keys, machine (see `machine_of`), token.
+
+    The classes are those of the row's machine, from a table of fixed size that is broadcast. An unknown machine has no classes, only a number of instructions.
+    """
+    table = F.broadcast(counters(tokens.sparkSession))
+    counts = (F.count_if(F.coalesce(f"is_{n}", F.lit(False))).alias(f"n_{n}") for n in COUNTERS)
+    return tokens.join(table, ["machine", "token"], "left").groupBy(*keys).agg(F.count("*").alias("n_instructions"), *counts)
 
 
 def block_tokens(tokens: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, class, n by a table (class, mnem), as a join: for classes that no pattern describes."""
+    """keys, class, n by a table (class, mnem) of the caller's own, as a join."""
     return tokens.join(table.select("class", F.col("mnem").alias("token")), "token").groupBy(*keys, "class").agg(F.count("*").alias("n"))
 
 
+def block_constants(blocks: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
+    """keys, numerics ARRAY<BIGINT>, n_numeric_consts: the immediate operands of a block's instructions, in order, that are at most `most` (negative ones
+    included), whatever they stand for. blocks: keys, disasm ARRAY<STRING>. A null list gives an empty array."""
+    numbers = F.flatten(F.transform(F.coalesce("disasm", F.array().cast("array<string>")), lambda i: F.coalesce(immediates(i), F.array().cast("array<bigint>"))))
+    return blocks.select(*keys, small_immediates(numbers, most).alias("numerics")).withColumn("n_numeric_consts", F.size("numerics").cast("bigint"))
+
+
+def block_strings(refs: DataFrame, strings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, strings ARRAY<STRING> in order of addresses, n_string_consts. refs: keys, address (data that the block's instructions refer to); strings:
+    address, text. A string counts once for each block; blocks that refer to none have no row."""
+    used = refs.select(*keys, "address").distinct().join(strings.select("address", "text").distinct(), "address")
+    packed = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("address", "text"))).alias("s"))
+    return packed.select(*keys, F.transform("s", lambda x: x["text"]).alias("strings"), F.size("s").cast("bigint").alias("n_string_consts"))
+
+
+def incoming_calls(refs: DataFrame, functions: DataFrame) -> DataFrame:
+    """`functions` (binary, address, other columns) with n_incoming_calls, the code references (binary, target) to each address; 0 where there are none."""
+    n = refs.where("target is not null").groupBy("binary", F.col("target").alias("address")).agg(F.count("*").alias("n_incoming_calls"))
+    return functions.join(n, ["binary", "address"], "left").withColumn("n_incoming_calls", F.coalesce("n_incoming_calls", F.lit(0)).cast("bigint"))
+
+
 def sub_blocks(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens with `part`: a block is cut after each call."""
-    calls = F.sum(F.when(classed(F.col("token"))["call"], 1).otherwise(0)).over(W.partitionBy(*keys, "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    return tokens.withColumn("part", F.coalesce(calls, F.lit(0)).cast("bigint"))
+    """Tokens with `part`: a block is cut after each call of its machine. tokens: keys, machine, block, pos, token."""
+    calls = {m: sorted(members(m, "call")) for m in ("x86", "arm", "mips")}
+    call = reduce(lambda a, b: a | b, [(F.col("machine") == m) & F.col("token").isin(c) for m, c in calls.items()])
+    before = F.sum(F.when(call, 1).otherwise(0)).over(W.partitionBy(*keys, "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    return tokens.withColumn("part", F.coalesce(before, F.lit(0)).cast("bigint"))
+
+
+def split_graph(parts: DataFrame, edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (key, node, block, part, n_instructions) and edges (key, src, dst) of a graph whose blocks are cut after calls.
+
+    parts: key, block, part, address, n, one row for each part; its node is the address of its first instruction, the block's for the first part. edges: key,
+    src, dst between blocks. A part leads to the next one of its block, the last one to where the block led; blocks without instructions lead nowhere.
+    """
+    nodes = parts.select(key, F.when(F.col("part") == 0, F.col("block")).otherwise(F.col("address")).alias("node"), "block", "part", F.col("n").alias("n_instructions"))
+    after = F.lead("node").over(W.partitionBy(key, "block").orderBy("part"))
+    chained = nodes.withColumn("__next", after)
+    inside = chained.where("__next is not null").select(key, F.col("node").alias("src"), F.col("__next").alias("dst"))
+    last = chained.where("__next is null").select(key, F.col("block").alias("src"), F.col("node").alias("__last"))
+    outside = edges.join(last, [key, "src"]).select(key, F.col("__last").alias("src"), "dst")
+    return nodes, inside.unionByName(outside).distinct()
 
 
 def strand_histogram(expressions: DataFrame, keys: list[str], text: str, bits: int = 10) -> DataFrame:

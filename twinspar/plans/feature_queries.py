@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import codec as X
 from ..functions import tokens as T
 from ..functions import vectors as V
+from ..functions import mnemonics as M
+from ..functions.mnemonics import counters, machine_of
+from ..functions.names import hex_number
 from ..operators import embed as E
 from ..operators import features as A
 from ..operators import graph as G
@@ -74,8 +77,29 @@ def padded(spark: SparkSession, d: str, longest: int = 30) -> DataFrame:
     return out.select("record_id", X.joined(T.cut_and_padded(F.transform("ids", lambda x: x + 1), longest)).alias("ids"), T.capped_size(F.col("ids"), longest).cast("bigint").alias("size"))
 
 
+def machine_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens with the family of the function's machine."""
+    return A.instructions(acfg(spark, d).withColumn("machine", machine_of(F.col("arch"))), [*KEY, "machine"])
+
+
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return A.class_counts(tokens(spark, d), KEY)
+    return A.class_counts(machine_tokens(spark, d), KEY)
+
+
+def block_constants(spark: SparkSession, d: str) -> DataFrame:
+    """The small immediates of each block, as text, and how many there are."""
+    blocks = acfg(spark, d).select("record_id", F.explode("basic_blocks").alias("block", "b")).select("record_id", "block", F.col("b.bb_disasm").alias("disasm"))
+    return A.block_constants(blocks, ["record_id", "block"]).select("record_id", "block", X.joined(F.col("numerics")).alias("numerics"), "n_numeric_consts")
+
+
+def incoming_calls(spark: SparkSession, d: str) -> DataFrame:
+    """How often the code of the same binary, as far as the table has it, calls or jumps to the start of each function."""
+    a = acfg(spark, d)
+    lines = a.select(F.col("idb_path").alias("binary"), machine_of(F.col("arch")).alias("machine"), F.explode(F.map_values("basic_blocks")).alias("b")).select("binary", "machine", F.explode("b.bb_disasm").alias("i"))
+    lines = lines.select("binary", "machine", F.lower(F.regexp_extract("i", r"^\s*(\S+)", 1)).alias("token"), T.immediates(F.col("i")).alias("n"))
+    jumps = lines.join(F.broadcast(counters(spark)), ["machine", "token"]).where("is_redirect").select("binary", F.explode("n").alias("target"))
+    functions = a.select(F.col("idb_path").alias("binary"), hex_number(F.col("fva")).alias("address"), "record_id")
+    return A.incoming_calls(jumps, functions).select("record_id", "n_incoming_calls")
 
 
 def rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +169,15 @@ def strands(spark: SparkSession, d: str) -> DataFrame:
 
 def sub_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Instructions of each block and of its parts between calls."""
-    return A.sub_blocks(tokens(spark, d), KEY).groupBy("record_id", "block", "part").agg(F.count("*").alias("n"))
+    return A.sub_blocks(machine_tokens(spark, d), KEY).groupBy("record_id", "block", "part").agg(F.count("*").alias("n"))
+
+
+def split_graph(which: int, spark: SparkSession, d: str) -> DataFrame:
+    """Nodes or edges of the graphs whose blocks are cut after calls. A part whose address is not given has the block's address plus its first place."""
+    heads = acfg(spark, d).select("record_id", F.explode("basic_blocks").alias("block", "b")).select("record_id", "block", F.col("b.bb_heads").alias("heads"))
+    parts = A.sub_blocks(machine_tokens(spark, d), KEY).groupBy("record_id", "block", "part").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+    parts = parts.join(heads, ["record_id", "block"]).withColumn("address", F.coalesce(F.get("heads", F.col("pos")), F.col("block") + F.col("pos")))
+    return A.split_graph(parts, G.edges_of(acfg(spark, d), "record_id"), "record_id")[which]
 
 
 def edges(known: bool, spark: SparkSession, d: str) -> DataFrame:
@@ -184,10 +216,11 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_features(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of classes, reachable nodes and betweenness of each node."""
+    """Counts of classes and constants, reachable nodes and betweenness of each node."""
     n = G.nodes_of(acfg(spark, d), "record_id")
-    classes = A.class_counts(tokens(spark, d), ["record_id", "block"]).withColumnRenamed("block", "node")
-    return A.joined_features(n, classes, offspring(spark, d), betweenness(spark, d), on=["record_id", "node"])
+    classes = A.class_counts(machine_tokens(spark, d), ["record_id", "block"]).withColumnRenamed("block", "node")
+    constants = block_constants(spark, d).select("record_id", F.col("block").alias("node"), "n_numeric_consts")
+    return A.joined_features(n, classes, constants, offspring(spark, d), betweenness(spark, d), on=["record_id", "node"])
 
 
 def walks(spark: SparkSession, d: str) -> DataFrame:
@@ -204,9 +237,9 @@ def walk_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
-    """record_id, nodes, edges, x: eight numbers of each node."""
+    """record_id, nodes, edges, x: eight numbers of each node. String constants are not in the table and count 0."""
     f = node_features(spark, d)
-    columns = ["n_instructions", "n_call", "n_redirect", "n_transfer", "n_arith", "n_logic", "n_offspring", "betweenness"]
+    columns = ["n_numeric_consts", "n_transfer", "n_call", "n_instructions", "n_arith", "n_logic", "n_offspring", "betweenness"]
     x = f.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("node", F.array(*(F.log1p(F.col(c).cast("double")) for c in columns))))).alias("x"))
     return acfg(spark, d).select("record_id", "nodes", "edges").join(x, "record_id")
 
@@ -375,7 +408,11 @@ QUERIES = {
     "strand_slices": strands,
     "codec_hist": codec_hist,
     "codec_coo": codec_coo,
+    "block_constants": block_constants,
+    "incoming_calls": incoming_calls,
     "call_split_blocks": sub_blocks,
+    "call_split_nodes": partial(split_graph, 0),
+    "call_split_edges": partial(split_graph, 1),
     "cfg_edges": partial(edges, True),
     "cfg_edges_all": partial(edges, False),
     "cfg_nodes": nodes,
@@ -409,13 +446,36 @@ _TOK = r"""b AS (SELECT record_id, e.key AS block, e.value.bb_mnems AS m FROM (S
     c AS (SELECT token, count(*) AS n FROM t GROUP BY token)"""
 _IDS = f"""{_TOK}, v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM c QUALIFY id < {TOP}),
     ids AS (SELECT t.record_id, t.block, t.pos, coalesce(v.id, -1) AS id FROM t LEFT JOIN v USING (token))"""
-_CLASSES = ", ".join(f"count(*) FILTER (regexp_matches(token, '{p}')) AS n_{k}" for k, p in A.CLASSES.items())
+def _class_sql() -> str:
+    """CTEs cls (machine, class, token) and flags (machine, token, one BOOLEAN for each counter), from the listed values and the rule of Arm's conditions."""
+    listed = " UNION ALL ".join(f"SELECT '{m}' AS machine, '{c}' AS class, unnest(string_split('{' '.join(t.split())}', ' ')) AS token" for (m, c), t in M.LISTED.items())
+    words = lambda x: f"(SELECT unnest(string_split('{' '.join(x)}', ' ')) AS w)"
+    conditions = f"(SELECT w FROM {words(M.CONDITIONS)} UNION ALL SELECT '')"
+    plain = f"SELECT 'arm', 'arithmetic', a.w || c.w FROM {words(M.ARM_STEMS)} a, {conditions} c"
+    flags = f"SELECT 'arm', 'arithmetic', a.w || s FROM {words(M.ARM_FLAG_STEMS)} a, {conditions} c, (SELECT unnest([c.w, c.w || 's', 's' || c.w]) AS s)"
+    counted = ", ".join(f"bool_or(class IN ({', '.join(map(repr, k))})) AS is_{n}" for n, k in M.COUNTERS.items())
+    return f"cls AS ({listed} UNION ALL {plain} UNION ALL {flags}), flags AS (SELECT machine, token, {counted} FROM cls GROUP BY machine, token)"
+
+
+_MACHINE = "mach AS (SELECT record_id, lower(trim(split_part(arch, '-', 1))) AS machine FROM acfg_disasm)"
+_CLASSES = ", ".join(f"count(*) FILTER (coalesce(is_{n}, false)) AS n_{n}" for n in M.COUNTERS)
+_COUNTED = f"{_class_sql()}, {_MACHINE}, k AS (SELECT record_id, count(*) AS n_instructions, {_CLASSES} FROM t JOIN mach USING (record_id) LEFT JOIN flags USING (machine, token) GROUP BY record_id)"
 _DIS = """d AS (SELECT record_id, e.key AS block, e.value.bb_disasm AS l, e.value.bb_norm AS nl FROM (SELECT record_id, unnest(map_entries(basic_blocks)) AS e FROM acfg_disasm))"""
 _EDGE = """g AS (SELECT record_id, nodes, unnest(list_distinct(edges)) AS e FROM acfg_disasm), k AS (SELECT record_id, e.src AS src, e.dst AS dst FROM g WHERE list_contains(nodes, e.src) AND list_contains(nodes, e.dst)),
     n AS (SELECT DISTINCT record_id, unnest(nodes) AS node FROM acfg_disasm)"""
 _DEG = f"""{_EDGE}, deg AS (SELECT n.record_id, n.node, (SELECT count(*) FROM k WHERE k.record_id = n.record_id AND k.dst = n.node) AS n_in, (SELECT count(*) FROM k WHERE k.record_id = n.record_id AND k.src = n.node) AS n_out FROM n WHERE node IS NOT NULL)"""
 _ADJ = f"""{_EDGE}, o AS (SELECT record_id, node, row_number() OVER (PARTITION BY record_id ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY record_id) AS n FROM n WHERE node IS NOT NULL),
     adj AS (SELECT k.record_id, a.i AS row, z.i AS col, a.n AS n FROM k JOIN o a ON a.record_id = k.record_id AND a.node = src JOIN o z ON z.record_id = k.record_id AND z.node = dst)"""
+_CALLS = " OR ".join(f"machine = '{m}' AND token IN ({', '.join(map(repr, sorted(M.members(m, 'call'))))})" for m in ("x86", "arm", "mips"))
+_PARTS = f"""{_TOK}, {_MACHINE}, s AS (SELECT t.*, coalesce(sum(coalesce({_CALLS}, false)::INT) OVER (PARTITION BY record_id, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part FROM t JOIN mach USING (record_id))"""
+_SPLIT = """heads AS (SELECT record_id, e.key AS block, e.value.bb_heads AS h FROM (SELECT record_id, unnest(map_entries(basic_blocks)) AS e FROM acfg_disasm)),
+    nodes AS (SELECT record_id, block, part, CASE WHEN part = 0 THEN block ELSE coalesce(any_value(h)[min(pos) + 1], block + min(pos)) END AS node, count(*) AS n_instructions FROM s JOIN heads USING (record_id, block) GROUP BY record_id, block, part)"""
+_OPERANDS = r"""lines AS (SELECT record_id, block, i, lower(l[i]) AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT record_id, e.key AS block, e.value.bb_disasm AS l FROM (SELECT record_id, unnest(map_entries(basic_blocks)) AS e FROM acfg_disasm)))),
+    ops AS (SELECT record_id, block, i, regexp_extract(t, '^\s*(\S+)', 1) AS token, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '^\s*\S+\s*', ''), '-?[0-9a-fx]*\([^)]*\)|\[[^\]]*\]|\{[^}]*\}', '?', 'g'), ','),
+        lambda x: regexp_replace(trim(x), '^#', '')), lambda x: regexp_full_match(x, '-?(0x[0-9a-f]{1,16}|[0-9]{1,18})')) AS found FROM lines WHERE t IS NOT NULL)"""
+_NUMBERS = f"""{_OPERANDS}, one AS (SELECT record_id, block, i, unnest(range(1, len(found) + 1)) AS j, found FROM ops),
+    n AS (SELECT record_id, block, list(CASE WHEN found[j] LIKE '-%' THEN -1 ELSE 1 END * (CASE WHEN found[j] LIKE '%0x%' THEN '0x' || regexp_replace(found[j], '^-?0x', '') ELSE regexp_replace(found[j], '^-', '') END)::BIGINT ORDER BY i, j) AS numbers FROM one GROUP BY ALL),
+    per_block AS (SELECT b.record_id, b.block, n.numbers FROM (SELECT record_id, unnest(map_keys(basic_blocks)) AS block FROM acfg_disasm) b LEFT JOIN n USING (record_id, block))"""
 _HIST = f"""{_DIS}, x AS (SELECT record_id, unnest(nl) AS e FROM d), h AS (SELECT record_id, (('0x' || substr(md5(e), 3, 2) || substr(md5(e), 1, 2))::BIGINT & 1023) AS bucket, count(*) AS n FROM x WHERE e IS NOT NULL GROUP BY ALL)"""
 SQL = {
     "vocab_topk": f"WITH {_IDS} SELECT token, n, id FROM v",
@@ -430,10 +490,10 @@ SQL = {
         SELECT record_id, string_agg(id::VARCHAR, ';' ORDER BY block, pos) AS ids FROM ids JOIN a USING (record_id, block) WHERE before < 50 GROUP BY record_id""",
     "id_sequences_padded": f"""WITH {_IDS}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY block, pos) AS n FROM ids), l AS (SELECT record_id, list(id + 1 ORDER BY n) AS i FROM r WHERE n <= 30 GROUP BY record_id)
         SELECT record_id, array_to_string(list_resize(i, 30, 0), ';') AS ids, len(i) AS size FROM l""",
-    "class_counts": f"WITH {_TOK} SELECT record_id, count(*) AS n_instructions, {_CLASSES} FROM t GROUP BY record_id",
-    "function_rollup": f"""WITH {_TOK}, k AS (SELECT record_id, count(*) AS n_instructions, {_CLASSES} FROM t GROUP BY record_id)
+    "class_counts": f"WITH {_TOK}, {_COUNTED} SELECT * FROM k",
+    "function_rollup": f"""WITH {_TOK}, {_COUNTED}
         SELECT record_id, coalesce(cardinality(basic_blocks), 0)::BIGINT AS n_blocks, coalesce(len(edges), 0) AS n_edges, coalesce(list_sum(list_transform(map_values(basic_blocks), lambda x: coalesce(x.bb_len, 0))), 0)::BIGINT AS n_bytes,
-        coalesce(n_instructions, 0) AS n_instructions, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in A.CLASSES)} FROM acfg_disasm LEFT JOIN k USING (record_id)""",
+        coalesce(n_instructions, 0) AS n_instructions, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in M.COUNTERS)} FROM acfg_disasm LEFT JOIN k USING (record_id)""",
     "tokenize_asm": rf"WITH {_DIS}, l AS (SELECT unnest(l) AS i FROM d), t AS (SELECT unnest(regexp_split_to_array(lower(i), '[#,{{}}+\-*\\\[\]:()\s]')) AS token FROM l) SELECT token, count(*) AS n FROM t WHERE token <> '' GROUP BY token",
     "tokenize_trace": rf"""WITH {_DIS}, f AS (SELECT record_id, list_filter(flatten(list(coalesce(l, []) ORDER BY block)), lambda x: x IS NOT NULL) AS l FROM d GROUP BY record_id),
         i AS (SELECT record_id, i - 1 AS inst, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(l[i], '([,\[\]:*(){{}}!])', ' \1 ', 'g'), '[#$]', '', 'g'), '-([0-9a-fA-F]+)', '- \1', 'g'), '\s+'), lambda x: x <> '') AS t
@@ -446,8 +506,15 @@ SQL = {
     "codec_hist": f"WITH {_HIST} SELECT record_id, string_agg(bucket || ':' || n, ';' ORDER BY bucket) AS text, count(*) AS buckets FROM h GROUP BY record_id",
     "codec_coo": f"""WITH {_ADJ} SELECT record_id, string_agg(row::VARCHAR, ';' ORDER BY row, col) || '::' || string_agg(col::VARCHAR, ';' ORDER BY row, col) || '::' || string_agg('1', ';') || '::' || n || '::' || n AS text,
         count(*) AS entries FROM adj GROUP BY record_id, n""",
-    "call_split_blocks": rf"""WITH {_TOK}, s AS (SELECT *, coalesce(sum(regexp_matches(token, '{A.CLASSES['call']}')::INT) OVER (PARTITION BY record_id, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part FROM t)
-        SELECT record_id, block, part, count(*) AS n FROM s GROUP BY ALL""",
+    "block_constants": f"""WITH {_NUMBERS} SELECT record_id, block, coalesce(array_to_string(list_filter(numbers, lambda x: x <= 4096), ';'), '') AS numerics, coalesce(len(list_filter(numbers, lambda x: x <= 4096)), 0) AS n_numeric_consts FROM per_block""",
+    "incoming_calls": f"""WITH {_OPERANDS}, {_class_sql()}, {_MACHINE}, r AS (SELECT idb_path, CASE WHEN x LIKE '-%' THEN -1 ELSE 1 END * (CASE WHEN x LIKE '%0x%' THEN '0x' || regexp_replace(x, '^-?0x', '') ELSE regexp_replace(x, '^-', '') END)::BIGINT AS target
+        FROM (SELECT o.record_id, token, unnest(found) AS x FROM ops o) o JOIN mach USING (record_id) JOIN flags f USING (machine, token) JOIN acfg_disasm a USING (record_id) WHERE is_redirect),
+        n AS (SELECT idb_path, target, count(*) AS n FROM r GROUP BY ALL)
+        SELECT record_id, coalesce(n, 0) AS n_incoming_calls FROM (SELECT record_id, idb_path, ('0x' || regexp_replace(lower(trim(fva)), '^0x', ''))::BIGINT AS address FROM acfg_disasm) a LEFT JOIN n ON n.idb_path = a.idb_path AND n.target = a.address""",
+    "call_split_blocks": f"WITH {_PARTS} SELECT record_id, block, part, count(*) AS n FROM s GROUP BY ALL",
+    "call_split_nodes": f"WITH {_PARTS}, {_SPLIT} SELECT record_id, node, block, part, n_instructions FROM nodes",
+    "call_split_edges": f"""WITH {_PARTS}, {_SPLIT}, {_EDGE}, ends AS (SELECT *, row_number() OVER (PARTITION BY record_id, block ORDER BY part DESC) AS back, lead(node) OVER (PARTITION BY record_id, block ORDER BY part) AS nxt FROM nodes)
+        SELECT record_id, node AS src, nxt AS dst FROM ends WHERE nxt IS NOT NULL UNION SELECT k.record_id, z.node, k.dst FROM k JOIN ends z ON z.record_id = k.record_id AND z.block = k.src AND back = 1""",
     "cfg_edges": f"WITH {_EDGE} SELECT record_id, src, dst FROM k",
     "cfg_edges_all": f"WITH {_EDGE} SELECT record_id, e.src AS src, e.dst AS dst FROM g WHERE e.src IS NOT NULL AND e.dst IS NOT NULL",
     "cfg_nodes": f"WITH {_EDGE} SELECT record_id, node FROM n WHERE node IS NOT NULL UNION SELECT record_id, e.src FROM g WHERE e.src IS NOT NULL AND e.dst IS NOT NULL UNION SELECT record_id, e.dst FROM g WHERE e.src IS NOT NULL AND e.dst IS NOT NULL",
