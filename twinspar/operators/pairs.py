@@ -85,11 +85,18 @@ def negatives(left: DataFrame, pool: DataFrame, task: str, probes: int = 16, cou
     """
     size = pool.agg(F.count("*").alias("__size"))
     slots = left.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")).where("__n1 is not null").crossJoin(F.broadcast(size)).where("__size > 0")
-    tries = slots.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
+    slots = slots.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     seed = lambda j: F.concat_ws(":", F.col(f"{id}_1").cast("string"), F.lit(task), F.col("k").cast("string"), j.cast("string"))
-    found = tries.withColumn("idx", probe(seed(F.col("j")), F.col("__size"))).join(pool.select("idx", F.col(id).alias(f"{id}_2"), F.col(name).alias("__n2")), "idx")
-    found = cut(found.groupBy(f"{id}_1", "k").agg(F.max("__n1").alias("__n1"), F.min_by(f"{id}_2", F.when(F.col("__n1") != F.col("__n2"), F.col("j"))).alias(f"{id}_2")))
-    out, empty = found.where(f"{id}_2 is not null").drop("__n1"), found.where(f"{id}_2 is null").drop(f"{id}_2")
+    places = pool.select("idx", F.col(id).alias(f"{id}_2"), F.col(name).alias("__n2"))
+    other = F.col("__n1") != F.col("__n2")
+    first = slots.withColumn("idx", probe(seed(F.lit(0)), F.col("__size"))).join(places, "idx")
+    first = cut(first.select(f"{id}_1", "k", "__n1", F.when(other, F.col(f"{id}_2")).alias(f"{id}_2")))
+    out = first.where(f"{id}_2 is not null").drop("__n1")
+    # Only slots that the first probe did not fill are probed again.
+    again = first.where(f"{id}_2 is null").drop(f"{id}_2").crossJoin(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(probes - 1))))
+    found = again.withColumn("idx", probe(seed(F.col("j")), F.col("__size"))).join(places, "idx").groupBy(f"{id}_1", "k").agg(F.max("__n1").alias("__n1"), F.min_by(f"{id}_2", F.when(other, F.col("j"))).alias(f"{id}_2"))
+    found = cut(found)
+    out, empty = out.unionByName(found.where(f"{id}_2 is not null").drop("__n1")), found.where(f"{id}_2 is null").drop(f"{id}_2")
     if not empty.isEmpty():
         after = _next_names(pool, id, name)
         places = after.agg(F.count("*").alias("__size"))

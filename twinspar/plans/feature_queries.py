@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 import numpy as np
@@ -22,7 +21,7 @@ from ..operators import models as N
 from ..operators import strands as S
 from ..operators.pairs import all_against
 from ..sources import io
-from ..session import cut, shared_dir, spread, table
+from ..session import cut, scratch, spread, table
 from ..streaming import streams
 
 KEY = ["record_id"]
@@ -355,7 +354,7 @@ def header_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_round(spark: SparkSession, d: str) -> DataFrame:
     """flowchart's key columns through CSV and back."""
-    where = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    where = scratch(spark, "csv")
     io.write_csv(table(spark, d, "flowchart").select("func_id", "fva", "bb_num", "split_name"), where)
     return io.read_csv(spark, where, "func_id bigint, fva string, bb_num int, split_name string")
 
@@ -368,7 +367,7 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by day and type, counted from a stream of files that is worked off once."""
     e = table(spark, d, "events")
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     source = streams.read_stream(spark, _folder(spark, d, "events"), e)
     out = streams.counts(source, "ts", "1 day", [F.col("event_type")], "3650 days")
 
@@ -382,7 +381,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession, d: str, name: str) -> str:
     """A folder that holds a copy of a table as files, for the stream to read."""
-    where = f"{shared_dir(spark)}/in-{uuid.uuid4().hex}"
+    where = scratch(spark, "in")
     table(spark, d, name).write.parquet(where)
     return where
 

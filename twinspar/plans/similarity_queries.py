@@ -15,7 +15,7 @@ from ..operators.signature import WEIGHTS, function_bytes, graph_hashes, minhash
 from ..session import cut, table
 
 NEGATIVES = 100
-PROBES = 4
+PROBES = 16
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -36,11 +36,11 @@ def _with_next(e: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scored positives (each vector with the next one of its label) and negatives (100 vectors of other labels each; the SQL leaves out those that its 4 probes do not find)."""
-    e = cut(numbered(vectors(spark, d).withColumnRenamed("vec_id", "func_id").withColumnRenamed("label", "func_name"), ["func_id"]))
+    """Scored positives (each vector with the next one of its label) and negatives (100 vectors of other labels each). Vectors are brought to length 1 once."""
+    e = cut(numbered(vectors(spark, d).select(F.col("vec_id").alias("func_id"), F.col("label").alias("func_name"), V.unit(F.col("v")).alias("v")), ["func_id"]))
     pos = _with_next(e).select(F.col("func_id").alias("func_id_1"), "func_id_2", F.col("func_id").alias("idx"))
-    neg = P.negatives(e, e, "rank", count=NEGATIVES)
-    sim = lambda p: P.described(p, e, ["v", "func_name"]).withColumn("sim", F.round(V.cosine(F.col("v_1"), F.col("v_2")), 6)).drop("v_1", "v_2")
+    neg = P.negatives(e.drop("v"), e.drop("v"), "rank", PROBES, NEGATIVES)
+    sim = lambda p: P.described(p, e, ["v", "func_name"]).withColumn("sim", F.coalesce(F.round(V.dot(F.col("v_1"), F.col("v_2")), 6), F.lit(0.0))).drop("v_1", "v_2")
     return cut(sim(pos)), cut(sim(neg))
 
 
@@ -215,8 +215,12 @@ _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COS = "list_cosine_similarity({0}, {1})"
 _SCORED = f"""{_E}, pool AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, * FROM e),
     pos AS (SELECT a.vec_id AS id1, a.label, round({_COS.format('a.v', 'b.v')}, 6) AS sim FROM (SELECT *, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM e) a JOIN e b ON b.vec_id = a.nxt),
-    tries AS (SELECT l.vec_id AS id1, l.label AS n1, k, j, ('0x' || substr(md5(l.vec_id || ':rank:' || k || ':' || j), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS idx FROM pool l, range({NEGATIVES}) r(k), range({PROBES}) q(j)),
-    negid AS (SELECT id1, k, arg_min(p.vec_id, j) AS id2 FROM tries t JOIN pool p USING (idx) WHERE n1 <> p.label GROUP BY id1, k),
+    tries AS (SELECT l.vec_id AS id1, l.label AS n1, k, j, ('0x' || substr(md5(l.vec_id || ':rank:' || k || ':' || j), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS idx FROM pool l, range({NEGATIVES}) r(k), range({PROBES}) q(j) WHERE l.label IS NOT NULL),
+    hit AS (SELECT id1, n1, k, arg_min(p.vec_id, j) FILTER (n1 <> p.label) AS id2 FROM tries t JOIN pool p USING (idx) GROUP BY id1, n1, k),
+    places AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS place, vec_id, label FROM pool WHERE label IS NOT NULL),
+    later AS (SELECT h.id1, h.k, arg_min(q.vec_id, (q.place - ('0x' || substr(md5(h.id1 || ':rank:' || k || ':{PROBES}'), 1, 8))::BIGINT % z.n + z.n) % z.n) AS id2
+        FROM (SELECT * FROM hit WHERE id2 IS NULL) h, (SELECT count(*) AS n FROM places) z, places q WHERE q.label <> h.n1 GROUP BY h.id1, h.k),
+    negid AS (SELECT id1, k, id2 FROM hit WHERE id2 IS NOT NULL UNION ALL SELECT id1, k, id2 FROM later),
     neg AS (SELECT id1, a.label, round({_COS.format('a.v', 'b.v')}, 6) AS sim FROM negid JOIN e a ON a.vec_id = id1 JOIN e b ON b.vec_id = id2),
     rk AS (SELECT pos.id1, pos.label, 1 + count(*) FILTER (neg.sim >= pos.sim) AS rmin, 1 + count(*) FILTER (neg.sim > pos.sim) AS rmax FROM pos JOIN neg USING (id1) GROUP BY pos.id1, pos.label)"""
 _LAB = "lab AS (SELECT label AS task, sim, 1 AS y FROM pos UNION ALL SELECT label, sim, 0 FROM neg)"

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "twinspar", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,13 +31,16 @@ def get_session(app: str = "twinspar", master: str | None = None, shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where none is set (tests, local mode) a temporary one is made."""
+    """The folder of spark.checkpoint.dir; only where none is set in local mode (tests) a temporary one is made. On a cluster without it this raises: a folder of one
+    machine would not be seen by the others."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), f"twinspar-{uuid.uuid4().hex[:12]}")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -52,16 +56,22 @@ def cut(df: DataFrame) -> DataFrame:
     later join broadcasts it only if it is small. `forget` or the end of the process removes the files.
     """
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    where = scratch(spark, "cut")
     df.write.parquet(where)
-    if not _WRITTEN:
-        atexit.register(forget_all)
-    _WRITTEN[where] = spark
     out = spark.read.schema(df.schema).parquet(where)
     out._cut_at = where
     return out
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed at the end of the process."""
+    where = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(forget_all)
+    _WRITTEN[where] = spark
+    return where
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files behind a table made by `cut`; nothing may read it afterwards."""
     where = getattr(df, "_cut_at", None)
@@ -84,15 +94,29 @@ def forget_all() -> None:
     _WRITTEN.clear()
 
 
+#: Inputs with more bytes than this for each core are cut into enough tasks by their files.
+SPREAD_BELOW = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df with a partition for each core at least: for work that costs far more than moving its input, when a small file would give it to one task.
+    """df with a partition for each core: for work that costs far more than moving its input, when a small file would give it to one task.
 
-    Larger inputs have more partitions than cores and stay as they are.
+    The size is that of the files below the plan, which the optimizer knows; nothing is run. Larger inputs stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPREAD_BELOW else df
+
+
+_SCHEMAS: dict[tuple, T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table `name` of a data folder. Its schema is read from the files once, and again when the files have changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (f"{sf_dir}/{name}", state.getModificationTime(), state.getLen())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(f"{sf_dir}/{name}.parquet")
