@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from twinspar.llm import overlap
 from twinspar.llm.overlap import OverlapParams, overlap_report, overlapping_pairs, segment_codes, size_classes
-from twinspar.llm.sets import spread_join
+from twinspar.llm.sets import bucket_pairs, spread_join
 
 SCHEMA = "id bigint, train boolean, name string, digest string, items array<bigint>, extra string"
 
@@ -57,8 +58,8 @@ def test_segments_lose_no_pair():
         if len(b) < 5:
             continue
         items = pa.array([sorted(a), sorted(b)], pa.list_(pa.int64()))
-        out = segment_codes(pa.array([0, 1]), np.array([7, 7]), items, p)
-        side = [{c for c, k in zip(out.column("code").to_pylist(), out.column("cid").to_pylist(), strict=True) if k == i} for i in (0, 1)]
+        code, row, _, _ = segment_codes(np.array([7, 7]), items, p)
+        side = [set(code[row == i].tolist()) for i in (0, 1)]
         assert side[0] & side[1]
 
 
@@ -80,5 +81,17 @@ def test_hot_keys_are_split(spark):
     assert got.count() == 300 * 200 + 1 and got.distinct().count() == 300 * 200 + 1
 
 
+@pytest.mark.parametrize("most", [3, 2048])
+def test_bucket_pairs_against_brute_force(spark, most):
+    r = random.Random(9)
+    rows = [(r.choice([1, 2, 3, 4, 5]), i, i % 7) for i in range(120)] + [(9, 1000 + i, 0) for i in range(40)] + [(77, 5, 1)] + [(78, 3, 3), (78, 4, 4)] * 2
+    accept = lambda x, y: (x[0] < y[0]) & (x[1] + y[1] > 5)
+    df = spark.createDataFrame(rows, "code bigint, id bigint, w bigint")
+    got = [tuple(x) for x in bucket_pairs(df, ["id"], ["w"], accept, most).collect()]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] + b[2] > 5}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert bucket_pairs(df.limit(0), ["id"], ["w"], accept, most).count() == 0
+
+
 def test_params_are_frozen():
     assert overlap.OverlapParams().num == 4

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sets import jaccard_at_least, key128, mix64, spread_join
+from .sets import bucket_pairs, jaccard_at_least, key128, mix64, spread_join
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,8 @@ def size_classes(most: int, p: OverlapParams) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(segments)
 
 
-def segment_codes(cid: pa.Array, name: np.ndarray, items: pa.ListArray, p: OverlapParams) -> pa.RecordBatch:
-    """code, cid, fp (64-bit parity fingerprint) and n of each segment of each set, for its own size class and the next.
+def segment_codes(name: np.ndarray, items: pa.ListArray, p: OverlapParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """code, row, fp (64-bit parity fingerprint) and n of each segment of each set, for its own size class and the next.
 
     The element 0, which nearly all sets have, is left out of the segments; that only brings sets nearer together.
     """
@@ -75,23 +75,23 @@ def segment_codes(cid: pa.Array, name: np.ndarray, items: pa.ListArray, p: Overl
             codes.append(mix64(total + seed))
         rows.append(row)
     row = np.concatenate(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(codes).view(np.int64)), cid.take(pa.array(row)), pa.array(fp.view(np.int64)[row]), pa.array(n[row].astype(np.int32))], names=["code", "cid", "fp", "n"]
-    )
-
-
-#: The key of a class, a name or a digest: 128 bits.
-KEY = "struct<a:bigint,b:bigint>"
+    return np.concatenate(codes).view(np.int64), row, fp.view(np.int64)[row], n[row]
 
 
 def _blocks(classes: DataFrame, p: OverlapParams) -> DataFrame:
+    """code, a, b (the class), fp, n, sides (1: has a training row, 2: has a held-out row) of each segment of each class."""
+    names = ["code", "a", "b", "fp", "n", "sides"]
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                yield segment_codes(b.column(0), np.asarray(b.column(1), dtype=np.int64), b.column(2), p)
+                c = batch.slice(at, 2000)
+                code, row, fp, n = segment_codes(np.asarray(c.column(2), dtype=np.int64), c.column(3), p)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(code), c.column(0).take(take), c.column(1).take(take), pa.array(fp), pa.array(n), c.column(4).take(take)], names=names)
 
-    return classes.select("cid", "nk.a", "items").mapInArrow(kernel, f"code bigint, cid {KEY}, fp bigint, n int")
+    sides = (F.col("t").cast("int") + F.col("h").cast("int") * 2).cast("bigint").alias("sides")
+    return classes.select("cid.a", "cid.b", F.col("nk.a").alias("name"), "items", sides).mapInArrow(kernel, ", ".join(f"{c} bigint" for c in names))
 
 
 def prepare(df: DataFrame, p: OverlapParams, keep: list[str] = []) -> DataFrame:
@@ -118,9 +118,14 @@ def class_pairs(rows: DataFrame, p: OverlapParams) -> DataFrame:
     named = rows.join(on_both_sides(rows, "nk"), "nk").groupBy("cid", "nk", "items").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("h"))
     classes = cut(named)
     same = classes.where("t and h").select(F.col("cid").alias("cid_t"), F.col("cid").alias("cid_h"))
-    side = lambda flag, tag: _blocks(classes.where(flag), p).withColumnsRenamed({c: f"{c}_{tag}" for c in ("cid", "fp", "n")})
-    near = F.bit_count(F.col("fp_t").bitwiseXOR(F.col("fp_h"))) * (p.num + p.den) <= (F.col("n_t") + F.col("n_h")) * (p.den - p.num)
-    candidates = side("t", "t").join(side("h", "h"), "code").where((F.col("cid_t") != F.col("cid_h")) & near).select("cid_t", "cid_h").distinct()
+
+    def accept(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """x has a training row, y a held-out one, and the fingerprints are within the radius of the two sizes."""
+        (_, _, fx, nx, sx), (_, _, fy, ny, sy) = x, y
+        return (sx & 1 > 0) & (sy & 2 > 0) & (np.bitwise_count((fx ^ fy).view(np.uint64)).astype(np.int64) * (p.num + p.den) <= (nx + ny) * (p.den - p.num))
+
+    found = bucket_pairs(_blocks(classes, p), ["a", "b"], ["fp", "n", "sides"], accept)
+    candidates = found.select(F.struct(F.col("a_l").alias("a"), F.col("b_l").alias("b")).alias("cid_t"), F.struct(F.col("a_r").alias("a"), F.col("b_r").alias("b")).alias("cid_h"))
     sets = lambda tag: classes.where(tag).select(F.col("cid").alias(f"cid_{tag}"), F.col("nk").alias(f"nk_{tag}"), F.col("items").alias(f"items_{tag}"))
     verified = candidates.join(sets("t"), "cid_t").join(sets("h"), "cid_h").where((F.col("nk_t") == F.col("nk_h")) & jaccard_at_least(F.col("items_t"), F.col("items_h"), p.num, p.den))
     return cut(same.unionByName(verified.select("cid_t", "cid_h")))

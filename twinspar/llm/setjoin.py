@@ -4,8 +4,15 @@ Each set gets bands*rows minwise hashes; a band is the hash of `rows` of them, a
 candidates. They are deduplicated and verified on the sets exactly, in whole numbers. A pair at the threshold t is
 missed with probability (1 - t^rows)^bands, about 1e-5 with the parameters used here; a pair above it more rarely.
 
-Equal sets are one class from the start: they need no search, and a group of copies costs one row. Buckets are
-joined by their codes with adaptive splitting of skewed partitions, and hot classes are split by `spread_join`.
+Values that very many sets have say little, but sets that share some of them would meet in many buckets, and such meetings grow with the square of the
+table. So lists are hashed without their frequent values F (in more than `common_least` classes and more than 1 in `COMMON_SHARE` of all; they are
+counted over all classes). If B has a share f of its values in F, a pair at the threshold t still overlaps by (t - f)/(1 - f) in the rest, whatever its partner is: at most
+f|B| of what the two share is in F. Sets fall in levels by f; bands of each level are cut for its overlap, so that a pair is missed no more often than above. A set takes part in the
+bands of its own level and of all lighter ones, so a pair meets at the level of its lighter set. The last level hashes whole sets.
+
+Equal sets are one class from the start: they need no search, and a group of copies costs one row. Buckets come
+together by their codes; hot ones are compared piece by piece in tasks of their own (`bucket_pairs`), and hot classes are split by `spread_join`.
+Sets whose sizes alone exclude the overlap are no candidates.
 
 Defined results. Null sets and empty sets are in no pair. Repeated elements count once. Two records with equal sets have
 overlap 1 and are a pair. An empty table has no pairs.
@@ -15,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sets import jaccard_at_least, key128, mix64, spread_join
+from .sets import bucket_pairs, jaccard_at_least, key128, mix64, spread_join
 
 
 @dataclass(frozen=True)
@@ -34,6 +42,29 @@ class Bands:
     num: int
     den: int
     seed: int = 11
+    common_least: int = 1000
+
+    @property
+    def missed(self) -> float:
+        """The chance that a pair at the threshold shares no band."""
+        return (1 - (self.num / self.den) ** self.rows) ** self.bands
+
+
+#: Frequent values are in more than one in so many sets. There are at most so many of them as COMMON_SHARE average sets have values; they are broadcast.
+COMMON_SHARE = 1000
+#: Shares of frequent values up to which a set is in the first, second, ... level.
+LEVELS = (0.1, 0.35)
+
+
+def levels(p: Bands) -> list[tuple[float, Bands]]:
+    """The greatest share of frequent values and the bands of each level but the last, for the overlap that is left without them."""
+    out = []
+    for i, share in enumerate(LEVELS):
+        left = (p.num / p.den - share) / (1 - share)
+        if left > 0:
+            rows = max(1, round(log(0.2) / log(left)))
+            out.append((share, Bands(ceil(log(p.missed) / log(1 - left**rows)), rows, p.num, p.den, p.seed + 1 + i)))
+    return out
 
 
 def _factors(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,28 +73,55 @@ def _factors(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _band_codes(signature: np.ndarray, p: Bands) -> np.ndarray:
-    """(sets, bands*rows) to (sets, bands) 64-bit codes; the band's number is part of a code."""
+    """(sets, bands*rows) to (sets, bands) 64-bit codes; the seed and the band's number are part of a code."""
     out = np.empty((len(signature), p.bands), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(p.bands):
-            code = np.full(len(signature), mix64(np.array([b + 1], np.uint64))[0])
+            code = np.full(len(signature), mix64(np.array([b + 1 + (p.seed << 32)], np.uint64))[0])
             for j in range(p.rows):
                 code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + signature[:, b * p.rows + j].astype(np.uint64))
             out[:, b] = code
     return out
 
 
-def list_bands(items: pa.ListArray, p: Bands) -> np.ndarray:
-    """Band codes of lists of whole numbers; no list is empty."""
-    offsets = np.asarray(items.offsets, dtype=np.int64)
-    values = np.asarray(items.values, dtype=np.int64)[offsets[0] : offsets[-1]]
-    x = (mix64(values.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+def _signature(x: np.ndarray, start: np.ndarray, p: Bands) -> np.ndarray:
+    """Minwise hashes of lists that begin at `start`, none of them empty. x: the elements, mixed to 32 bits."""
     a, c = _factors(p.bands * p.rows, p.seed)
-    signature = np.empty((len(items), len(a)), np.uint32)
-    start = offsets[:-1] - offsets[0]
+    signature = np.empty((len(start), len(a)), np.uint32)
     for i in range(len(a)):
         signature[:, i] = np.minimum.reduceat(x * a[i] + c[i], start)
-    return _band_codes(signature, p)
+    return signature
+
+
+def list_bands(items: pa.ListArray, p: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Band codes of lists of whole numbers, and the list of each; no list is empty. common: the frequent values, sorted."""
+    offsets = np.asarray(items.offsets, dtype=np.int64)
+    values = np.asarray(items.values, dtype=np.int64)[offsets[0] : offsets[-1]]
+    start, n = offsets[:-1] - offsets[0], np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    x = (mix64(values.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    rare = ~np.isin(values, common) if common is not None and len(common) else np.ones(len(values), bool)
+    left = np.bincount(owner[rare], minlength=len(n))
+    share = 1 - left / np.maximum(n, 1)
+    codes, rows = [], []
+    lightest = -1.0
+    for most, bands in levels(p):
+        # This level's own sets and the heavier ones, as far as they have values that are not frequent.
+        here = np.flatnonzero((share > lightest) & (left > 0))
+        if len(here):
+            inside = np.zeros(len(n), bool)
+            inside[here] = True
+            kept = rare & inside[owner]
+            codes.append(_band_codes(_signature(x[kept], np.cumsum(left[here]) - left[here], bands), bands).ravel())
+            rows.append(np.repeat(here, bands.bands))
+        lightest = most
+    heavy = np.flatnonzero((share > lightest) | (left == 0))
+    if len(heavy):
+        inside = np.zeros(len(n), bool)
+        inside[heavy] = True
+        codes.append(_band_codes(_signature(x[inside[owner]], np.cumsum(n[heavy]) - n[heavy], p), p).ravel())
+        rows.append(np.repeat(heavy, p.bands))
+    return np.concatenate(codes) if codes else np.zeros(0, np.uint64), np.concatenate(rows) if rows else np.zeros(0, np.int64)
 
 
 def word_bands(words: np.ndarray, p: Bands) -> np.ndarray:
@@ -85,21 +143,39 @@ def word_bands(words: np.ndarray, p: Bands) -> np.ndarray:
     return _band_codes(signature, p)
 
 
-def _buckets(sets: DataFrame, kind: str, codes: Callable, p: Bands) -> DataFrame:
-    """code, cid of every band of every set."""
+def _buckets(sets: DataFrame, value: str, codes: Callable) -> DataFrame:
+    """code, cid, n of every band of every set. sets: cid, value, n (its size)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                code = codes(b.column(1), p)
-                yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), p.bands)))], names=["code", "cid"])
+                code, row = codes(b.column(1))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), b.column(0).take(row), b.column(2).take(row)], names=["code", "cid", "n"])
+
+    return sets.select("cid", value, F.col("n").cast("bigint").alias("n")).mapInArrow(kernel, "code bigint, cid bigint, n bigint")
+
 
-    return sets.select("cid", kind).mapInArrow(kernel, "code bigint, cid bigint")
+def _word_codes(p: Bands) -> Callable:
+    def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return word_bands(np.asarray(column, dtype=np.int64).view(np.uint64), p).ravel(), np.repeat(np.arange(len(column)), p.bands)
 
+    return codes
 
-def _word_codes(column: pa.Array, p: Bands) -> np.ndarray:
-    return word_bands(np.asarray(column, dtype=np.int64).view(np.uint64), p)
+
+def _list_codes(classes: DataFrame, value: str, p: Bands) -> Callable:
+    common = frequent_values(classes, value, p)
+    held = classes.sparkSession.sparkContext.broadcast(common)
+    return lambda column: list_bands(column, p, held.value)
+
+
+def frequent_values(classes: DataFrame, value: str, p: Bands) -> np.ndarray:
+    """The values in more than `common_least` classes and more than one in COMMON_SHARE of them, sorted. Counted over all classes, pre-aggregated. What comes to the driver has no
+    more numbers than COMMON_SHARE average sets. Which values count as frequent changes the work, not the result."""
+    n = classes.count()
+    counts = classes.select(F.explode(value).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > max(p.common_least, n // COMMON_SHARE))
+    return np.sort(np.array([r["v"] for r in counts.select("v").toLocalIterator()], np.int64))
 
 
 def prepare(df: DataFrame, value: str) -> DataFrame:
@@ -122,9 +198,15 @@ def classes_of(rows: DataFrame, groups: DataFrame, value: str) -> DataFrame:
 def similar_classes(classes: DataFrame, value: str, p: Bands) -> DataFrame:
     """cid_1 < cid_2 of different sets (or words) whose overlap is num/den or more."""
     array = classes.schema[value].dataType.typeName() == "array"
-    buckets = _buckets(classes, value, list_bands if array else _word_codes, p)
-    left, right = buckets.withColumnRenamed("cid", "cid_1"), buckets.withColumnRenamed("cid", "cid_2")
-    candidates = cut(left.join(right, "code").where("cid_1 < cid_2").select("cid_1", "cid_2").distinct())
+    size = F.size(value) if array else F.bit_count(value)
+    buckets = _buckets(classes.withColumn("n", size), value, _list_codes(classes, value, p) if array else _word_codes(p))
+
+    def accept(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Each pair once; sets of too unequal sizes cannot overlap enough."""
+        (x, m), (y, n) = a, b
+        return (x < y) & (np.minimum(m, n) * p.den >= np.maximum(m, n) * p.num)
+
+    candidates = cut(bucket_pairs(buckets, ["cid"], ["n"], accept).select(F.col("cid_l").alias("cid_1"), F.col("cid_r").alias("cid_2")))
     one = lambda i: classes.select(F.col("cid").alias(f"cid_{i}"), F.col(value).alias(f"v_{i}"))
     pairs = candidates.join(one(1), "cid_1").join(one(2), "cid_2")
     return pairs.where(_enough(F.col("v_1"), F.col("v_2"), array, p)).select("cid_1", "cid_2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,15 @@ CATALOG = Bands(bands=84, rows=3, num=1, den=2)
 FSS = Bands(bands=45, rows=13, num=9, den=10)
 
 
-_NUMBER = re.compile(r"(?<![\w.])\d{1,18}(?![\w.])")
+_NUMBER = re.compile(r"(?<![\w.])\d+(?![\w.])")
+
+
+def _number(digits: str) -> int:
+    """A number as BIGINT: itself below 2^63, else a negative one from a 63-bit hash, so that long numbers stay apart from each other and from short ones."""
+    n = int(digits[-4000:]) if len(digits) > 18 else int(digits)
+    if n < 1 << 63 and len(digits) <= 4000:
+        return n
+    return -1 - (int.from_bytes(hashlib.blake2b(digits.lstrip("0").encode(), digest_size=8).digest(), "big") >> 1)
 
 
 def number_sets(df: DataFrame, text: str) -> DataFrame:
@@ -25,7 +34,7 @@ def number_sets(df: DataFrame, text: str) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [sorted(set(map(int, _NUMBER.findall(t)))) or None if t else None for t in batch.column(len(keep)).to_pylist()]
+            items = [sorted(set(map(_number, _NUMBER.findall(t)))) or None if t else None for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(items, pa.list_(pa.int64()))], names=[*keep, "items"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
