@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .sets import bucket_pairs, jaccard_at_least, key128, mix64, spread_join
 
 
@@ -154,7 +154,7 @@ def _buckets(sets: DataFrame, value: str, codes: Callable) -> DataFrame:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), b.column(0).take(row), b.column(2).take(row)], names=["code", "cid", "n"])
 
-    return sets.select("cid", value, F.col("n").cast("bigint").alias("n")).mapInArrow(kernel, "code bigint, cid bigint, n bigint")
+    return spread(sets.select("cid", value, F.col("n").cast("bigint").alias("n"))).mapInArrow(kernel, "code bigint, cid bigint, n bigint")
 
 
 def _word_codes(p: Bands) -> Callable:
@@ -171,10 +171,15 @@ def _list_codes(classes: DataFrame, value: str, p: Bands) -> Callable:
 
 
 def frequent_values(classes: DataFrame, value: str, p: Bands) -> np.ndarray:
-    """The values in more than `common_least` classes and more than one in COMMON_SHARE of them, sorted. Counted over all classes, pre-aggregated. What comes to the driver has no
-    more numbers than COMMON_SHARE average sets. Which values count as frequent changes the work, not the result."""
-    n = classes.count()
-    counts = classes.select(F.explode(value).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > max(p.common_least, n // COMMON_SHARE))
+    """The values in more than `common_least` classes and more than one in COMMON_SHARE of them, sorted. Counted over all classes, pre-aggregated. There are at most as many full
+    counters and frequent values as COMMON_SHARE average sets have values. Which values count as frequent changes the work, not the result."""
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum(F.size(value)), F.lit(0))).first()
+    least = max(p.common_least, n // COMMON_SHARE)
+    # Hashed counters first, about `least` / 8 values each: only values whose counter is above the limit are counted one by one, so hardly a value is shuffled.
+    counters = max(1024, 8 * total // least)
+    values = classes.select(F.explode(value).alias("v")).withColumn("counter", F.pmod(F.xxhash64("v"), F.lit(counters)))
+    full = values.groupBy("counter").agg(F.count("*").alias("n")).where(F.col("n") > least).select("counter")
+    counts = values.join(F.broadcast(full), "counter").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > least)
     return np.sort(np.array([r["v"] for r in counts.select("v").toLocalIterator()], np.int64))
 
 
