@@ -5,7 +5,7 @@ bits of the identifiers that have the term, either as a sorted list of two bytes
 smaller, with the number of occurrences beside it. Every task builds the containers of its own records; containers of
 the same term and block are merged by union; the number of records is the sum of the cardinalities of a term's
 containers. A term in every record is spread over as many containers as there are blocks, so no term is hot, and two
-deliveries of the same record identifier count once.
+deliveries of the same record identifier count once. Containers are small where identifiers are dense; `dense` numbers records.
 
 Defined results. Terms are taken as given; null and empty terms are no terms. A record without terms counts among all records.
 An empty table gives no terms.
@@ -16,13 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.nested import as_list, child_index
+from ..session import cut
 
 #: Above so many members a bitmap, of 8 KB, is no larger than a list. Lists are shorter than bitmaps, so the length tells them apart.
 _LIST_MOST = 4095
@@ -136,14 +136,43 @@ def _build(df: DataFrame) -> DataFrame:
     return df.select("id", "terms").where(F.size("terms") > 0).mapInArrow(kernel, CONTAINER)
 
 
-def _union(parts: DataFrame) -> DataFrame:
-    """One container for each term and block. Members of a block are 65 536 at most, whatever the input."""
+def dense(df: DataFrame, name: str = "id") -> DataFrame:
+    """df, written once, with identifiers that follow each other inside each part of the files: a block of identifiers belongs to one task. The same files give the same
+    identifiers whenever they are read."""
+    return cut(df).withColumn(name, F.monotonically_increasing_id())
+
 
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        bits = group["bits"].iloc[0] if len(group) == 1 else pack(np.unique(np.concatenate([unpack(b) for b in group["bits"]])))
-        return pd.DataFrame({"term": [key[0]], "block": [key[1]], "bits": [bits], "occurrences": [group["occurrences"].sum()]})
+def _union(parts: DataFrame) -> DataFrame:
+    """One container for each term and block. Members of a block are 65 536 at most, whatever the input. Containers of one term and block come behind each
+    other in sorted partitions and are merged as they go by; most have no other and pass as they are."""
+
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        term, block = batch.column(0).dictionary_encode(), np.asarray(batch.column(1), dtype=np.int64)
+        code = np.asarray(term.indices, dtype=np.int64)
+        start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+        total = np.add.reduceat(np.asarray(batch.column(3), dtype=np.int64), start)
+        size = np.diff(np.r_[start, len(code)])
+        bits = batch.column(2).take(pa.array(start)).to_pylist()
+        for g in np.flatnonzero(size > 1):
+            same = batch.column(2).slice(start[g], size[g])
+            bits[g] = pack(np.unique(np.concatenate([unpack(b.as_py()) for b in same])))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start)), pa.array(block[start]), pa.array(bits, pa.binary()), pa.array(total)], names=["term", "block", "bits", "occurrences"])
 
-    return parts.groupBy("term", "block").applyInPandas(merge, CONTAINER)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last container, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            batch = merged(batch)
+            held = batch.slice(batch.num_rows - 1)
+            if batch.num_rows > 1:
+                yield batch.slice(0, batch.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return parts.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(kernel, CONTAINER)
 
 
 def bitmaps(df: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .termfreq import function_terms, marked, term_counts
+from .termfreq import dense, function_terms, marked, term_counts
 
 RARE_BELOW = 3
 COMMON_ABOVE = 0.5
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
-    """id, terms: of each (idb_path, fva) the row with the latest loaded_at, on a tie the greatest record_id.
+    """id, terms: of each (idb_path, fva) the row with the latest loaded_at, on a tie the greatest record_id; written once, ids are dense.
 
     A row's terms are counted before the shuffle that finds the latest row, so blocks are not moved.
     """
@@ -22,7 +22,7 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
     rows = function_terms(a.select("record_id", "idb_path", "fva", "loaded_at", "nodes", words.alias("words")), ["record_id", "idb_path", "fva", "loaded_at"], "nodes", "words")
     latest = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "record_id")
     one = rows.groupBy("idb_path", "fva").agg(F.max_by(F.struct("record_id", "terms"), latest).alias("r"))
-    return one.select(F.col("r.record_id").alias("id"), F.col("r.terms").alias("terms"))
+    return dense(one.select(F.col("r.terms").alias("terms")))
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
