@@ -11,6 +11,8 @@ the tokens per source N_s are all that a step needs, so each step is an aggregat
 and only the gradient's size comes to the driver. Rates become whole copies by floor(rate) plus one for a share frac(rate) of the
 records, drawn by a hash of the record's id, so that the same copies come out on any cluster and after any failure.
 
+A source is short if the steps end with its lambda at the cap and the gradient still asking for more; an exact comparison in whole tokens follows.
+
 Defined results. Names of sources are compared in lower case without outer white space. Records whose source is null or no target count in T
 but get no copies. Null and empty texts have no tokens. A target without records cannot be reached unless its weight is 0. A null
 weight is 0, a null max_repeats is no limit.
@@ -22,6 +24,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,19 @@ from ..session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are tokenized in stretches of so many characters; that can add a token for each cut.
+#: Longer texts are tokenized in stretches of about so many characters. They are cut where the pattern always parts: before white space that follows something else, or
+#: between a mark (no apostrophe) and a letter. A text without such a place goes on to the next one, so the sum is that of the whole text.
 _STRETCH = 200_000
+_PARTS = regex.compile(r"(?<=\S)(?=\s)|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+
+
+def stretches(text: str, length: int = _STRETCH) -> Iterator[str]:
+    """The text in stretches whose tokens are those of the text."""
+    at = 0
+    while len(text) - at > length and (m := _PARTS.search(text, at + length)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -52,9 +66,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> Data
         def tokens(t: str | None) -> int:
             if not t:
                 return 0
-            if len(t) <= _STRETCH:
-                return len(encode(t))
-            return sum(len(encode(t[i : i + _STRETCH])) for i in range(0, len(t), _STRETCH))
+            return sum(len(encode(x)) for x in stretches(t))
 
         for batch in batches:
             n = pa.array([tokens(x.as_py()) for x in batch.column(len(keep))], pa.int64())
@@ -80,22 +92,30 @@ def masses(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def balance(mass: DataFrame, most_steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
     """`mass` with rate, the repeat count of the source, and short, whether the source cannot reach its target even at max_repeats.
 
-    Newton steps are cut at 1, which keeps the iteration from overshooting; it converges from any start.
+    Both are read off the solution. Newton steps are cut at 1, which keeps the iteration from overshooting; it converges from any start in about as many steps as
+    the logarithm of the rates. Raises if it has not after `most_steps`.
     """
     goal = F.col("weight") * F.col("total")
     cap = F.when(F.col("max_repeats").isNotNull(), F.log(F.greatest("max_repeats", F.lit(0)).cast("double")))
-    state = cut(mass.withColumn("goal", goal).withColumn("cap", F.coalesce(cap, F.lit(float("inf")))).withColumn("lam", F.least(F.lit(0.0), "cap")))
-    for _ in range(most_steps):
-        now = F.col("tokens") * F.exp("lam")
-        step = F.when(F.col("tokens") == 0, F.lit(0.0)).when(F.col("goal") <= 0, F.lit(-1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("goal") - now) / now)))
-        free = (F.col("tokens") > 0) & (F.col("goal") > 0) & ~((F.col("lam") >= F.col("cap")) & (F.col("goal") >= now))
-        worst = state.agg(F.max(F.when(free, F.abs(F.col("goal") - now) / F.col("goal")))).first()[0]
+    state = cut(mass.withColumn("goal", goal).withColumn("cap", F.coalesce(cap, F.when(F.col("max_repeats").isNotNull(), F.lit(float("-inf"))), F.lit(float("inf")))).withColumn("lam", F.least(F.lit(0.0), "cap")))
+    now = F.col("tokens") * F.exp("lam")
+    # The projected gradient is zero where lambda is free and the mass is the goal, where lambda is at its cap and more is asked for, and where nothing can be moved.
+    held = (F.col("lam") >= F.col("cap")) & (F.col("goal") >= now)
+    movable = (F.col("tokens") > 0) & (F.col("goal") > 0) & (F.col("cap") > F.lit(float("-inf")))
+    for step_no in range(most_steps + 1):
+        worst = state.agg(F.max(F.when(movable & ~held, F.abs(F.col("goal") - now) / F.col("goal")))).first()[0]
         if worst is None or worst < tolerance:
             break
+        if step_no == most_steps:
+            raise RuntimeError(f"no convergence in {most_steps} steps: a source is off its target by {worst:.3g}")
+        step = F.when(movable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("goal") - now) / now))).otherwise(0.0)
         state = cut(state.withColumn("lam", F.least(F.col("lam") + step, "cap")))
+    at_cap = (F.col("lam") >= F.col("cap")) | (F.col("tokens") == 0)
     rate = F.when((F.col("tokens") == 0) | (F.col("goal") <= 0), F.lit(0.0)).when(F.col("lam") >= F.col("cap"), F.col("max_repeats").cast("double")).otherwise(F.exp("lam"))
-    short = F.col("max_repeats").isNotNull() & (F.col("tokens") * F.col("max_repeats") < F.col("goal")) | F.col("max_repeats").isNull() & (F.col("tokens") == 0) & (F.col("goal") > 0)
-    return state.withColumn("rate", rate).withColumn("short", short).drop("lam", "cap", "goal")
+    # What the solution says, then the same in whole tokens, which settles targets that are reached to the token.
+    asks = at_cap & (F.col("goal") > 0) & (F.col("goal") >= now)
+    exact = F.when(F.col("tokens") == 0, F.lit(True)).otherwise(F.col("tokens") * F.col("max_repeats") < F.col("goal"))
+    return state.withColumn("rate", rate).withColumn("short", asks & exact).drop("lam", "cap", "goal")
 
 
 def copies(counted: DataFrame, rates: DataFrame) -> DataFrame:
