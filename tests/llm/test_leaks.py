@@ -44,6 +44,23 @@ def test_holds(spark):
     assert leaks(df.limit(0), spark_items).count() == 0 and leaks(df, spark_items.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items of one to six words: their own number of words is enough of a shingle."""
+    items = [(1, "zebra"), (2, "zebra crossing"), (3, "three blind mice"), (4, "one two three four five"), (5, "a b c d e f"), (6, "!!!")]
+    docs = [(10, "a Zebra, seen"), (11, "the crossing zebra"), (12, "blind mice"), (13, "blind and mice"), (14, "see one two"), (15, "c d e"), (16, "c x d x e"), (17, "nothing")]
+    got = {(x["id"], x["item"]) for x in leaks(spark.createDataFrame(docs, "id bigint, text string"), spark.createDataFrame(items, "item bigint, text string")).collect()}
+    assert got == {(10, 1), (11, 1), (10, 2), (11, 2), (12, 3), (14, 4), (15, 5)}
+
+
+def test_many_items_against_one_by_one(spark):
+    items = [(i, " ".join(text(25))) for i in range(400)]
+    docs = [(k, " ".join(text(40) + (items[k][1].split()[2:20] if k % 3 else []) + text(30))) for k in range(120)]
+    df = spark.createDataFrame(docs, "id bigint, text string")
+    got = {(x["id"], x["item"]) for x in leaks(df, spark.createDataFrame(items, "item bigint, text string")).collect()}
+    assert got == {(k, k) for k in range(120) if k % 3}
+    assert {(x["id"], x["item"]) for x in leaks(df, spark.createDataFrame(items, "item bigint, text string"), LeakParams(cover=0.0)).collect()} == got
+
+
 def test_bound_holds_for_alignments():
     import numpy as np
 
