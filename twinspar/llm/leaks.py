@@ -13,10 +13,9 @@ look-alikes do not change; in Chinese and Japanese, characters stand for words.
 5. Shingles in the item's order that are enough by themselves settle it; else in these windows a local alignment (a match +1, a changed, added or lost word -1) finds the item's words that stand there in order;
    the document holds the item if they are at least num/den of the item's words.
 
-Steps 3 and 4 ask that shared shingles cover `cover` = 0.14 of the item's words, so the search is not lossless. Of passages with exactly 0.4 of an item's words and every third word
-changed at random (simulated), it misses 1 % for items of 80 words, 5 % for 40 and 8 % for 20; with every fifth word changed none, 0.3 % and 1.5 %. Passages with a larger part
-of the item are missed less. cover = 0 is exact: then one shared shingle is enough to be looked at, at a cost that grows with the documents that share one; only passages without a single
-intact shingle stay unseen.
+Steps 3 and 4 ask that shared shingles cover `cover` = 0.2 of the item's words, so the search is not lossless. Of passages with exactly 0.4 of an item's words it misses (simulated, changes at
+random) with every eighth word changed none for items of 80 words, 0.05 % for 40 and 2 % for 20, with every fifth 0.1, 2 and 7 %, with every third 5, 16 and 26 %. Passages with a larger part of
+the item are missed less. A smaller `cover` misses less and aligns more pairs: 0.14 took three times the CPU; with 0 one shared shingle is enough.
 
 Items are broadcast in blocks of bounded size; a larger set of items takes more passes, not more memory.
 
@@ -61,7 +60,7 @@ class LeakParams:
 
     num: int = 2
     den: int = 5
-    cover: float = 0.14
+    cover: float = 0.2
     drift: float = 0.25
     block_chars: int = 16_000_000
 
@@ -102,6 +101,9 @@ class ItemIndex:
         self.item_first = np.cumsum([0, *map(len, keys)])
         self.key, self.item_code = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
         self.item_place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
+        by = np.argsort(self.item_code, kind="stable")
+        self.all_owner, self.all_place = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[by] if keys else np.zeros(0, np.int64), self.item_place[by]
+        self.all_first = np.searchsorted(self.item_code[by], np.arange(len(self.key) + 1))
         self.least = np.maximum(1, np.ceil(p.cover * self.size / self.q)).astype(np.int64)  # tau
         self.band = np.ceil(self.size * p.drift).astype(np.int64)
         self.rare_first, self.rare_owner = np.zeros(len(self.key) + 1, np.int64), np.zeros(0, np.int64)
@@ -165,32 +167,52 @@ class ItemIndex:
         pairs = np.unique(doc[row] * len(self.ids) + self.rare_owner[flat])
         if not len(pairs):
             return []
-        by = np.lexsort((at, code, doc))
-        at, keys = at[by], (doc * len(self.key) + code)[by]
         ends = np.cumsum([len(d) + Q - 1 for d in docs])
-        size = np.cumsum(self.size[pairs % len(self.ids)])
+        # All shared shingles of these pairs: from the documents' shingles to the items that have them, or from the items' to the documents, whichever is less to look at.
+        owners = np.diff(self.all_first)[code]
+        if owners.sum() <= self.size[pairs % len(self.ids)].sum():
+            cuts = np.flatnonzero(np.r_[True, np.diff(np.cumsum(owners) // _HITS_AT_ONCE) > 0])
+            runs = (self._of_documents(pairs, at[a:b], code[a:b], doc[a:b]) for a, b in _between(cuts, doc))
+        else:
+            by = np.lexsort((at, code, doc))
+            runs = self._of_items(pairs, at[by], (doc * len(self.key) + code)[by])
         out: list[tuple[int, int, int]] = []
+        for pair, place, where in runs:
+            out += self._held(pair, place, where, w, ends)
+        return out
+
+    def _of_documents(self, pairs: np.ndarray, at: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair (document * items + item), place in the item and in the documents of each shared shingle of the given pairs."""
+        flat, row = _expanded(self.all_first, code)
+        pair = doc[row] * len(self.ids) + self.all_owner[flat]
+        there = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        keep = pairs[there] == pair
+        return pair[keep], self.all_place[flat][keep], at[row[keep]]
+
+    def _of_items(self, pairs: np.ndarray, at: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same in runs of pairs. keys: document and shingle of each hit, sorted."""
+        size = np.cumsum(self.size[pairs % len(self.ids)])
         a = 0
-        while a < len(pairs):  # pairs in runs of bounded size
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _WORDS_AT_ONCE * 8, side="right")))
-            out += self._held(pairs[a:b], w, at, keys, ends)
+        while a < len(pairs):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _HITS_AT_ONCE, side="right")))
+            item, document = pairs[a:b] % len(self.ids), pairs[a:b] // len(self.ids)
+            flat, row = _expanded(self.item_first, item)
+            wanted = document[row] * len(self.key) + self.item_code[flat]
+            low = np.searchsorted(keys, wanted)
+            n = np.searchsorted(keys, wanted, side="right") - low
+            where = at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            yield np.repeat(pairs[a:b][row], n), np.repeat(self.item_place[flat], n), where
             a = b
-        return out
 
-    def _held(self, pairs: np.ndarray, w: np.ndarray, at: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
-        """Those of the pairs (document * items + item) in which the document holds the item. at, keys: the shingles of the documents, sorted by keys (document and shingle)."""
-        item, document = pairs % len(self.ids), pairs // len(self.ids)
-        flat, pair = _expanded(self.item_first, item)
-        wanted = document[pair] * len(self.key) + self.item_code[flat]
-        low, n = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
-        n -= low
-        total = np.bincount(pair, n, minlength=len(pairs))
-        n[(total < self.least[item])[pair]] = 0
-        where = at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        pair, place = np.repeat(pair, n), np.repeat(self.item_place[flat], n)
+    def _held(self, pair: np.ndarray, place: np.ndarray, where: np.ndarray, w: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """document, item and words of those pairs in which the document holds the item, from their shared shingles."""
+        order = np.argsort(pair, kind="stable")
+        pair, place, where = pair[order], place[order], where[order]
+        enough = np.searchsorted(pair, pair, side="right") - np.searchsorted(pair, pair) >= self.least[pair % len(self.ids)]
+        pair, place, where = pair[enough], place[enough], where[enough]
         if not len(pair):
             return []
-        owner = item[pair]
+        owner = pair % len(self.ids)
         # Position: shingles of one passage lie on diagonals (place in the document less place in the item) that differ by the words added or lost.
         most = int(self.size.max())
         line = pair * (len(w) + 2 * most + 4) + where - place + most
@@ -214,7 +236,7 @@ class ItemIndex:
             if covered.sum() < self.p.cover * size:
                 continue
             tried.setdefault(g, []).append(first)
-            d = int(document[g])
+            d = g // len(self.ids)
             begin = int(ends[d - 1]) if d else 0
             if (held := chained(s, where[left[r] : r + 1], q)) * self.p.den >= self.p.num * size:
                 out[g] = held
@@ -225,7 +247,7 @@ class ItemIndex:
             found = aligned(self.texts[i], passage)
             if found * self.p.den >= self.p.num * size:
                 out[g] = found
-        return [(int(document[g]), int(item[g]), m) for g, m in sorted(out.items())]
+        return [(g // len(self.ids), g % len(self.ids), m) for g, m in sorted(out.items())]
 
 
 def chained(place: np.ndarray, where: np.ndarray, q: int = Q) -> int:
@@ -286,8 +308,14 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> int:
     return best & ((1 << 20) - 1)
 
 
-#: Words that are looked through at once; a bound on memory only.
-_WORDS_AT_ONCE = 150_000
+#: Words, and shared shingles, that are looked through at once; bounds on memory only.
+_WORDS_AT_ONCE, _HITS_AT_ONCE = 150_000, 1_000_000
+
+
+def _between(cuts: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of hits that begin near the cuts, moved back to where a document begins."""
+    starts = np.unique(np.searchsorted(doc, doc[cuts]))
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True)
 
 
 def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
