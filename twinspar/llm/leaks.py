@@ -223,13 +223,17 @@ class ItemIndex:
         enough = np.flatnonzero(np.arange(len(line)) - left + 1 >= self.least[owner])
         out: dict[int, int] = {}
         tried: dict[int, list[int]] = {}
-        for r in enough[np.argsort(left[enough] - enough, kind="stable")]:  # the fullest bands first
-            g, i = int(pair[r]), int(owner[r])
+        enough = enough[np.argsort(left[enough] - enough, kind="stable")]  # the fullest bands first
+        begins = left[enough]
+        for r, at, g, first in zip(enough.tolist(), begins.tolist(), pair[enough].tolist(), (where[begins] - place[begins]).tolist(), strict=True):
+            if g in out:
+                continue
+            i = g % len(self.ids)
             size, band, q = int(self.size[i]), int(self.band[i]), int(self.q[i])
-            first = int(where[left[r]] - place[left[r]])
-            if g in out or any(abs(t - first) <= band for t in tried.get(g, ())):
+            before = tried.get(g)
+            if before and any(abs(t - first) <= band for t in before):
                 continue
-            s = place[left[r] : r + 1]
+            s = place[at : r + 1]
             covered = np.zeros(size + Q, bool)
             for k in range(q):
                 covered[s + k] = True
@@ -238,7 +242,7 @@ class ItemIndex:
             tried.setdefault(g, []).append(first)
             d = g // len(self.ids)
             begin = int(ends[d - 1]) if d else 0
-            if (held := chained(s, where[left[r] : r + 1], q)) * self.p.den >= self.p.num * size:
+            if (held := chained(s, where[at : r + 1], q)) * self.p.den >= self.p.num * size:
                 out[g] = held
                 continue
             passage = w[max(begin, first - band) : min(int(ends[d]) - Q + 1, first + size + 2 * band + Q)]
