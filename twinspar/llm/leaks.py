@@ -223,6 +223,12 @@ class ItemIndex:
         enough = np.flatnonzero(np.arange(len(line)) - left + 1 >= self.least[owner])
         out: dict[int, int] = {}
         tried: dict[int, list[int]] = {}
+        if not len(enough):
+            return []
+        # Shingles cover no more words than from the first one to the last.
+        ends_of = np.stack([left[enough], enough + 1], axis=1).ravel()
+        span = np.maximum.reduceat(np.append(place, 0), ends_of)[::2] - np.minimum.reduceat(np.append(place, 0), ends_of)[::2] + self.q[owner[enough]]
+        enough = enough[span >= self.p.cover * self.size[owner[enough]]]
         enough = enough[np.argsort(left[enough] - enough, kind="stable")]  # the fullest bands first
         begins = left[enough]
         for r, at, g, first in zip(enough.tolist(), begins.tolist(), pair[enough].tolist(), (where[begins] - place[begins]).tolist(), strict=True):
