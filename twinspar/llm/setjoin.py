@@ -154,7 +154,9 @@ def _buckets(sets: DataFrame, value: str, codes: Callable) -> DataFrame:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), b.column(0).take(row), b.column(2).take(row)], names=["code", "cid", "n"])
 
-    return spread(sets.select("cid", value, F.col("n").cast("bigint").alias("n"))).mapInArrow(kernel, "code bigint, cid bigint, n bigint")
+    sets = sets.select("cid", value, F.col("n").cast("bigint").alias("n"))
+    narrow = sets.schema[value].dataType.typeName() != "array"  # words are few bytes and much work; lists are moved only once they are codes
+    return (spread(sets) if narrow else sets).mapInArrow(kernel, "code bigint, cid bigint, n bigint")
 
 
 def _word_codes(p: Bands) -> Callable:
