@@ -41,7 +41,28 @@ _PROJECTS = rf"""p AS (SELECT func_name, coalesce(nullif(regexp_extract({_FOLDED
     link AS (SELECT DISTINCT a.project AS a, b.project AS b FROM e a JOIN e b USING (name) WHERE a.project <> b.project),
     reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)"""
 
+_CLASSES = """cls AS (SELECT id, list_sort(list(x)) AS s FROM {0} GROUP BY id), cid AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM cls)"""
+_LINKS = """SELECT c.id, c.class_id, c.copies, count(DISTINCT o.class_id) AS links FROM cid c LEFT JOIN (SELECT i AS a, j AS b FROM near UNION ALL SELECT j, i FROM near) p ON p.a = c.class_id
+        LEFT JOIN cid o ON o.id = p.b AND o.class_id <> c.class_id GROUP BY c.id, c.class_id, c.copies"""
+# Rows stand for their project, else their name, else themselves; vertices with a name in common are related, and so on; a component is called by its least vertex.
+_COMPONENTS = rf"""fp AS (SELECT func_id, func_name, coalesce(nullif(regexp_extract({_FOLDED}, '(^|/)dataset-(1|vulnerability)/([^/]+)/', 3), ''), nullif(regexp_extract({_FOLDED}, '(^|/)dataset-2/[^/_]*_([^/_-]+)-', 2), '')) AS project FROM flowchart),
+    {name_sql('fp', 'fn', 'func_id, project')}, {name_sql('runtime_names', 'rt', 'origin')},
+    rows AS (SELECT func_id, project, CASE WHEN name NOT IN (SELECT name FROM rt WHERE name IS NOT NULL) THEN name END AS name FROM fn),
+    v AS (SELECT func_id, name, coalesce('0:' || project, '1:' || name, 'r:' || func_id) AS vertex FROM rows),
+    star AS (SELECT DISTINCT vertex AS a, first_value(vertex) OVER (PARTITION BY name ORDER BY vertex) AS b FROM v WHERE name IS NOT NULL),
+    link AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    part AS (SELECT vertex, least(vertex, coalesce(min(b), vertex)) AS component FROM (SELECT DISTINCT vertex FROM v) LEFT JOIN reach ON a = vertex GROUP BY vertex),
+    size AS (SELECT component, count(*) AS weight FROM v JOIN part USING (vertex) GROUP BY component),
+    run AS (SELECT *, sum(weight) OVER (ORDER BY weight DESC, component) - weight / 2 AS mid, sum(weight) OVER () AS total FROM size),
+    one AS (SELECT *, mid < total * 0.7 AS training FROM run), start AS (SELECT coalesce(sum(weight) FILTER (training), 0) AS s FROM one),
+    placed AS (SELECT component, CASE WHEN training THEN 'training' WHEN mid < s + (total - s) * 0.5 THEN 'validation' ELSE 'testing' END AS split FROM one, start)"""
+
 SQL = {
+    "p3_catalog_links": f"WITH {_SETS}, {_CLASSES.format('v')}, near AS (SELECT i, j FROM (SELECT a.id AS i, b.id AS j, count(*) AS k FROM v a JOIN v b ON a.x = b.x AND a.id < b.id GROUP BY ALL) JOIN n a ON a.id = i JOIN n b ON b.id = j WHERE k * 3 >= a.n + b.n) {_LINKS}",
+    "p3_hash_links": f"""WITH {_SETS}, cid AS (SELECT id, min(id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS copies FROM w WHERE w <> 0),
+        near AS (SELECT a.id AS i, b.id AS j FROM w a JOIN w b ON a.id < b.id WHERE a.w <> 0 AND b.w <> 0 AND bit_count(a.w & b.w)::INT * 10 >= 9 * bit_count(a.w | b.w)::INT) {_LINKS}""",
+    "p5_splits": f"WITH RECURSIVE {_COMPONENTS} SELECT func_id, component, split FROM v JOIN part USING (vertex) JOIN placed USING (component)",
     "p2_found": f"WITH {_ROWS} SELECT least(a, b) AS func_id_1, greatest(a, b) AS func_id_2 FROM pairs",
     "p2_report": f"""WITH {_ROWS}, d AS (SELECT DISTINCT x.func_id FROM u t JOIN u x ON t.digest = x.digest WHERE t.train AND NOT x.train),
         n AS (SELECT DISTINCT x.func_id FROM u t JOIN u x ON t.name = x.name WHERE t.train AND NOT x.train AND len(list_intersect(t.o, x.o)) * 9 >= 4 * (len(t.o) + len(x.o)))

@@ -20,7 +20,7 @@ from ..session import cut, forget
 
 
 def components(edges: DataFrame, seed: int = 5) -> DataFrame:
-    """vertex, label of every vertex with an edge to another (u STRING, v STRING); a label is one of the component's vertices."""
+    """vertex, label of every vertex with an edge to another (u STRING, v STRING); the label is the least vertex of the component."""
     spark = edges.sparkSession
     left = cut(_clean(edges))
     moves: list[DataFrame] = []
@@ -40,7 +40,9 @@ def components(edges: DataFrame, seed: int = 5) -> DataFrame:
         labels = cut(later.unionByName(labels))
         written.append(labels)
     roots = labels.select(F.col("label").alias("vertex"), "label").distinct()
-    out = cut(labels.unionByName(roots))
+    whole = labels.unionByName(roots)
+    least = whole.groupBy("label").agg(F.min("vertex").alias("least"))
+    out = cut(whole.join(least, "label").select("vertex", F.col("least").alias("label")))
     for x in [*moves, *written]:
         forget(x)
     return out
