@@ -78,13 +78,34 @@ def small_immediates(values: Column, most: int = 4096) -> Column:
 def operand_text(kind: Column, register: Column, number: Column, base: Column, scale: Column, limit: int = 5000) -> Column:
     """An operand in normal form. kind: 'reg', 'imm' or 'mem'.
 
-    Registers by name; immediates in hexadecimal if within the limit, else HIMM; memory as [base+d], [base*scale+d] or [MEM].
+    Registers by name; immediates in hexadecimal if within the limit, else HIMM; memory as [base+d] or [base*scale+d] with any displacement, [MEM] without a base.
     """
     magnitude = F.concat(F.when(number < 0, "-0x").otherwise("0x"), F.lower(F.hex(F.abs(number))))
-    memory = F.concat(F.lit("["), base, F.when(scale > 1, F.concat(F.lit("*"), scale.cast("string"))).otherwise(""), F.lit("+"), number.cast("string"), F.lit("]"))
+    memory = F.concat(F.lit("["), base, F.when(scale > 1, F.concat(F.lit("*"), scale.cast("string"))).otherwise(""), F.lit("+"), F.coalesce(number, F.lit(0)).cast("string"), F.lit("]"))
     memory = F.replace(memory, F.lit("+-"), F.lit("-"))
-    inside = F.abs(number) <= limit
-    return F.when(kind == "reg", register).when((kind == "imm") & inside, magnitude).when(kind == "imm", "HIMM").when(base.isNull() | ~inside, "[MEM]").otherwise(memory)
+    return F.when(kind == "reg", register).when((kind == "imm") & (F.abs(number) <= limit), magnitude).when(kind == "imm", "HIMM").when(base.isNull(), "[MEM]").otherwise(memory)
+
+
+def _number(sign: Column, digits: Column) -> Column:
+    n = F.when(digits.startswith("0x"), F.conv(F.substring(digits, 3, 16), 16, -10)).otherwise(digits).try_cast("bigint")
+    return F.when(sign == "-", -n).otherwise(n)
+
+
+def normalised(instruction: Column, limit: int = 5000) -> Column:
+    """A disassembled instruction in one word, its operands in the normal form of `operand_text`. Sizes before memory operands go; an operand of any other form stays as it is. Null for null."""
+    text = F.trim(F.regexp_replace(F.lower(instruction), r"\b(?:byte|[dqtxyz]?(?:mm)?word|tbyte) ptr ", ""))
+
+    def operand(part: Column) -> Column:
+        get = lambda pattern, i: F.regexp_extract(part, pattern, i)
+        memory = r"^(.*?)\[(\w+)(?:\*(\d+))?(?:\s*([+-])\s*(0x[0-9a-f]+|\d+))?\]$"
+        nowhere = r"^(.*?)\[(?:0x[0-9a-f]+|\d+)\]$"
+        plain = r"^(.*?\s|)#?(-?)(0x[0-9a-f]{1,16}|\d{1,18})$"
+        m = operand_text(F.lit("mem"), F.lit(None).cast("string"), F.coalesce(_number(get(memory, 4), get(memory, 5)), F.lit(0).cast("bigint")), get(memory, 2), F.coalesce(get(memory, 3).try_cast("int"), F.lit(1)))
+        i = operand_text(F.lit("imm"), F.lit(None).cast("string"), _number(get(plain, 2), get(plain, 3)), F.lit(None).cast("string"), F.lit(1), limit)
+        return F.when(part.rlike(nowhere), F.concat(get(nowhere, 1), F.lit("[MEM]"))).when(part.rlike(memory), F.concat(get(memory, 1), m)).when(part.rlike(plain), F.concat(get(plain, 1), i)).otherwise(part)
+
+    parts = F.transform(F.split(text, r",\s*"), operand)
+    return F.lower(F.regexp_replace(F.array_join(parts, ", "), r"\s", "_"))
 
 
 def instruction_text(mnemonic: Column, operands: Column) -> Column:

@@ -119,3 +119,10 @@ def golden_diff(golden: DataFrame, output: DataFrame, keys: list[str], columns:
 def outcome_counts(df: DataFrame, by: list[str], outcome: Column, elapsed: Column) -> DataFrame:
     """by, rows, one count for each outcome ('ok', 'error', 'timeout'), elapsed: totals of a run."""
     return df.groupBy(*by).agg(F.count("*").alias("rows"), *(F.count_if(outcome == x).alias(x) for x in ("ok", "error", "timeout")), F.sum(elapsed).alias("elapsed"))
+
+
+def ends(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first and the last n rows in `order`, each row once, with `end` ('head' or 'tail'): two top-k, nothing is sorted as a whole."""
+    head = df.orderBy(*order).limit(n).withColumn("end", F.lit("head"))
+    tail = df.orderBy(*(F.desc_nulls_last(c) for c in order)).limit(n).withColumn("end", F.lit("tail"))
+    return head.unionByName(tail.join(head.select(*order), order, "left_anti"))

@@ -96,3 +96,35 @@ def triplet_loss(near: Column, far: Column, margin: float) -> Column:
 def best_by(scores: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
     """The name with the greatest value in each group."""
     return scores.groupBy(*by).agg(F.max_by(name, value).alias(name), F.max(value).alias(value))
+
+
+def margin_pair_loss(distance: Column, label: Column, margin: float = 1.0) -> Column:
+    """max(0, margin - label (1 - distance)) of pairs labelled +1 or -1."""
+    return F.greatest(F.lit(0.0), F.lit(margin) - label * (1 - distance))
+
+
+def hamming_pair_loss(agreement: Column, label: Column) -> Column:
+    """A quarter of the squared difference of an agreement of signs and the label."""
+    return F.pow(label - agreement, F.lit(2.0)) * 0.25
+
+
+def hamming_triplet_loss(near: Column, far: Column) -> Column:
+    """An eighth of the squared distances of the agreements from +1 and -1."""
+    return (F.pow(near - 1, F.lit(2.0)) + F.pow(far + 1, F.lit(2.0))) * 0.125
+
+
+def softmax_loss(scores: Column, label: Column) -> Column:
+    """The cross-entropy of an array of class scores and the true class, from 0; safe for large scores."""
+    top = F.array_max(scores)
+    return F.log(F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top - F.get(scores, label)
+
+
+def running_means(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """`df` with mean_c of each column over the rows so far in `order` (without ties), for each group; groups are runs of training, one row per step."""
+    so_far = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({f"mean_{c}": F.avg(c).over(so_far) for c in columns})
+
+
+def renamed_models(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under the names that tables show; names of columns that are not there do nothing."""
+    return df.withColumnsRenamed(names)

@@ -83,9 +83,14 @@ def negatives(left: DataFrame, pool: DataFrame, task: str, probes: int = 16, cou
     first j whose name differs is taken. Where none differs, one more probe is the place to go on from, to the next row of another name. So a left row
     gets fewer only if the pool has no other name. Rows without a name are no candidates and get none.
     """
+    slots = left.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return _filled(slots, pool, task, probes, id, name)
+
+
+def _filled(slots: DataFrame, pool: DataFrame, task: str, probes: int, id: str, name: str) -> DataFrame:
+    """A row of the pool for each slot (id_1, __n1, k); see `negatives`."""
     size = pool.agg(F.count("*").alias("__size"))
-    slots = left.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")).where("__n1 is not null").crossJoin(F.broadcast(size)).where("__size > 0")
-    slots = slots.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    slots = slots.where("__n1 is not null").crossJoin(F.broadcast(size)).where("__size > 0")
     seed = lambda j: F.concat_ws(":", F.col(f"{id}_1").cast("string"), F.lit(task), F.col("k").cast("string"), j.cast("string"))
     places = pool.select("idx", F.col(id).alias(f"{id}_2"), F.col(name).alias("__n2"))
     other = F.col("__n1") != F.col("__n2")
@@ -106,6 +111,91 @@ def negatives(left: DataFrame, pool: DataFrame, task: str, probes: int = 16, cou
     return out.select(f"{id}_1", F.col("k").cast("bigint").alias("k"), f"{id}_2", F.lit(task).alias("db_type"))
 
 
+def aligned_negatives(pos: DataFrame, pool: DataFrame, task: str, probes: int = 16, id: str = "func_id", name: str = "func_name") -> DataFrame:
+    """`pos` (id_1, id_2) with id_neg: for each positive pair a row of another name for the same left end. A left end with several positives gets a draw for each.
+
+    Null where the pool has no other name.
+    """
+    k = F.row_number().over(W.partitionBy(f"{id}_1").orderBy(f"{id}_2")) - 1
+    slots = cut(pos.select(f"{id}_1", f"{id}_2").withColumn("k", k))
+    named = slots.join(pool.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")), f"{id}_1").select(f"{id}_1", "__n1", "k")
+    drawn = _filled(named, pool, task, probes, id, name).select(f"{id}_1", "k", F.col(f"{id}_2").alias(f"{id}_neg"))
+    return slots.join(drawn, [f"{id}_1", "k"], "left").select(f"{id}_1", f"{id}_2", f"{id}_neg", F.lit(task).alias("db_type"))
+
+
+#: How many pairs of each task are kept for validation, for testing, and for ranking.
+QUOTAS = {"validation": 10_000, "testing": 50_000, "ranking": 200}
+
+
+def aligned_sample(pos: DataFrame, pool: DataFrame, task: str, n: int, seed: int, id: str = "func_id", name: str = "func_name") -> DataFrame:
+    """n positive pairs in hash order, each with its negative: sampled before the negatives are drawn, as a pair's draw does not depend on the others that stay."""
+    k = F.row_number().over(W.partitionBy(f"{id}_1").orderBy(f"{id}_2")) - 1
+    numbered_pairs = pos.select(f"{id}_1", f"{id}_2").withColumn("k", k)
+    slots = cut(sample(numbered_pairs, n, seed, [f"{id}_1", f"{id}_2"]))
+    named = slots.join(pool.select(F.col(id).alias(f"{id}_1"), F.col(name).alias("__n1")), f"{id}_1").select(f"{id}_1", "__n1", "k")
+    drawn = _filled(named, pool, task, 16, id, name).select(f"{id}_1", "k", F.col(f"{id}_2").alias(f"{id}_neg"))
+    return slots.join(drawn, [f"{id}_1", "k"], "left").select(f"{id}_1", f"{id}_2", f"{id}_neg", F.lit(task).alias("db_type"))
+
+
+def interleaved(aligned: DataFrame, order: list[str], id: str = "func_id") -> DataFrame:
+    """idx, id_1, id_2, label, db_type: the positive pair of row x at 2x with label 1, its negative pair at 2x + 1 with label -1. Rows are numbered in `order`."""
+    rows = numbered(aligned, order, "__x")
+    both = F.array(F.struct((F.col("__x") * 2).alias("idx"), F.col(f"{id}_2").alias("other"), F.lit(1).alias("label")), F.struct((F.col("__x") * 2 + 1).alias("idx"), F.col(f"{id}_neg").alias("other"), F.lit(-1).alias("label")))
+    out = rows.select(f"{id}_1", "db_type", F.explode(both).alias("p"))
+    return out.select("p.idx", f"{id}_1", F.col("p.other").alias(f"{id}_2"), "p.label", "db_type")
+
+
+def epoch(df: DataFrame, n: int, seed: int, number: int = 0, id: str = "func_id", name: str = "func_name") -> DataFrame:
+    """n training triples (i, id_1, id_2, id_neg) of one epoch: two rows of one name and one of another, names drawn first, so that frequent ones do not win.
+
+    Draws are hashes of (seed, epoch, i), found by equi-joins on numbered names and on places inside a name; no list of names comes to the driver. Names with one row only
+    are drawn as the other name. Without two names, one of them with two rows, there are no triples.
+    """
+    rows = numbered(df.where(F.col(name).isNotNull()).select(F.col(name).alias("__name"), F.col(id).alias("__id")), ["__name", "__id"], "__at")
+    rows = cut(rows)
+    names = rows.groupBy("__name").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    every, twice = cut(numbered(names, ["__name"], "__number")), cut(numbered(names.where("__rows >= 2"), ["__name"], "__number"))
+    sizes = every.agg(F.count("*").alias("__all")).crossJoin(twice.agg(F.count("*").alias("__two")))
+    draw = lambda what, of: probe(F.concat_ws(":", F.lit(seed), F.lit(number), F.col("i").cast("string"), F.lit(what)), of)
+    i = df.sparkSession.range(n).select(F.col("id").alias("i")).crossJoin(F.broadcast(sizes)).where("__all > 1 and __two > 0")
+    one = i.withColumn("__number", draw("name", F.col("__two"))).join(twice, "__number").drop("__number")
+    a = draw("first", F.col("__rows"))
+    one = one.withColumn("__a", a).withColumn("__b", F.pmod(F.col("__a") + 1 + draw("second", F.col("__rows") - 1), F.col("__rows")))
+    one = one.select("i", "__all", "__name", (F.col("__first") + F.col("__a")).alias("__a"), (F.col("__first") + F.col("__b")).alias("__b"))
+    # The other name: drawn among all but the first, by going past the first one's number.
+    own = every.select("__name", F.col("__number").alias("__own"))
+    other = one.join(own, "__name").withColumn("__o", draw("other", F.col("__all") - 1)).withColumn("__number", F.col("__o") + F.when(F.col("__o") >= F.col("__own"), 1).otherwise(0))
+    other = other.join(every.select("__number", F.col("__first").alias("__f"), F.col("__rows").alias("__r")), "__number").withColumn("__c", F.col("__f") + draw("third", F.col("__r")))
+    at = lambda c, out: rows.select(F.col("__at").alias(c), F.col("__id").alias(out))
+    return other.select("i", "__a", "__b", "__c").join(at("__a", f"{id}_1"), "__a").join(at("__b", f"{id}_2"), "__b").join(at("__c", f"{id}_neg"), "__c").select("i", f"{id}_1", f"{id}_2", f"{id}_neg")
+
+
+def search_pairs(functions: DataFrame, wanted: DataFrame, sources: DataFrame, targets: DataFrame, columns: list[str], most_queries: int = 10_000) -> DataFrame:
+    """Pairs for a search of known functions: every row of the source binaries whose name is wanted for a target, with every row of that target's binaries.
+
+    wanted: target, func_name; sources: idb_path; targets: target, idb_path; `columns` of functions come out as c_1 and c_2, with db_type 'XM'. Repeated rows come once. The wanted
+    rows are a stated query set; they are counted and broadcast in blocks of `most_queries`.
+    """
+    left = functions.join(F.broadcast(sources.select("idb_path").distinct()), "idb_path").join(F.broadcast(wanted.distinct()), "func_name")
+    left = cut(left.select("target", *(F.col(c).alias(f"{c}_1") for c in columns)).distinct())
+    right = functions.join(F.broadcast(targets.distinct()), "idb_path").select("target", *(F.col(c).alias(f"{c}_2") for c in columns)).distinct()
+    blocks = max(1, -(-left.count() // most_queries))
+    parts = [left if blocks == 1 else left.where(F.pmod(F.xxhash64(*left.columns), F.lit(blocks)) == b) for b in range(blocks)]
+    joined = reduce(DataFrame.unionByName, [right.join(F.broadcast(p), "target") for p in parts])
+    return joined.select(*(f"{c}_1" for c in columns), *(f"{c}_2" for c in columns), F.lit("XM").alias("db_type"))
+
+
+def equal_ends(pairs: DataFrame, column: str) -> DataFrame:
+    """Pairs whose ends have the same value, which a search for similar functions must not have; null equals nothing."""
+    return pairs.where(F.col(f"{column}_1") == F.col(f"{column}_2"))
+
+
+def with_results(pairs: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("idb_path_1", "fva_1", "idb_path_2", "fva_2"), score: str = "sim") -> DataFrame:
+    """Pairs with the score of a result table on the four keys; pairs without a result stay, with a null score. A result given several times counts once, with its greatest score."""
+    one = results.groupBy(*keys).agg(F.max(score).alias(score))
+    return pairs.join(one, list(keys), "left")
+
+
 def _next_names(pool: DataFrame, id: str, name: str) -> DataFrame:
     """place, id, name, __next: the named rows of the pool, numbered, each with the next one of another name; after the last comes the first. None if there is one name only.
 

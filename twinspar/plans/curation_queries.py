@@ -7,11 +7,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import split_of
-from ..functions.paths import VARIABLES
+from ..functions.names import dataset_of, digest_of, split_of
+from ..functions.paths import VARIABLES, machine, renamed, side_file, trace_machine
 from ..operators import curate as C
 from ..operators import pairs as P
 from ..session import cut, table
+from ..sources import io
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +146,79 @@ def row_numbers(spark: SparkSession, d: str) -> DataFrame:
     return C.numbered(table(spark, d, "flowchart").select("func_id", "bb_num"), ["func_id"])
 
 
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Positive pairs of XA in the quota of a ranking, each with a negative for the same left end."""
+    rows = cut(pool(spark, d))
+    return P.aligned_sample(P.positives(rows, "XA"), rows, "XA", P.QUOTAS["ranking"], 7)
+
+
+def interleaved(spark: SparkSession, d: str) -> DataFrame:
+    return P.interleaved(aligned(spark, d), ["func_id_1", "func_id_2"])
+
+
+def epoch(spark: SparkSession, d: str) -> DataFrame:
+    """The training triples of an epoch of 4 000."""
+    return P.epoch(named(spark, d), 4000, 11)
+
+
+def vulnerability_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of Dataset-1 that runtime_names lists, against all functions of the binaries of Dataset-Vulnerability that have one of that origin's names. Nulls of origin are '?'."""
+    f = table(spark, d, "flowchart").select("func_id", "idb_path", "fva", "func_name", digest_of(F.col("hashopcodes")).alias("digest"), dataset_of(F.col("idb_path")).alias("dataset"))
+    wanted = table(spark, d, "runtime_names").select(F.coalesce("origin", F.lit("?")).alias("target"), "func_name")
+    sources = f.where("dataset = 'Dataset-1'").select("idb_path").distinct()
+    targets = f.where("dataset = 'Dataset-Vulnerability'").join(wanted, "func_name").select("target", "idb_path")
+    return P.search_pairs(f, wanted, sources, targets, ["func_id", "idb_path", "fva", "digest"])
+
+
+def vuln_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return vulnerability_pairs(spark, d).select("func_id_1", "func_id_2", "db_type")
+
+
+def vuln_equal_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of that search whose digests are equal."""
+    return P.equal_ends(vulnerability_pairs(spark, d), "digest").select("func_id_1", "func_id_2", "digest_1")
+
+
+def _hash_scores(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """Scores of pairs by their similarity hashes, as a result table that lacks the functions without a hash."""
+    h = table(spark, d, "fss_hashes").select(F.col("path").alias("idb_path"), F.col("address").alias("fva"), "num_nodes")
+    one = h.groupBy("idb_path", "fva").agg(F.max("num_nodes").alias("n"))
+    side = lambda i: one.select(F.col("idb_path").alias(f"idb_path_{i}"), F.col("fva").alias(f"fva_{i}"), F.col("n").alias(f"n_{i}"))
+    keys = [f"{c}_{i}" for i in (1, 2) for c in ("idb_path", "fva")]
+    both = pairs.select(*keys).join(side(1), ["idb_path_1", "fva_1"]).join(side(2), ["idb_path_2", "fva_2"])
+    return both.select(*keys, F.round(F.least("n_1", "n_2") / F.greatest("n_1", "n_2"), 6).alias("sim"))
+
+
+def results_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Positive pairs of XA with the score of their result, where there is one: here the ratio of the numbers of nodes in fss_hashes."""
+    f = cut(functions(spark, d).where("bb_num >= 5 and func_name is not null").select("func_id", "func_name", "idb_path", "fva", *VARIABLES))
+    pairs = cut(P.described(P.positives(f, "XA"), f, ["idb_path", "fva"]))
+    return P.with_results(pairs, _hash_scores(spark, d, pairs)).select("func_id_1", "func_id_2", "sim")
+
+
+def vuln_results_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the search with the score of their result, where there is one."""
+    pairs = cut(vulnerability_pairs(spark, d))
+    return P.with_results(pairs, _hash_scores(spark, d, pairs)).select("func_id_1", "func_id_2", "sim")
+
+
+def selection(spark: SparkSession, d: str) -> DataFrame:
+    """How many functions are selected in how many binaries."""
+    return io.selection_total(table(spark, d, "acfg_disasm").select("idb_path", F.col("fva").alias("address")).distinct())
+
+
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return C.ends(table(spark, d, "flowchart").select("func_id", "func_name"), ["func_id"])
+
+
+def path_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Names that go with a binary: its side file, its machine as pairs and traces call it, its path under other folder names."""
+    a = table(spark, d, "acfg_disasm")
+    family, bits = F.split_part("arch", F.lit("-"), F.lit(1)), F.split_part("arch", F.lit("-"), F.lit(2)).try_cast("int")
+    return a.select("record_id", side_file(F.col("idb_path"), "_acfg.pkl", "out").alias("side"), machine(family, bits).alias("machine"), F.when(F.col("arch").isNotNull(), trace_machine(F.col("arch"))).alias("trace"),
+                    renamed(F.col("idb_path"), [("IDBs/", "DBs/"), ("Dataset-", "D")]).alias("short"), F.endswith(F.col("idb_path"), F.lit(".i64")).alias("is_i64"))
+
+
 _TASKS = {t: "pairs_pos_" + t.lower().replace("+", "_") for t in ("arch", "bit", "comp", "ver", "opt", "XA", "XA+XO", "XC", "XC+XB", "XM")}
 QUERIES = {
     "curate_min_blocks": min_blocks,
@@ -169,6 +243,16 @@ QUERIES = {
     "golden_diff": golden,
     "outcome_stats": outcomes,
     "row_numbers": row_numbers,
+    "pairs_aligned_sample": aligned,
+    "pairs_interleaved": interleaved,
+    "pairs_epoch": epoch,
+    "vuln_pairs": vuln_pairs,
+    "vuln_equal_hashes": vuln_equal_hashes,
+    "results_joined": results_joined,
+    "vuln_results_joined": vuln_results_joined,
+    "selection_total": selection,
+    "previews": previews,
+    "path_helpers": path_helpers,
 }
 
 _FV = r"""
@@ -199,7 +283,39 @@ _NEG = """pool AS (SELECT row_number() OVER (ORDER BY func_id) - 1 AS idx, func_
               FROM pool l, range(16) r(j)),
     neg AS (SELECT func_id_1, 0::BIGINT AS k, arg_min(p.func_id, j) AS func_id_2, 'XM' AS db_type FROM tries t JOIN pool p USING (idx) WHERE n1 <> p.func_name GROUP BY func_id_1)"""
 
+_DRAWS = r"('0x' || substr(md5({0}), 1, 8))::BIGINT % ({1})"
+_ALIGNED = f"""pool AS (SELECT row_number() OVER (ORDER BY func_id) - 1 AS idx, func_id, func_name FROM named), pos AS ({_positives_sql('XA')}),
+    kept AS (SELECT func_id_1, func_id_2, row_number() OVER (PARTITION BY func_id_1 ORDER BY func_id_2) - 1 AS k FROM pos),
+    top AS (SELECT * FROM kept QUALIFY row_number() OVER (ORDER BY md5('7:' || func_id_1 || ':' || func_id_2), func_id_1, func_id_2) <= {P.QUOTAS['ranking']}),
+    tries AS (SELECT t.*, func_name AS n1, j, {_DRAWS.format("t.func_id_1 || ':XA:' || k || ':' || j", "SELECT count(*) FROM pool")} AS idx FROM top t JOIN pool ON func_id = func_id_1, range(16) r(j)),
+    drawn AS (SELECT func_id_1, k, arg_min(p.func_id, j) AS func_id_neg FROM tries t JOIN pool p USING (idx) WHERE n1 <> p.func_name GROUP BY func_id_1, k),
+    aligned AS (SELECT func_id_1, func_id_2, func_id_neg, 'XA' AS db_type FROM top LEFT JOIN drawn USING (func_id_1, k))"""
+_VULN = r"""fl AS (SELECT func_id, idb_path, fva, func_name, regexp_replace(lower(regexp_replace(hashopcodes, '^\s+|\s+$', '', 'g')), '^(sha-?256:|0x)', '') AS h, lower(regexp_extract(regexp_replace(replace(idb_path, '\', '/'), '/+', '/', 'g'), '(?i)(^|/)dataset-(1|2|vulnerability)(/|$)', 2)) AS ds FROM flowchart),
+    fd AS (SELECT *, CASE WHEN regexp_full_match(h, '[0-9a-f]{64}') THEN h END AS digest FROM fl), wanted AS (SELECT DISTINCT coalesce(origin, '?') AS target, func_name FROM runtime_names),
+    l AS (SELECT target, func_id, digest, idb_path, fva FROM fd JOIN wanted USING (func_name) WHERE idb_path IN (SELECT idb_path FROM fd WHERE ds = '1')),
+    tg AS (SELECT DISTINCT target, idb_path FROM fd JOIN wanted USING (func_name) WHERE ds = 'vulnerability'), r AS (SELECT target, func_id, digest, f.idb_path, fva FROM fd f JOIN tg ON tg.idb_path = f.idb_path),
+    vp AS (SELECT l.func_id AS func_id_1, r.func_id AS func_id_2, l.digest AS digest_1, r.digest AS digest_2, l.idb_path AS p1, l.fva AS a1, r.idb_path AS p2, r.fva AS a2 FROM l JOIN r USING (target))"""
+_SCORES = "one AS (SELECT path, address, max(num_nodes) AS n FROM fss_hashes GROUP BY ALL)"
+
 SQL = {
+    "pairs_aligned_sample": f"WITH {_FV}, {_ALIGNED} SELECT * FROM aligned",
+    "pairs_interleaved": f"""WITH {_FV}, {_ALIGNED}, n AS (SELECT *, row_number() OVER (ORDER BY func_id_1, func_id_2) - 1 AS x FROM aligned)
+        SELECT 2 * x AS idx, func_id_1, func_id_2, 1::INT AS label, db_type FROM n UNION ALL SELECT 2 * x + 1, func_id_1, func_id_neg, -1, db_type FROM n""",
+    "pairs_epoch": f"""WITH {_FV}, rw AS (SELECT func_name, func_id, row_number() OVER (PARTITION BY func_name ORDER BY func_id) - 1 AS at FROM named), nam AS (SELECT func_name, count(*) AS n, row_number() OVER (ORDER BY func_name) - 1 AS number FROM rw GROUP BY func_name),
+        tw AS (SELECT func_name, n, number AS own, row_number() OVER (ORDER BY func_name) - 1 AS number FROM nam WHERE n >= 2),
+        i AS (SELECT i, '11:0:' || i || ':' AS s FROM range(4000) r(i)), f AS (SELECT i.*, tw.func_name, tw.n, tw.own FROM i JOIN tw ON tw.number = {_DRAWS.format("s || 'name'", "SELECT count(*) FROM tw")}),
+        g AS (SELECT *, {_DRAWS.format("s || 'first'", "n")} AS a, {_DRAWS.format("s || 'other'", "(SELECT count(*) FROM nam) - 1")} AS o FROM f),
+        h AS (SELECT *, (a + 1 + {_DRAWS.format("s || 'second'", "n - 1")}) % n AS b, o + (o >= own)::INT AS q FROM g), k AS (SELECT h.*, nam.func_name AS other, {_DRAWS.format("s || 'third'", "nam.n")} AS c FROM h JOIN nam ON nam.number = q)
+        SELECT i, x.func_id AS func_id_1, y.func_id AS func_id_2, z.func_id AS func_id_neg FROM k JOIN rw x ON x.func_name = k.func_name AND x.at = a JOIN rw y ON y.func_name = k.func_name AND y.at = b JOIN rw z ON z.func_name = other AND z.at = c""",
+    "vuln_pairs": f"WITH {_VULN} SELECT func_id_1, func_id_2, 'XM' AS db_type FROM vp",
+    "vuln_equal_hashes": f"WITH {_VULN} SELECT func_id_1, func_id_2, digest_1 FROM vp WHERE digest_1 = digest_2",
+    "results_joined": f"""WITH {_FV}, pos AS ({_positives_sql('XA')}), {_SCORES} SELECT func_id_1, func_id_2, round(CASE WHEN x.n < y.n THEN x.n / y.n ELSE y.n / x.n END, 6) AS sim FROM pos JOIN flowchart a ON a.func_id = func_id_1 JOIN flowchart b ON b.func_id = func_id_2
+        LEFT JOIN one x ON x.path = a.idb_path AND x.address = a.fva LEFT JOIN one y ON y.path = b.idb_path AND y.address = b.fva""",
+    "vuln_results_joined": f"WITH {_VULN}, {_SCORES} SELECT func_id_1, func_id_2, round(CASE WHEN x.n < y.n THEN x.n / y.n ELSE y.n / x.n END, 6) AS sim FROM vp LEFT JOIN one x ON x.path = p1 AND x.address = a1 LEFT JOIN one y ON y.path = p2 AND y.address = a2",
+    "selection_total": "SELECT count(DISTINCT idb_path) AS binaries, count(*) AS functions FROM (SELECT DISTINCT idb_path, fva FROM acfg_disasm)",
+    "previews": 'SELECT func_id, func_name, CASE WHEN x <= 5 THEN \'head\' ELSE \'tail\' END AS "end" FROM (SELECT func_id, func_name, row_number() OVER (ORDER BY func_id) AS x, row_number() OVER (ORDER BY func_id DESC) AS y FROM flowchart) WHERE x <= 5 OR y <= 5',
+    "path_helpers": r"""SELECT record_id, 'out/' || regexp_replace(string_split(replace(trim(idb_path), '\', '/'), '/')[-1], '\.(i64|idb)$', '') || '_acfg.pkl' AS side, lower(arch) AS machine,
+        CASE WHEN arch = 'x86-64' THEN 'x64' ELSE string_split(arch, '-')[1] END AS trace, replace(replace(idb_path, 'IDBs/', 'DBs/'), 'Dataset-', 'D') AS short, idb_path LIKE '%.i64' AS is_i64 FROM acfg_disasm""",
     "curate_min_blocks": "SELECT func_id, bb_num FROM flowchart WHERE bb_num >= 5",
     "dedup_keep_first": "SELECT min(func_id) AS func_id, hashopcodes FROM flowchart GROUP BY hashopcodes",
     "path_variables": f"WITH {_FV} SELECT func_id, project, library, arch, bit, compiler, version, optimizations FROM fv",

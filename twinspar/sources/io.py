@@ -92,3 +92,8 @@ def from_file(ending: str) -> Column:
 def pending(requested: DataFrame, done: DataFrame, keys: list[str], retry: Column | None = None) -> DataFrame:
     """Requested work without a result. Results for which `retry` holds do not count as done."""
     return requested.join((done if retry is None else done.where(~retry)).select(*keys).distinct(), keys, "left_anti")
+
+
+def selection_total(selection: DataFrame) -> DataFrame:
+    """binaries, functions: how many functions a selection (idb_path, address) names, in how many binaries."""
+    return selection.agg(F.count_distinct("idb_path").alias("binaries"), F.count("*").alias("functions"))
