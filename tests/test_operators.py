@@ -55,6 +55,27 @@ def test_tokens(spark):
     assert column(spark, "string", ["#-0x10", "#0xff", "0x10", "#zz", None], T.immediate) == [-16, 255, None, None, None]
 
 
+# The normal form of that function's instructions.
+NORM = ["cmp_[rip+2099577],_0x0", "jne_0x7e8", "cmp_[rip+2099215],_0x0", "push_rbp", "mov_rbp,_rsp", "je_0x7d3", "mov_rdi,_[rip+2099258]", "call_0x6e0", "call_0x720", "mov_[rip+2099537],_0x1", "pop_rbp", "ret", "ret"]
+
+
+def test_normal_form_golden(spark):
+    assert column(spark, "string", [line for lines in LINES.values() for line in lines], T.normalised) == NORM
+    given = ["mov eax, 0x1389", "mov eax, -0x1388", "lea rax, [rbx*4 - 0x10]", "mov eax, [0x6000]", "LDR r0, [sp, #4]", "add r1, #-5", "lock cmpxchg [rdi + 8], eax", None, "nop"]
+    want = ["mov_eax,_himm", "mov_eax,_-0x1388", "lea_rax,_[rbx*4-16]", "mov_eax,_[mem]", "ldr_r0,_[sp,_#4]", "add_r1,_-0x5", "lock_cmpxchg_[rdi+8],_eax", None, "nop"]
+    assert column(spark, "string", given, T.normalised) == want
+
+
+def test_losses(spark):
+    row = spark.createDataFrame([(0.3, 1, -1, 0.9, -0.2, [1000.0, 999.0])], "d double, y int, z int, near double, far double, s array<double>")
+    got = row.select(metrics.margin_pair_loss(F.col("d"), F.col("y")), metrics.margin_pair_loss(F.col("d"), F.col("z")), metrics.hamming_pair_loss(F.col("near"), F.col("y")), metrics.hamming_triplet_loss(F.col("near"), F.col("far")), metrics.softmax_loss(F.col("s"), F.lit(1))).first()
+    assert list(got) == pytest.approx([0.3, 1.7, 0.0025, (0.01 + 0.64) / 8, np.log(1 + np.e)])
+    steps = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 7.0)], "run string, step int, loss double")
+    assert sorted((r["run"], r["step"], r["mean_loss"]) for r in metrics.running_means(steps, ["run"], "step", ["loss"]).collect()) == [("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 7.0)]
+    assert metrics.renamed_models(steps, {"loss": "Loss", "none": "x"}).columns == ["run", "step", "Loss"]
+    assert {(r["run"], r["step"]) for r in metrics.best_by(steps, ["run"], "step", "loss").collect()} == {("a", 2), ("b", 1)}
+
+
 def test_minwise_golden(spark):
     import base64
 
@@ -66,9 +87,20 @@ def test_minwise_golden(spark):
 
 
 def test_simhash_is_stable_and_local():
-    f = lambda e: signature.simhash(signature._features(NODES, e, {}, [], (0, 0, 1)))
+    f = lambda e, mnems=None, numbers=(), w=(0, 0, 1): signature.simhash(signature._features(NODES, e, mnems or {}, numbers), [w])[0]
     a, b = f(EDGES), f(list(reversed(EDGES)))
     assert a == b and a != f(EDGES[:2])
+    assert f(EDGES, {1968: ["a", "b", "c"]}, [7]) == a != f(EDGES, {1968: ["a", "b", "c"]}, [7], (4.0, 0.05, 1.0))
+    both = signature.simhash(signature._features(NODES, EDGES, {1968: list("abcd")}, [7]), [(0, 0, 1), (1, 1, 1)])
+    assert both == [f(EDGES, {1968: list("abcd")}, [7]), f(EDGES, {1968: list("abcd")}, [7], (1, 1, 1))]
+
+
+def test_graph_hashes_of_known_and_empty_graphs(spark):
+    df = spark.createDataFrame([(1, NODES, [*EDGES, (1, 2), (1968, 1977)], {1968: ["cmp", "jne"]}, [0]), (2, None, None, None, None)], "k int, nodes array<bigint>, edges array<struct<src:bigint,dst:bigint>>, mnems map<bigint,array<string>>, numbers array<bigint>")
+    got = {(r["k"], r["setting"]): r for r in signature.graph_hashes(df, "k", signature.WEIGHTS).collect()}
+    assert len(got) == 8 and {(r["num_nodes"], r["branching_nodes"]) for (k, _), r in got.items() if k == 1} == {(5, 2)}
+    assert got[1, "graph"]["hash0"] != got[1, "all"]["hash0"] and got[2, "graph"]["hash0"] == got[2, "graph"]["hash1"] == 0
+    assert signature.graph_hashes(df.limit(0), "k", signature.WEIGHTS).count() == 0
 
 
 # The instructions of that function, and the counters of its blocks (instructions, call, redirect, transfer, arith, logic) and constants.

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from oracle import compare
 
 from twinspar.operators import embed, pairs
 from twinspar.plans import feature_queries as Q
@@ -32,15 +31,6 @@ def test_every_slot_gets_a_negative(spark, monkeypatch):
     assert {r["func_id"]: r["__next"] for r in pairs._next_names(df, "func_id", "func_name").collect()} == want
 
 
-@pytest.mark.parametrize("name", ["rank_min", "rank_max", "auc_exact", "auc_by_task", "mrr_recall_cosine", "triplet_accuracy"])
-def test_ranked_against_all_100_negatives(spark, sf, name):
-    """16 probes fill all slots of this table, so SQL with as many says what is right."""
-    sql = S.SQL[name].replace("range(4) q(j)", "range(16) q(j)")
-    assert sql != S.SQL[name]
-    _, why = compare(spark, sf, S.QUERIES[name], sql)
-    assert not why
-
-
 def test_no_negative_is_missing(spark, sf):
     _, neg = S.scored(spark, sf)
     assert neg.count() == S.NEGATIVES * S.vectors(spark, sf).count()
@@ -73,18 +63,9 @@ def test_long_documents_in_runs_give_the_same(monkeypatch, kind):
         np.testing.assert_allclose(one, other)
 
 
-@pytest.mark.parametrize(
-    ("name", "fixed", "changes"),
-    [
-        ("id_sequences_250", "id_sequences", [("n <= 50", "n <= 250")]),
-        ("id_sequences_block_stop_250", "id_sequences_block_stop", [("before < 50", "before < 250")]),
-        ("id_sequences_padded_150", "id_sequences_padded", [("n <= 30", "n <= 150"), ("list_resize(i, 30, 0)", "list_resize(i, 150, 0)")]),
-    ],
-)
-def test_sequences_of_the_reference_lengths(spark, sf, name, fixed, changes):
-    sql = Q.SQL[fixed]
-    for old, new in changes:
-        assert old in sql
-        sql = sql.replace(old, new)
-    _, why = compare(spark, sf, Q.QUERIES[name], sql)
-    assert not why
+def test_sequences_have_the_reference_lengths(spark, tmp_path):
+    """A function of 400 instructions in blocks of 90: 250 ids, whole blocks until 250, 150 padded ids."""
+    blocks = {10 + b: {"bb_mnems": [f"m{b}x{i}" if i < 90 else None for i in range(90)]} for b in range(4)} | {99: {"bb_mnems": ["ret"] * 40}}
+    spark.createDataFrame([(1, blocks)], "record_id bigint, basic_blocks map<bigint,struct<bb_mnems:array<string>>>").write.parquet(f"{tmp_path}/acfg_disasm.parquet")
+    size = lambda name: len(Q.QUERIES[name](spark, str(tmp_path)).first()["ids"].split(";"))
+    assert (size("id_sequences"), size("id_sequences_block_stop"), size("id_sequences_padded")) == (250, 270, 150)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,66 +114,63 @@ def mnemonic_digest(mnemonics: Column) -> Column:
 WEIGHTS = {"graph": (0.0, 0.0, 1.0), "mnem": (0.0, 1.0, 1.0), "all": (1.0, 1.0, 1.0), "tuned": (4.0, 0.05, 1.0)}
 
 
-def _hash128(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.md5(text.encode()).digest(), "big")
-
-
-def _features(nodes: list[int], edges: list[tuple[int, int]], mnems: dict[int, list[str]], numbers: list[int], w: tuple[float, float, float]) -> Iterator[tuple[str, float]]:
-    """The features of a graph: shapes around edges and nodes, runs of three mnemonics, immediates."""
-    imm, mnem, graph = w
-    known = set(nodes)
+def _features(nodes: list[int], edges: list[tuple[int, int]], mnems: dict[int, list[str]], numbers: list[int]) -> Iterator[tuple[int, str]]:
+    """The features of a graph, each with its kind (0: immediates, 1: runs of three mnemonics, 2: shapes around nodes and edges). edges: distinct, between nodes."""
     out: dict[int, int] = dict.fromkeys(nodes, 0)
     into: dict[int, int] = dict.fromkeys(nodes, 0)
-    kept = sorted({(s, d) for s, d in edges if s in known and d in known})
-    for s, d in kept:
+    for s, d in edges:
         out[s] += 1
         into[d] += 1
-    if graph:
-        for x in nodes:
-            yield f"n{min(into[x], 9)},{min(out[x], 9)}", graph
-        for s, d in kept:
-            yield f"e{min(into[s], 9)},{min(out[s], 9)}>{min(into[d], 9)},{min(out[d], 9)}", graph
-    if mnem:
-        for x in nodes:
-            m = mnems.get(x) or []
-            for i in range(len(m) - 2):
-                yield "m" + " ".join(m[i : i + 3]), mnem
-    if imm:
-        for v in numbers:
-            yield f"i{v}", imm
-
-
-def simhash(features: Iterator[tuple[str, float]]) -> tuple[int, int]:
-    """128 bits: the signs of the weighted sum of the features' hashed bits; repeated features count less each time. As two signed 64-bit words."""
-    total = np.zeros(128)
-    seen: dict[str, int] = {}
-    for f, weight in features:
-        seen[f] = seen.get(f, 0) + 1
-        bits = np.unpackbits(np.frombuffer(_hash128(f"{f}#{seen[f]}").to_bytes(16, "big"), np.uint8)).astype(np.float64)
-        total += weight / seen[f] * (2 * bits - 1)
-    packed = np.packbits(total > 0).tobytes()
-    return tuple(int.from_bytes(packed[i : i + 8], "big", signed=True) for i in (0, 8))  # type: ignore[return-value]
-
-
-def graph_hashes(df: DataFrame, key: str, weights: tuple[float, float, float]) -> DataFrame:
-    """key, num_nodes, branching_nodes, hash0, hash1. df: key, nodes ARRAY<BIGINT>, edges ARRAY<STRUCT<src, dst>>, mnems MAP<BIGINT, ARRAY<STRING>>,
-    numbers ARRAY<BIGINT> (immediates). One row per graph and no shuffle; null parts count as empty."""
+    shape = {x: f"{min(into[x], 9)},{min(out[x], 9)}" for x in nodes}
+    for x in nodes:
+        yield 2, f"n{shape[x]}"
+    for s, d in edges:
+        yield 2, f"e{shape[s]}>{shape[d]}"
+    for x in nodes:
+        m = mnems.get(x) or []
+        for i in range(len(m) - 2):
+            yield 1, f"m{m[i]} {m[i + 1]} {m[i + 2]}"
+    for v in numbers:
+        yield 0, f"i{v}"
+
+
+def simhash(features: Iterator[tuple[int, str]], weights: list[tuple[float, float, float]], known: dict[str, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """128 bits for each triple of weights: the signs of the weighted sum of the features' hashed bits; repeated features count less each time, the n-th 1/n. As two signed
+    64-bit words. known: bits of features that were hashed before."""
+    known = {} if known is None else known
+    total = np.zeros((3, 128))
+    seen: dict[tuple[int, str], int] = {}
+    for kind, f in features:
+        n = seen[kind, f] = seen.get((kind, f), 0) + 1
+        name = f"{f}#{n}"
+        if (bits := known.get(name)) is None:
+            if len(known) > 200_000:
+                known.clear()  # a bound on memory only
+            bits = known[name] = 2.0 * np.unpackbits(np.frombuffer(hashlib.md5(name.encode()).digest(), np.uint8)) - 1
+        total[kind] += bits / n
+    packed = np.packbits(np.array(weights) @ total > 0, axis=1)
+    return [tuple(int.from_bytes(row[i : i + 8].tobytes(), "big", signed=True) for i in (0, 8)) for row in packed]  # type: ignore[misc]
+
+
+def graph_hashes(df: DataFrame, key: str, settings: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """key, num_nodes, branching_nodes, hash0, hash1, setting: a row for each graph and setting, from one pass over its features. df: key, nodes ARRAY<BIGINT>, edges
+    ARRAY<STRUCT<src, dst>>, mnems MAP<BIGINT, ARRAY<STRING>>, numbers ARRAY<BIGINT> (immediates). No shuffle; null parts count as empty, edges to unknown nodes are left out."""
+    names, weights = list(settings), list(settings.values())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             rows = []
             for ns, es, ms, im in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                ns = sorted(set(ns or []))
-                es = [(e["src"], e["dst"]) for e in es or [] if e]
-                a, b = simhash(_features(ns, es, dict(ms or []), im or [], weights))
-                outs: dict[int, int] = {}
-                for s, _ in set(es):
-                    outs[s] = outs.get(s, 0) + 1
-                rows.append((len(ns), sum(outs.get(n, 0) > 1 for n in ns), a, b))
+                ns = sorted({n for n in ns or [] if n is not None})
+                inside = set(ns)
+                es = sorted({(e["src"], e["dst"]) for e in es or [] if e and e["src"] in inside and e["dst"] in inside})
+                ways = Counter(s for s, _ in es)
+                sizes = (len(ns), sum(n > 1 for n in ways.values()))
+                rows += [(*sizes, *h) for h in simhash(_features(ns, es, dict(ms or []), im or []), weights, known)]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "num_nodes", "branching_nodes", "hash0", "hash1"])
+            owner = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
+            yield pa.RecordBatch.from_arrays([owner, *columns, pa.array(names * batch.num_rows, pa.string())], names=[key, "num_nodes", "branching_nodes", "hash0", "hash1", "setting"])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, num_nodes bigint, branching_nodes bigint, hash0 bigint, hash1 bigint"
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, num_nodes bigint, branching_nodes bigint, hash0 bigint, hash1 bigint, setting string"
     return spread(df.select(key, "nodes", "edges", "mnems", "numbers")).mapInArrow(kernel, schema)

@@ -162,11 +162,14 @@ def epoch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vulnerability_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Functions of Dataset-1 that runtime_names lists, against all functions of the binaries of Dataset-Vulnerability that have one of that origin's names. Nulls of origin are '?'."""
+    """The search of a few known functions in whole binaries: names are those of runtime_names, a target is an origin ('?' for null) with the binary of Dataset-Vulnerability that has the most rows of
+    its names, the sources are the four binaries of Dataset-1 with the most rows of such names; ties by path. Every row of these binaries takes part."""
     f = table(spark, d, "flowchart").select("func_id", "idb_path", "fva", "func_name", digest_of(F.col("hashopcodes")).alias("digest"), dataset_of(F.col("idb_path")).alias("dataset"))
     wanted = table(spark, d, "runtime_names").select(F.coalesce("origin", F.lit("?")).alias("target"), "func_name")
-    sources = f.where("dataset = 'Dataset-1'").select("idb_path").distinct()
-    targets = f.where("dataset = 'Dataset-Vulnerability'").join(wanted, "func_name").select("target", "idb_path")
+    held = cut(f.join(F.broadcast(wanted), "func_name").groupBy("dataset", "target", "idb_path").agg(F.count("*").alias("n")))
+    sources = held.where("dataset = 'Dataset-1'").groupBy("idb_path").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "idb_path").limit(4)
+    best = F.min_by("idb_path", F.struct(-F.col("n"), F.col("idb_path")))
+    targets = held.where("dataset = 'Dataset-Vulnerability'").groupBy("target").agg(best.alias("idb_path"))
     return P.search_pairs(f, wanted, sources, targets, ["func_id", "idb_path", "fva", "digest"])
 
 
@@ -292,8 +295,9 @@ _ALIGNED = f"""pool AS (SELECT row_number() OVER (ORDER BY func_id) - 1 AS idx,
     aligned AS (SELECT func_id_1, func_id_2, func_id_neg, 'XA' AS db_type FROM top LEFT JOIN drawn USING (func_id_1, k))"""
 _VULN = r"""fl AS (SELECT func_id, idb_path, fva, func_name, regexp_replace(lower(regexp_replace(hashopcodes, '^\s+|\s+$', '', 'g')), '^(sha-?256:|0x)', '') AS h, lower(regexp_extract(regexp_replace(replace(idb_path, '\', '/'), '/+', '/', 'g'), '(?i)(^|/)dataset-(1|2|vulnerability)(/|$)', 2)) AS ds FROM flowchart),
     fd AS (SELECT *, CASE WHEN regexp_full_match(h, '[0-9a-f]{64}') THEN h END AS digest FROM fl), wanted AS (SELECT DISTINCT coalesce(origin, '?') AS target, func_name FROM runtime_names),
-    l AS (SELECT target, func_id, digest, idb_path, fva FROM fd JOIN wanted USING (func_name) WHERE idb_path IN (SELECT idb_path FROM fd WHERE ds = '1')),
-    tg AS (SELECT DISTINCT target, idb_path FROM fd JOIN wanted USING (func_name) WHERE ds = 'vulnerability'), r AS (SELECT target, func_id, digest, f.idb_path, fva FROM fd f JOIN tg ON tg.idb_path = f.idb_path),
+    held AS (SELECT ds, target, idb_path, count(*) AS n FROM fd JOIN wanted USING (func_name) GROUP BY ALL), src AS (SELECT idb_path FROM held WHERE ds = '1' GROUP BY idb_path ORDER BY sum(n) DESC, idb_path LIMIT 4),
+    l AS (SELECT target, func_id, digest, idb_path, fva FROM fd JOIN wanted USING (func_name) WHERE idb_path IN (SELECT idb_path FROM src)),
+    tg AS (SELECT target, idb_path FROM held WHERE ds = 'vulnerability' QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, idb_path) = 1), r AS (SELECT target, func_id, digest, f.idb_path, fva FROM fd f JOIN tg ON tg.idb_path = f.idb_path),
     vp AS (SELECT l.func_id AS func_id_1, r.func_id AS func_id_2, l.digest AS digest_1, r.digest AS digest_2, l.idb_path AS p1, l.fva AS a1, r.idb_path AS p2, r.fva AS a2 FROM l JOIN r USING (target))"""
 _SCORES = "one AS (SELECT path, address, max(num_nodes) AS n FROM fss_hashes GROUP BY ALL)"
 

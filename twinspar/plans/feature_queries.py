@@ -26,6 +26,8 @@ from ..streaming import streams
 
 KEY = ["record_id"]
 TOP = 100
+#: Lengths of sequences of ids: for a text of whole functions, and for the input of a network.
+SEQUENCE, PADDED = 250, 150
 
 
 def acfg(spark: SparkSession, d: str) -> DataFrame:
@@ -66,12 +68,12 @@ def bags(spark: SparkSession, d: str) -> DataFrame:
     return A.bags(ids(spark, d), [*KEY, "block"])
 
 
-def sequences(stop: bool, spark: SparkSession, d: str, longest: int = 50) -> DataFrame:
+def sequences(stop: bool, spark: SparkSession, d: str, longest: int = SEQUENCE) -> DataFrame:
     out = A.sequences(ids(spark, d), KEY, ["block", "pos"], longest, stop)
     return out.select("record_id", X.joined(F.col("ids")).alias("ids"))
 
 
-def padded(spark: SparkSession, d: str, longest: int = 30) -> DataFrame:
+def padded(spark: SparkSession, d: str, longest: int = PADDED) -> DataFrame:
     out = A.sequences(ids(spark, d), KEY, ["block", "pos"], longest)
     return out.select("record_id", X.joined(T.cut_and_padded(F.transform("ids", lambda x: x + 1), longest)).alias("ids"), T.capped_size(F.col("ids"), longest).cast("bigint").alias("size"))
 
@@ -81,6 +83,12 @@ def machine_tokens(spark: SparkSession, d: str) -> DataFrame:
     return A.instructions(acfg(spark, d).withColumn("machine", machine_of(F.col("arch"))), [*KEY, "machine"])
 
 
+def instruction_norm(spark: SparkSession, d: str) -> DataFrame:
+    """Each block's instructions in normal form, made from their disassembly. Addresses stay, as in the table's own bb_norm, which has blanks in some mnemonics."""
+    b = acfg(spark, d).select("record_id", F.explode("basic_blocks").alias("block", "b")).where("b.bb_disasm is not null and b.bb_norm is not null")
+    return b.select("record_id", "block", F.array_join(F.transform("b.bb_disasm", lambda i: T.normalised(i, 1 << 62)), ";").alias("norm"))
+
+
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.class_counts(machine_tokens(spark, d), KEY)
 
@@ -395,9 +403,6 @@ QUERIES = {
     "id_sequences": partial(sequences, False),
     "id_sequences_block_stop": partial(sequences, True),
     "id_sequences_padded": padded,
-    "id_sequences_250": partial(sequences, False, longest=250),
-    "id_sequences_block_stop_250": partial(sequences, True, longest=250),
-    "id_sequences_padded_150": partial(padded, longest=150),
     "class_counts": class_counts,
     "function_rollup": rollup,
     "tokenize_asm": asm_tokens,
@@ -407,6 +412,7 @@ QUERIES = {
     "strand_slices": strands,
     "codec_hist": codec_hist,
     "codec_coo": codec_coo,
+    "instruction_norm": instruction_norm,
     "block_constants": block_constants,
     "incoming_calls": incoming_calls,
     "call_split_blocks": sub_blocks,
@@ -477,18 +483,19 @@ _NUMBERS = f"""{_OPERANDS}, one AS (SELECT record_id, block, i, unnest(range(1,
     per_block AS (SELECT b.record_id, b.block, n.numbers FROM (SELECT record_id, unnest(map_keys(basic_blocks)) AS block FROM acfg_disasm) b LEFT JOIN n USING (record_id, block))"""
 _HIST = f"""{_DIS}, x AS (SELECT record_id, unnest(nl) AS e FROM d), h AS (SELECT record_id, (('0x' || substr(md5(e), 3, 2) || substr(md5(e), 1, 2))::BIGINT & 1023) AS bucket, count(*) AS n FROM x WHERE e IS NOT NULL GROUP BY ALL)"""
 SQL = {
+    "instruction_norm": f"WITH {_DIS} SELECT record_id, block, replace(array_to_string(nl, ';'), ' ', '_') AS norm FROM d WHERE l IS NOT NULL AND nl IS NOT NULL",
     "vocab_topk": f"WITH {_IDS} SELECT token, n, id FROM v",
     "vocab_min_freq": f"WITH {_TOK} SELECT token, n, n >= 3 AS kept FROM c",
     "unk_replace": f"WITH {_TOK} SELECT CASE WHEN n >= 3 THEN token ELSE 'UNK' END AS token, sum(n)::BIGINT AS n FROM c GROUP BY 1",
     "coverage_pct": f"WITH {_IDS} SELECT record_id, count(*) AS tokens, round(count(*) FILTER (id <> -1) * 100.0 / count(*), 6) AS known_pct FROM ids GROUP BY record_id",
     "bow_matrix": f"WITH {_IDS} SELECT record_id, block, id, count(*) AS n FROM ids WHERE id >= 0 GROUP BY ALL",
     "id_sequences": f"""WITH {_IDS}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY block, pos) AS n FROM ids)
-        SELECT record_id, string_agg(id::VARCHAR, ';' ORDER BY block, pos) AS ids FROM r WHERE n <= 50 GROUP BY record_id""",
+        SELECT record_id, string_agg(id::VARCHAR, ';' ORDER BY block, pos) AS ids FROM r WHERE n <= {SEQUENCE} GROUP BY record_id""",
     "id_sequences_block_stop": f"""WITH {_IDS}, s AS (SELECT record_id, block, count(*) AS n FROM ids GROUP BY ALL),
         a AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY record_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-        SELECT record_id, string_agg(id::VARCHAR, ';' ORDER BY block, pos) AS ids FROM ids JOIN a USING (record_id, block) WHERE before < 50 GROUP BY record_id""",
-    "id_sequences_padded": f"""WITH {_IDS}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY block, pos) AS n FROM ids), l AS (SELECT record_id, list(id + 1 ORDER BY n) AS i FROM r WHERE n <= 30 GROUP BY record_id)
-        SELECT record_id, array_to_string(list_resize(i, 30, 0), ';') AS ids, len(i) AS size FROM l""",
+        SELECT record_id, string_agg(id::VARCHAR, ';' ORDER BY block, pos) AS ids FROM ids JOIN a USING (record_id, block) WHERE before < {SEQUENCE} GROUP BY record_id""",
+    "id_sequences_padded": f"""WITH {_IDS}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY block, pos) AS n FROM ids), l AS (SELECT record_id, list(id + 1 ORDER BY n) AS i FROM r WHERE n <= {PADDED} GROUP BY record_id)
+        SELECT record_id, array_to_string(list_resize(i, {PADDED}, 0), ';') AS ids, len(i) AS size FROM l""",
     "class_counts": f"WITH {_TOK}, {_COUNTED} SELECT * FROM k",
     "function_rollup": f"""WITH {_TOK}, {_COUNTED}
         SELECT record_id, coalesce(cardinality(basic_blocks), 0)::BIGINT AS n_blocks, coalesce(len(edges), 0) AS n_edges, coalesce(list_sum(list_transform(map_values(basic_blocks), lambda x: coalesce(x.bb_len, 0))), 0)::BIGINT AS n_bytes,

@@ -72,7 +72,7 @@ def auc_by_task(spark: SparkSession, d: str) -> DataFrame:
 
 
 def auc_binned(spark: SparkSession, d: str) -> DataFrame:
-    return M.binned_auc(labelled(spark, d), ["task"])
+    return M.binned_auc(labelled(spark, d), ["task"]).withColumn("auc", F.round("auc", 6))
 
 
 def pairwise(measure, spark: SparkSession, d: str) -> DataFrame:  # noqa: ANN001
@@ -184,8 +184,7 @@ def simhash(spark: SparkSession, d: str) -> DataFrame:
     """Similarity hashes of graphs in the four usual settings."""
     numbers = F.flatten(F.transform(F.map_values("basic_blocks"), lambda b: F.flatten(F.transform(F.coalesce(b["bb_disasm"], F.array().cast("array<string>")), lambda i: F.regexp_extract_all(i, F.lit("0x([0-9a-f]{1,3})(?![0-9a-f])"), 1)))))
     a = table(spark, d, "acfg_disasm").select("record_id", "nodes", "edges", F.transform_values("basic_blocks", lambda _, b: b["bb_mnems"]).alias("mnems"), F.transform(numbers, lambda x: F.conv(x, 16, 10).cast("bigint")).alias("numbers"))
-    out = [graph_hashes(a, "record_id", w).withColumn("setting", F.lit(k)) for k, w in WEIGHTS.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return graph_hashes(a, "record_id", WEIGHTS)
 
 
 _MEASURES = {"cosine_pairs": V.cosine, "dot_pairs": V.dot, "euclid_sim": V.euclidean_similarity, "hamming_sign": V.hamming_sign, "hamming_tanh": V.hamming_tanh}
@@ -237,6 +236,8 @@ SQL = {
     "rank_max": f"WITH {_SCORED} SELECT id1 AS vec_id, rmax AS rank FROM rk",
     "auc_exact": f"WITH {_SCORED}, {_LAB}, " + _AUC.format(p="", q="", s="", g=""),
     "auc_by_task": f"WITH {_SCORED}, {_LAB}, " + _AUC.format(p="PARTITION BY task", q="task,", s="task,", g="GROUP BY task"),
+    "auc_binned": f"""WITH {_SCORED}, {_LAB}, ends AS (SELECT task, min(sim) AS lo, max(sim) AS hi FROM lab GROUP BY task), b AS (SELECT task, floor((sim - lo + 1e-8) / (hi - lo + 1e-8) * 199)::INT AS bin, sum(y) AS p, sum(1 - y) AS n FROM lab JOIN ends USING (task) GROUP BY ALL),
+        c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY task ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT task, round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM c GROUP BY task""",
     "cosine_pairs": f"{_NB} SELECT a, b, round({_COS.format('va', 'vb')}, 6) AS sim FROM n",
     "dot_pairs": f"{_NB} SELECT a, b, round(list_dot_product(va, vb), 6) AS sim FROM n",
     "euclid_sim": f"{_NB} SELECT a, b, round(-{_SQUARES.format('va', 'vb')}, 6) AS sim FROM n",
