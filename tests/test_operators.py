@@ -265,6 +265,24 @@ def test_networks_do_not_depend_on_the_order_of_nodes():
     assert models.segment(x, np.array([0, 0, 2, 2, 2]), 3, "max")[1].tolist() == [0.0] * 8
 
 
+def test_packed_graphs_give_what_each_graph_gives(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        ns = r.integers(0, 30, r.integers(0, 9)).tolist()
+        es = [(int(r.integers(0, 30)), int(r.integers(0, 30))) for _ in range(12)]
+        rows.append((k, [*ns, None], [*es, (None, 3)], {n: r.standard_normal(8).tolist() for n in {*ns[:4], 77}}))
+    rows.append((99, None, None, None))
+    df = spark.createDataFrame(rows, "k int, nodes array<bigint>, edges array<struct<src:bigint,dst:bigint>>, x map<bigint,array<double>>").coalesce(1)
+    for shapes, f in ((models.message_shapes(8), models.embed_graph), (models.structure2vec_shapes(8), models.structure2vec)):
+        w = models.drawn(shapes, 1)
+        got = {x["k"]: x["embedding"] for x in models.embed_graphs(df, "k", f, w, 8).collect()}
+        for k, ns, es, x in rows:
+            one = models.graph_arrays(ns, [{"src": a, "dst": b} for a, b in es or []], x or {}, 8)
+            assert got[k] == pytest.approx(f(*one, w).tolist())
+    assert models.embed_graphs(df.limit(0), "k", models.structure2vec, w, 8).count() == 0
+
+
 def test_strands_ignore_register_names():
     s = lambda r: [{"out": r, "op": "mov", "args": ["a"], "effect": False}, {"out": "z", "op": "add", "args": [r, "0x10"], "effect": True}]
     assert list(strands.strands_of(s("q"))) == list(strands.strands_of(s("w"))) == ["add(mov(r0),0x10)"]

@@ -1,7 +1,8 @@
 """Forward passes of graph and sequence models in numpy, over one row per function. Weights are given or drawn from a seed; nothing is trained here.
 
 Each network is a function of arrays, and `apply` runs it over Arrow batches with its weights broadcast, so a table of any size goes
-through without a shuffle. A graph without nodes gives the network's value for zeros.
+through without a shuffle. Graphs of a batch are packed into one index space (`packed`): all their nodes behind each other, edges between rows, and the graph of each
+node; a round of messages is then one step for all of them. A graph without nodes gives the network's value for zeros.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import spread
+from .nested import as_list, child_index
 
 Weights = dict[str, np.ndarray]
 
@@ -34,13 +36,13 @@ def _relu(x: np.ndarray) -> np.ndarray:
 def segment(values: np.ndarray, at: np.ndarray, n: int, how: str = "sum") -> np.ndarray:
     """Rows of values put together by segment: sum, mean, sqrt_n or max; 0 for an empty segment."""
     count = np.bincount(at, minlength=n)[:, None].astype(float)
-    if how == "max":
-        out = np.full((n, values.shape[1]), -np.inf)
-        np.maximum.at(out, at, values)
-        return np.where(count > 0, out, 0.0)
     out = np.zeros((n, values.shape[1]))
-    np.add.at(out, at, values)
-    return out if how == "sum" else out / np.maximum(count, 1) ** (1.0 if how == "mean" else 0.5)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        full = np.flatnonzero(count[:, 0])
+        start = np.searchsorted(at[order], full)
+        out[full] = (np.maximum if how == "max" else np.add).reduceat(values[order], start, axis=0)
+    return out if how in ("sum", "max") else out / np.maximum(count, 1) ** (1.0 if how == "mean" else 0.5)
 
 
 def gru(state: np.ndarray, x: np.ndarray, w: Weights) -> np.ndarray:
@@ -60,17 +62,22 @@ def propagate(h: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, extra
     return gru(h, m if extra is None else m + extra, w)
 
 
-def readout(h: np.ndarray, w: Weights) -> np.ndarray:
-    """A gated sum over nodes and a layer."""
-    return (_sigmoid(h @ w["gate"]) * (h @ w["value"])).sum(axis=0) @ w["out"]
+def _one(x: np.ndarray) -> np.ndarray:
+    return np.zeros(len(x), np.int64)
 
 
-def embed_graph(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, rounds: int = 5) -> np.ndarray:
-    """The embedding of a graph with node features x."""
+def readout(h: np.ndarray, w: Weights, of: np.ndarray | None = None, n: int = 1) -> np.ndarray:
+    """A gated sum over the nodes of each graph and a layer; a row for each graph, or the row of the only one."""
+    sums = segment(_sigmoid(h @ w["gate"]) * (h @ w["value"]), _one(h) if of is None else of, n) @ w["out"]
+    return sums[0] if of is None else sums
+
+
+def embed_graph(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, rounds: int = 5, of: np.ndarray | None = None, n: int = 1) -> np.ndarray:
+    """The embeddings of packed graphs with node features x, or of the only one."""
     h = np.tanh(x @ w["encode"])
     for _ in range(rounds):
         h = propagate(h, src, dst, w)
-    return readout(h, w)
+    return readout(h, w, of, n)
 
 
 def attention(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +105,16 @@ def structure2vec_shapes(features: int, size: int = 64) -> dict[str, tuple[int,
     return {"w1": (features, size), "p1": (size, size), "p2": (size, size), "w2": (size, size)}
 
 
-def structure2vec(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, rounds: int = 2) -> np.ndarray:
-    """Mean-field embedding: tanh(x W1 + relu(neighbours P2) P1), summed over nodes, W2, length 1."""
+def structure2vec(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, rounds: int = 2, of: np.ndarray | None = None, n: int = 1) -> np.ndarray:
+    """Mean-field embeddings of packed graphs, or of the only one: tanh(x W1 + relu(neighbours P2) P1), summed over nodes, W2, length 1."""
     fixed = x @ w["w1"]
     h = np.zeros_like(fixed)
     for _ in range(rounds):
         h = np.tanh(fixed + _relu(segment(h[src], dst, len(h)) @ w["p2"]) @ w["p1"])
-    out = h.sum(axis=0) @ w["w2"]
-    n = np.linalg.norm(out)
-    return out / n if n > 0 else out
+    out = segment(h, _one(h) if of is None else of, n) @ w["w2"]
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    out = np.where(length > 0, out / np.where(length > 0, length, 1), out)
+    return out[0] if of is None else out
 
 
 def node_mean(ids: list[list[int]], table: np.ndarray) -> np.ndarray:
@@ -186,6 +194,61 @@ def graph_arrays(nodes: list | None, edges: list | None, features: dict[int, lis
     return x, np.array([s for s, _ in kept], np.int64), np.array([d for _, d in kept], np.int64)
 
 
+def packed(nodes: pa.Array, edges: pa.Array, features: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, src, dst and the graph of each node of a batch of graphs, read off their Arrow buffers: nodes ARRAY<BIGINT>, edges ARRAY<STRUCT<src, dst>>, features
+    MAP<BIGINT, ARRAY<DOUBLE>> of `width` numbers. Nodes are in order of addresses; repeated and null ones count once and not at all, edges to others are left out, missing features are 0."""
+    node, of, _ = child_index(nodes)
+    there = np.asarray(node.is_valid())
+    values, code = np.unique(np.asarray(node.filter(pa.array(there)), dtype=np.int64), return_inverse=True)
+    span = max(1, len(values))
+    keys = np.unique(of[there] * span + code)
+
+    def rows(graph: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The row of each node, -1 where there is none."""
+        if not len(keys):
+            return np.full(len(graph), -1)
+        c = np.minimum(np.searchsorted(values, value), span - 1)
+        k = graph * span + c
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where((values[c] == value) & (keys[at] == k), at, -1)
+
+    edge, graph, _ = child_index(edges)
+    s, d = (edge.flatten()[edge.type.get_field_index(f)] for f in ("src", "dst"))
+    full = np.asarray(s.is_valid()) & np.asarray(d.is_valid())
+    s, d = (np.asarray(z.filter(pa.array(full)), dtype=np.int64) for z in (s, d))
+    s, d = rows(graph[full], s), rows(graph[full], d)
+    kept = (s >= 0) & (d >= 0)
+    pairs = np.unique(s[kept] * max(1, len(keys)) + d[kept])
+    x = np.zeros((len(keys), width))
+    entry, graph, _ = child_index(as_list(features))
+    name, numbers = entry.flatten()
+    at = rows(graph, np.asarray(name, dtype=np.int64))
+    number, place, ordinal = child_index(numbers)
+    kept = (at[place] >= 0) & (ordinal < width)
+    x[at[place][kept], ordinal[kept]] = np.nan_to_num(np.asarray(number, dtype=float)[kept])
+    return x, pairs // max(1, len(keys)), pairs % max(1, len(keys)), keys // span
+
+
+#: Graphs that are packed at once; a bound on memory only.
+_GRAPHS = 2000
+
+
+def embed_graphs(df: DataFrame, key: str, network: Callable, weights: Weights, width: int, name: str = "embedding") -> DataFrame:
+    """key and the embedding of each graph as ARRAY<DOUBLE>. df: key, nodes, edges, x (see `packed`); network(x, src, dst, weights, of=, n=) works on packed graphs."""
+    held = df.sparkSession.sparkContext.broadcast(weights)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _GRAPHS):
+                b = batch.slice(start, _GRAPHS)
+                x, src, dst, of = packed(b.column(1), b.column(2), b.column(3), width)
+                out = network(x, src, dst, held.value, of=of, n=b.num_rows)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), values], names=[key, name])
+
+    return spread(df.select(key, "nodes", "edges", "x")).mapInArrow(kernel, f"`{key}` {df.schema[key].dataType.simpleString()}, `{name}` array<double>")
+
+
 def apply(df: DataFrame, key: str, columns: list[str], network: Callable, weights: Weights, name: str = "embedding") -> DataFrame:
     """key and network(*columns of a row, weights) as ARRAY<DOUBLE>. The weights are broadcast once; their size does not depend on the data."""
     held = df.sparkSession.sparkContext.broadcast(weights)

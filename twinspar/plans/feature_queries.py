@@ -251,24 +251,16 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
     return acfg(spark, d).select("record_id", "nodes", "edges").join(x, "record_id")
 
 
-def _s2v(nodes: list, edges: list, x: list, w: N.Weights) -> np.ndarray:
-    return N.structure2vec(*N.graph_arrays(nodes, edges, dict(x), 8), w)
-
-
-def _ggnn(nodes: list, edges: list, x: list, w: N.Weights) -> np.ndarray:
-    return N.embed_graph(*N.graph_arrays(nodes, edges, dict(x), 8), w)
-
-
 def _gmn(n1: list, e1: list, x1: list, n2: list, e2: list, x2: list, w: N.Weights) -> float:
     return N.match_graphs(N.graph_arrays(n1, e1, dict(x1), 8), N.graph_arrays(n2, e2, dict(x2), 8), w)
 
 
 def s2v(spark: SparkSession, d: str) -> DataFrame:
-    return N.apply(_graphs(spark, d), "record_id", ["nodes", "edges", "x"], _s2v, N.drawn(N.structure2vec_shapes(8), 1))
+    return N.embed_graphs(_graphs(spark, d), "record_id", N.structure2vec, N.drawn(N.structure2vec_shapes(8), 1), 8)
 
 
 def ggnn(spark: SparkSession, d: str) -> DataFrame:
-    return N.apply(_graphs(spark, d), "record_id", ["nodes", "edges", "x"], _ggnn, N.drawn(N.message_shapes(8), 2))
+    return N.embed_graphs(_graphs(spark, d), "record_id", N.embed_graph, N.drawn(N.message_shapes(8), 2), 8)
 
 
 def gmn(spark: SparkSession, d: str) -> DataFrame:
