@@ -219,7 +219,7 @@ def offspring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return G.betweenness(acfg(spark, d), "record_id")
+    return G.betweenness(acfg(spark, d), "record_id").withColumn("betweenness", F.round("betweenness", 9))
 
 
 def node_features(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _disasm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk_text(spark: SparkSession, d: str) -> DataFrame:
-    w = G.walk_instructions(_disasm(spark, d), "record_id", walks=3, longest=50)
+    w = G.walk_instructions(_disasm(spark, d), "record_id")
     return w.select("record_id", "walk", F.size("instructions").cast("bigint").alias("n"), F.md5(F.array_join("instructions", "\n")).alias("digest"))
 
 
@@ -473,6 +473,20 @@ _OPERANDS = r"""lines AS (SELECT record_id, block, i, lower(l[i]) AS t FROM (SEL
 _NUMBERS = f"""{_OPERANDS}, one AS (SELECT record_id, block, i, unnest(range(1, len(found) + 1)) AS j, found FROM ops),
     n AS (SELECT record_id, block, list(CASE WHEN found[j] LIKE '-%' THEN -1 ELSE 1 END * (CASE WHEN found[j] LIKE '%0x%' THEN '0x' || regexp_replace(found[j], '^-?0x', '') ELSE regexp_replace(found[j], '^-', '') END)::BIGINT ORDER BY i, j) AS numbers FROM one GROUP BY ALL),
     per_block AS (SELECT b.record_id, b.block, n.numbers FROM (SELECT record_id, unnest(map_keys(basic_blocks)) AS block FROM acfg_disasm) b LEFT JOIN n USING (record_id, block))"""
+_SUCC = "succ AS (SELECT record_id, src, list_sort(list(dst)) AS ways FROM (SELECT DISTINCT record_id, src, dst FROM k) GROUP BY record_id, src)"
+_WALK = f"""{_EDGE}, {_SUCC}, starts AS (SELECT n.record_id, list_sort(list(n.node)) AS ns, list_sort(list(n.node) FILTER (NOT EXISTS (SELECT 1 FROM k WHERE k.record_id = n.record_id AND k.dst = n.node))) AS src FROM n WHERE n.node IS NOT NULL GROUP BY n.record_id),
+    stored AS (SELECT record_id, list(node ORDER BY i) AS path FROM (SELECT record_id, node, min(i) AS i FROM (SELECT record_id, unnest(nodes) AS node, unnest(range(len(nodes))) AS i FROM acfg_disasm) WHERE node IS NOT NULL GROUP BY ALL) GROUP BY record_id),
+    walk AS (SELECT record_id, w, CASE WHEN len(src) > 0 THEN [src[(('0x' || substr(md5(record_id || ':1:' || w), 1, 16))::UBIGINT % len(src)::UBIGINT)::BIGINT + 1]] ELSE [ns[1]] END AS path FROM starts, range(10) r(w)
+        UNION ALL SELECT record_id, w, list_append(path, ways[(('0x' || substr(md5(record_id || ':1:' || w || ':' || len(path)), 1, 16))::UBIGINT % len(ways)::UBIGINT)::BIGINT + 1])
+        FROM (SELECT walk.record_id, w, path, list_filter(succ.ways, lambda x: NOT list_contains(path, x)) AS ways FROM walk JOIN succ ON succ.record_id = walk.record_id AND src = path[-1] WHERE len(path) < 500) WHERE len(ways) > 0),
+    walks AS (SELECT record_id, 0 AS walk, path FROM stored UNION ALL SELECT record_id, (w + 1)::INT, arg_max(path, len(path)) FROM walk GROUP BY record_id, w)"""
+_BETWEEN = f"""{_EDGE}, d0 AS (SELECT DISTINCT record_id, src, dst FROM k WHERE src <> dst), many AS (SELECT record_id, count(*) AS n FROM n WHERE node IS NOT NULL GROUP BY record_id),
+    far AS (SELECT record_id, src AS s, dst AS t, 1 AS d FROM d0 UNION SELECT far.record_id, s, d0.dst, d + 1 FROM far JOIN d0 ON d0.record_id = far.record_id AND d0.src = t JOIN many ON many.record_id = far.record_id WHERE d + 1 < many.n AND d0.dst <> s),
+    dist AS (SELECT record_id, s, t, min(d) AS d FROM far GROUP BY ALL),
+    path AS (SELECT record_id, src AS s, dst AS t, [src, dst] AS p FROM d0 UNION ALL SELECT path.record_id, path.s, d0.dst, list_append(p, d0.dst) FROM path JOIN d0 ON d0.record_id = path.record_id AND d0.src = path.t
+        JOIN dist ON dist.record_id = path.record_id AND dist.s = path.s AND dist.t = d0.dst WHERE dist.d = len(p)),
+    share AS (SELECT record_id, unnest(p[2:-2]) AS node, 1.0 / count(*) OVER (PARTITION BY record_id, s, t) AS x FROM path),
+    between AS (SELECT n.record_id, n.node, coalesce((SELECT sum(x) FROM share WHERE share.record_id = n.record_id AND share.node = n.node), 0) AS x FROM n WHERE n.node IS NOT NULL)"""
 _HIST = f"""{_DIS}, x AS (SELECT record_id, unnest(nl) AS e FROM d), h AS (SELECT record_id, (('0x' || substr(md5(e), 3, 2) || substr(md5(e), 1, 2))::BIGINT & 1023) AS bucket, count(*) AS n FROM x WHERE e IS NOT NULL GROUP BY ALL)"""
 SQL = {
     "instruction_norm": f"WITH {_DIS} SELECT record_id, block, replace(array_to_string(nl, ';'), ' ', '_') AS norm FROM d WHERE l IS NOT NULL AND nl IS NOT NULL",
@@ -521,6 +535,10 @@ SQL = {
     "cfg_adjacency": f"WITH {_ADJ} SELECT record_id, row, col, n FROM adj",
     "cfg_offspring": f"""WITH RECURSIVE {_EDGE}, r AS (SELECT record_id, src AS node, dst AS other FROM k UNION SELECT r.record_id, r.node, k.dst FROM r JOIN k ON k.record_id = r.record_id AND k.src = r.other)
         SELECT n.record_id, n.node, count(r.other) FILTER (r.other <> n.node) AS n_offspring FROM n LEFT JOIN r ON r.record_id = n.record_id AND r.node = n.node WHERE n.node IS NOT NULL GROUP BY ALL""",
+    "random_walks": f"WITH RECURSIVE {_WALK} SELECT record_id, walk, array_to_string(path, ';') AS path FROM walks",
+    "walk_instructions": f"""WITH RECURSIVE {_WALK}, {_DIS}, i AS (SELECT record_id, walk, p, q, lower(l[q]) AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS q FROM (SELECT w.record_id, walk, p, l FROM (SELECT record_id, walk, path, unnest(range(1, len(path) + 1)) AS p FROM walks) w LEFT JOIN d ON d.record_id = w.record_id AND d.block = path[p])) WHERE l[q] <> '')
+        SELECT w.record_id, w.walk, count(t) AS n, md5(coalesce(string_agg(t, chr(10) ORDER BY p, q), '')) AS digest FROM walks w LEFT JOIN i USING (record_id, walk) GROUP BY w.record_id, w.walk""",
+    "cfg_betweenness": f"WITH RECURSIVE {_BETWEEN} SELECT record_id, node, round((CASE WHEN n > 2 THEN x / ((n - 1) * (n - 2)) ELSE x END)::DOUBLE, 9) AS betweenness FROM between JOIN many USING (record_id)",
     "arith_mean_embed": f"""WITH {_TOK}, v AS (SELECT token, i, ('0x' || substr(md5(token || ':' || i), 1, 4))::DOUBLE / 65535 - 0.5 AS x FROM c, range(8) r(i)), m AS (SELECT record_id, i, avg(x) AS x FROM t JOIN v USING (token) GROUP BY ALL)
         SELECT record_id, i AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY record_id)), 6) AS x FROM m""".replace("::DOUBLE / 65535", "::BIGINT::DOUBLE / 65535"),
     "header_rows": "SELECT sig_id, path FROM catalog_sigs WHERE trim(catalog_hash_list) IS DISTINCT FROM 'catalog_hash_list'",
