@@ -289,3 +289,5 @@ def test_strands_ignore_register_names():
     assert list(strands.strands_of(None)) == []
     long = [{"out": "x", "op": "add", "args": ["x", "x"], "effect": True}] * 200
     assert max(map(len, strands.strands_of(long))) < 9000
+    named = lambda a, b: list(strands.strands_of([{"out": a, "op": "add", "args": [a, b], "effect": False}, {"out": a, "op": "sub", "args": [a, a], "effect": True}] * 20))
+    assert named("x", "y") == named("q", "w") != named("x", "x") and any("d" in t for t in named("x", "y"))

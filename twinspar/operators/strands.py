@@ -3,7 +3,7 @@
 A statement writes `out` by `op` on `args`; `effect` marks what is visible outside (a register that is kept, a store, an exit). The strand of an effect is its whole
 expression over the block's inputs. Names of inputs are replaced by their order of first use, and two inputs of a commutative operation
 are put in order, so equal computations on other registers give the same text. A block of any length is sliced once: values are texts that are
-built as statements go by; a text that would pass `longest` characters is replaced by its digest.
+built as statements go by; a text that would pass `longest` characters is replaced by a digest that does not depend on the names of its inputs.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def strands_of(statements: list, longest: int = 4000) -> Iterator[str]:
             args.sort()
         text = f"{s['op']}({','.join(args)})"
         if len(text) > longest:
-            text = f"d({hashlib.md5(text.encode()).hexdigest()})"
+            text = _digest(text)
         if s["out"] is not None:
             value[s["out"]] = text
         if s["effect"]:
@@ -47,6 +47,13 @@ def strands_of(statements: list, longest: int = 4000) -> Iterator[str]:
         yield _INPUT.sub(lambda m, n=names: n.setdefault(m.group(), f"r{len(n)}"), text)
 
 
+def _digest(text: str) -> str:
+    """A short text for a long one: the digest of its form with numbered inputs, and these inputs in order. Equal computations over renamed inputs keep equal forms."""
+    names: dict[str, str] = {}
+    form = _INPUT.sub(lambda m: names.setdefault(m.group(), f"r{len(names)}"), text)
+    return f"d{hashlib.md5(form.encode()).hexdigest()}({','.join(names)})"
+
+
 def strands(df: DataFrame, key: str, statements: str) -> DataFrame:
     """key, strand of every effect. statements: ARRAY<STRUCT<out STRING, op STRING, args ARRAY<STRING>, effect BOOLEAN>>."""
 

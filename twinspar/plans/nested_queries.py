@@ -70,7 +70,28 @@ QUERIES = {
     "p1_disasm_instructions": disasm_instructions,
 }
 
+# Payloads by DuckDB's JSON functions, layout by layout: functions under a path, in a list, or under their addresses; chunks belong to their function.
+_ADDRESS = r"""CASE WHEN regexp_full_match({0}, '0x[0-9a-f]+') THEN {0}::UBIGINT::HUGEINT WHEN regexp_full_match({0}, '-?[0-9]+') THEN {0}::HUGEINT WHEN regexp_full_match({0}, '[0-9a-f]+h?') THEN ('0x' || rtrim({0}, 'h'))::UBIGINT::HUGEINT END"""
+_PAYLOADS = r"""j AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM acfg_raw),
+    top AS (SELECT raw_id, p, e.key AS k, e.value AS v FROM j, json_each(j.p) e WHERE json_type(p) = 'OBJECT'),
+    kind AS (SELECT raw_id, bool_or(k = 'functions') AS listed FROM top GROUP BY raw_id),
+    fs AS (SELECT raw_id, k, v, listed FROM top JOIN kind USING (raw_id)),
+    fn AS (SELECT raw_id, e.key AS fa, e.value AS body FROM fs, json_each(fs.v) e WHERE NOT listed AND json_type(v) = 'OBJECT' AND json_type(e.value) = 'OBJECT'
+        UNION ALL SELECT raw_id, e.key, e.value FROM fs, json_each(fs.v) e WHERE listed AND k = 'functions' AND json_type(v) = 'OBJECT' AND json_type(e.value) = 'OBJECT'
+        UNION ALL SELECT raw_id, e.value->>'$.fva', e.value FROM fs, json_each(fs.v) e WHERE listed AND k = 'functions' AND json_type(v) = 'ARRAY' AND json_type(e.value) = 'OBJECT'),
+    nfn AS (SELECT row_number() OVER () AS f, raw_id, replace(lower(trim(fa)), '_', '') AS fa, body FROM fn WHERE fa IS NOT NULL),
+    part AS (SELECT f, body FROM nfn UNION ALL SELECT f, e.value FROM part, json_each(part.body->'$.chunks') e WHERE json_type(e.value) = 'OBJECT'),
+    nd AS (SELECT f, e.value AS n, CASE WHEN json_type(e.value) = 'OBJECT' THEN coalesce(e.value->>'$.addr', e.value->>'$.id') ELSE e.value->>'$' END AS a FROM part, json_each(part.body->'$.nodes') e WHERE json_type(part.body->'$.nodes') = 'ARRAY'),
+    ed AS (SELECT f, a AS s, e.value->>'$' AS d FROM nd, json_each(nd.n->'$.succ') e WHERE json_type(n) = 'OBJECT'
+        UNION ALL SELECT f, CASE json_type(e.value) WHEN 'ARRAY' THEN e.value->>0 ELSE e.value->>'$.src' END, CASE json_type(e.value) WHEN 'ARRAY' THEN e.value->>1 ELSE e.value->>'$.dst' END FROM part, json_each(part.body->'$.edges') e WHERE json_type(part.body->'$.edges') = 'ARRAY'
+        UNION ALL SELECT f, e.key, g.value->>'$' FROM part, json_each(part.body->'$.edges') e, json_each(e.value) g WHERE json_type(part.body->'$.edges') = 'OBJECT'),
+    t AS (SELECT f, replace(lower(trim(a)), '_', '') AS a FROM nd), u AS (SELECT f, replace(lower(trim(s)), '_', '') AS s, replace(lower(trim(d)), '_', '') AS d FROM ed),
+    node AS (SELECT DISTINCT f, @a AS a FROM t), edge AS (SELECT DISTINCT f, @s AS s, @d AS d FROM u)""".replace("@a", _ADDRESS.format("a")).replace("@s", _ADDRESS.format("s")).replace("@d", _ADDRESS.format("d"))
+_SIGNED = "CASE WHEN {0} >= 9223372036854775808 THEN {0} - 18446744073709551616 ELSE {0} END::BIGINT"
+
 SQL = {
+    "p1_found": f"""WITH RECURSIVE {_PAYLOADS} SELECT DISTINCT raw_id, {_SIGNED.format("x")} AS func_addr, {_SIGNED.format("s")} AS src, {_SIGNED.format("d")} AS dst
+        FROM (SELECT f, raw_id, {_ADDRESS.format("fa")} AS x FROM nfn) JOIN edge USING (f) SEMI JOIN node a ON a.f = f AND a.a = s SEMI JOIN node b ON b.f = f AND b.a = d WHERE x IS NOT NULL""",
     "p1_disasm_functions": """
         SELECT record_id, idb_path, arch, fva, elapsed_time, coalesce(len(nodes), 0)::BIGINT AS n_nodes,
                coalesce(len(edges), 0)::BIGINT AS n_edges, coalesce(cardinality(basic_blocks), 0)::BIGINT AS n_blocks FROM acfg_disasm""",
