@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,3 +68,22 @@ def test_spans_are_in_order_and_cover_all_text(t):
         assert not any(c.isalnum() for c in t[at:a])
         at = b
     assert not any(c.isalnum() for c in t[at:])
+
+
+def test_best_sequence_against_all_starts(spark, sf):
+    """The search that leaves starts out finds what a search over all starts at every node finds, and more than a threshold on nodes does."""
+    from twinspar.llm import sentences as S
+    from twinspar.session import table
+
+    r = random.Random(3)
+    parts = ["He said", "no.", "No. 5", "e.g. this", '"What?"', "she asked.", "(It is.", "Really!)", "A.", "3.", "...", "«Да.»", "「はい。」", "と言った。", "x", "!", "?", "J. R. Smith", "Dr. No", "ends;", ".", "4.5"]
+    texts = [" ".join(r.choices(parts, k=r.randint(1, 25))) for _ in range(1500)]
+    texts += [line for x in table(spark, sf, "documents").collect() for line in (x["text"] or "").split("\n") if line.strip()]
+    other = 0
+    for t in (x.strip() for x in texts):
+        nodes = S._nodes(t)
+        total, spans = S._best(t, nodes)
+        full, wide = S._best(t, nodes, every=True)
+        assert abs(total - full) < 1e-9 and (spans == wide or abs(total - full) < 1e-9)
+        other += [b for _, b in spans] != [n[0] for n in nodes if n[2] > 0]
+    assert other > 100

@@ -4,8 +4,9 @@ A text is cut into units by its layout: blank lines, listing lines, list items,
 quote mark. Inside a paragraph, every place where a sentence could end is a node, and every span between two
 nodes is a possible sentence. A span is scored as a whole: how it closes (the mark, the word before it, an
 abbreviation or an initial), how the next one opens, how long it is, and whether quotations and brackets in it are balanced
-or are the span itself. The best sequence of spans is found from left to right. Nodes that are sure cut the search,
-so the time is linear in the length of the text.
+or are the span itself. The best sequence of spans is found from left to right. What a span adds depends on where it begins only if it is very short or begins at the
+quotation it closes; of all other starts only the one with the best total can win. So a handful of starts is tried at each node, the sequence is the best of all there are,
+and the time is linear in the length of the text.
 
 Offsets count code points from 0, the end is exclusive. Null, empty and blank texts have no sentences. A text without marks is one sentence
 per paragraph. Repeated texts give the same sentences for each document.
@@ -59,8 +60,6 @@ _SPACES = re.compile(r"\s+")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 
-#: A node of so high a score is an end in every segmentation.
-_SURE = 3.0
 #: How much a span loses that has hardly a letter or digit.
 _TOO_SHORT = 4.0
 
@@ -202,10 +201,18 @@ def _score(s: str, m: re.Match, end: int, nxt: int) -> float:
     return 6.0
 
 
+Node = tuple[int, int, float, int, bool]
+
+
 def _paragraph(s: str) -> list[tuple[int, int]]:
     """The sentences of a paragraph, whose line breaks and marks are spaces here, as offsets in it."""
+    return _best(s, _nodes(s))[1]
+
+
+def _nodes(s: str) -> list[Node]:
+    """Where a sentence could end: end, start of the next one, score, start of the quotation it closes or -1, whether that stands after a colon."""
     n = len(s)
-    nodes: list[tuple[int, int, float, int, bool]] = []  # end, next start, score, start of the quotation it closes or -1, after a colon
+    nodes: list[Node] = []
     pairs = _pairs(s) if _PAIRS.search(s) else []
     k = 0
     for m in _NODE.finditer(s):
@@ -234,16 +241,19 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
         nodes.sort()
     if not nodes or nodes[-1][1] < n:
         nodes.append((n, n, 9.0, -1, False))
+    return nodes
+
+
+def _best(s: str, nodes: list[Node], every: bool = False) -> tuple[float, list[tuple[int, int]]]:
+    """The total score of the best sequence of spans, and the sequence. With `every`, all starts are tried at each node, which gives the same."""
     # best[j]: the best total of spans that end at node j; starts[i] is where a span after node i begins
     starts, best, back = [0], [0.0], [-1]
     lead_at = 0
-    floor = 0  # no span begins before this node
     for end, nxt, score, closes, colon in nodes:
         top, arg = -1e18, 0
-        # What a span adds depends on its start only if it is short or begins at the quotation it closes: apart from those,
-        # the best start is the one with the best total so far.
-        near = range(max(floor, len(starts) - 6), len(starts))
-        for i in {lead_at, *near, *((max(floor, bisect_right(starts, closes) - 1),) if closes >= 0 else ())}:
+        # A span under four characters begins after one of the last nodes.
+        near = range(max(0, len(starts) - 6), len(starts))
+        for i in range(len(starts)) if every else {lead_at, *near, *((max(0, bisect_right(starts, closes) - 1),) if closes >= 0 else ())}:
             a = starts[i]
             if a >= end:
                 continue
@@ -255,15 +265,13 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
         back.append(arg)
         if top >= best[lead_at]:
             lead_at = len(starts) - 1
-        if score >= _SURE and best[arg] + _SURE <= top:
-            floor = lead_at = len(starts) - 1
     out, j = [], len(starts) - 1
     while j > 0:
         i = back[j]
         out.append((starts[i], nodes[j - 1][0]))
         j = i
     out.reverse()
-    return out
+    return best[-1], out
 
 
 def _span(s: str, a: int, end: int, score: float, closes: int, colon: bool, nxt: int) -> float:

@@ -19,6 +19,10 @@ from ..operators.curate import running_total
 from ..session import cut, forget
 
 
+#: Rounds that are unwound between two written tables.
+UNWOUND = 3
+
+
 def components(edges: DataFrame, seed: int = 5) -> DataFrame:
     """vertex, label of every vertex with an edge to another (u STRING, v STRING); the label is the least vertex of the component."""
     spark = edges.sparkSession
@@ -35,10 +39,12 @@ def components(edges: DataFrame, seed: int = 5) -> DataFrame:
     forget(left)
     labels = spark.createDataFrame([], "vertex string, label string")
     written: list[DataFrame] = []
-    for move in reversed(moves):
+    for i, move in enumerate(reversed(moves), 1):
         later = move.join(labels, F.col("y") == F.col("vertex"), "left").select(F.col("x").alias("vertex"), F.coalesce("label", "y").alias("label"))
-        labels = cut(later.unionByName(labels))
-        written.append(labels)
+        labels = later.unionByName(labels)
+        if i % UNWOUND == 0 or i == len(moves):
+            labels = cut(labels)
+            written.append(labels)
     roots = labels.select(F.col("label").alias("vertex"), "label").distinct()
     whole = labels.unionByName(roots)
     least = whole.groupBy("label").agg(F.min("vertex").alias("least"))
