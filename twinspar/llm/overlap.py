@@ -142,7 +142,7 @@ def overlapping_pairs(df: DataFrame, p: OverlapParams = OverlapParams()) -> Data
     shared = cut(rows.select("id", "train", "dk").join(on_both_sides(rows, "dk"), "dk"))
     equal = spread_join(shared.where("train").select("dk", F.col("id").alias("id_t")), shared.where("not train").select("dk", F.col("id").alias("id_h")), "dk")
     pairs = class_pairs(rows, p)
-    both = cut(pairs.join(side(rows, True, "t"), "cid_t").drop("cid_t"))
+    both = cut(spread_join(pairs, side(rows, True, "t").join(pairs.select("cid_t").distinct(), "cid_t"), "cid_t").drop("cid_t"))
     by_name = spread_join(both, side(rows, False, "h").join(pairs.select("cid_h").distinct(), "cid_h"), "cid_h").where(~F.equal_null("dk_t", "dk_h") | F.col("dk_t").isNull())
     return equal.select("id_t", "id_h", F.lit("digest").alias("by")).unionByName(by_name.select("id_t", "id_h", F.lit("name").alias("by")))
 

@@ -233,12 +233,15 @@ def similar_pairs(df: DataFrame, value: str, p: Bands) -> DataFrame:
     rows = prepare(df, value)
     groups = members(rows)
     near = cut(similar_classes(classes_of(rows, groups, value), value, p))
-    # Classes of one record need no membership: the record's id is the class's. Others are spread out.
     copies = cut(rows.select("id", "key").join(groups.where("n > 1").select("key", "cid"), "key").select("id", "cid"))
     one = lambda i: copies.select(F.col("id").alias(f"id_{i}"), F.col("cid").alias(f"cid_{i}"))
+    # The records of the classes that have links; a class of one record is that record, and is not looked up among the rows.
+    linked = near.select(F.col("cid_1").alias("cid")).union(near.select("cid_2")).distinct()
+    records = cut(copies.join(linked, "cid", "left_semi").unionByName(linked.join(copies, "cid", "left_anti").withColumn("id", F.col("cid"))))
     spread = near
     for i in (1, 2):
-        spread = spread.join(one(i), f"cid_{i}", "left").withColumn(f"id_{i}", F.coalesce(f"id_{i}", f"cid_{i}"))
+        spread = spread_join(spread, records.select(F.col("cid").alias(f"cid_{i}"), F.col("id").alias(f"id_{i}")), f"cid_{i}")
+        spread = cut(spread) if i == 1 else spread
     between = spread.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2"))
     within = spread_join(one(1).withColumnRenamed("cid_1", "cid"), one(2).withColumnRenamed("cid_2", "cid"), "cid").where("id_1 < id_2").select("id_1", "id_2")
     return between.unionByName(within)
