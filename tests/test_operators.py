@@ -66,6 +66,20 @@ def test_normal_form_golden(spark):
     assert column(spark, "string", given, T.normalised) == want
 
 
+def test_published_search(spark):
+    wanted, sources, targets = pairs.published_search(spark)
+    assert (wanted.count(), sources.count(), targets.count()) == (13, 4, 2)
+    firmware = pairs.SEARCHES["NETGEAR_R7000"][0]
+    rows = [(1, pairs.SOURCES[0], "CMS_decrypt", "h"), (2, pairs.SOURCES[1], "other", "x"), (3, firmware, "f", "h"), (4, firmware, "g", None), (4, firmware, "g", None), (5, "else", "CMS_decrypt", "h")]
+    f = spark.createDataFrame(rows, "func_id int, idb_path string, func_name string, digest string")
+    got = pairs.search_pairs(f, wanted, sources, targets, ["func_id", "digest"])
+    assert sorted((r["func_id_1"], r["func_id_2"]) for r in got.collect()) == [(1, 3), (1, 4)]
+    assert [r["func_id_2"] for r in pairs.equal_ends(got, "digest").collect()] == [3]
+    results = spark.createDataFrame([(1, 3, 0.5), (1, 3, 0.7)], "func_id_1 int, func_id_2 int, sim double")
+    assert {r["func_id_2"]: r["sim"] for r in pairs.with_results(got, results, ("func_id_1", "func_id_2")).collect()} == {3: 0.7, 4: None}
+    assert pairs.search_pairs(f.limit(0), wanted, sources, targets, ["func_id"]).count() == 0
+
+
 def test_losses(spark):
     row = spark.createDataFrame([(0.3, 1, -1, 0.9, -0.2, [1000.0, 999.0])], "d double, y int, z int, near double, far double, s array<double>")
     got = row.select(metrics.margin_pair_loss(F.col("d"), F.col("y")), metrics.margin_pair_loss(F.col("d"), F.col("z")), metrics.hamming_pair_loss(F.col("near"), F.col("y")), metrics.hamming_triplet_loss(F.col("near"), F.col("far")), metrics.softmax_loss(F.col("s"), F.lit(1))).first()

@@ -68,3 +68,8 @@ def strand_bucket(expression: Column, bits: int = 10) -> Column:
 def as_int8(count: Column) -> Column:
     """A count as an 8-bit signed number holds it, wrapping around."""
     return (F.pmod(count + 128, F.lit(256)) - 128).cast("smallint")
+
+
+def base64_text(data: Column) -> Column:
+    """Bytes as base64 on one line, as exports hold them; the inverse of `unbase64`."""
+    return F.regexp_replace(F.base64(data), r"\s", "")

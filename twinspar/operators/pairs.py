@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +30,15 @@ TASKS: dict[str, tuple[bool | None, ...]] = {
 }
 TASKS["XO"] = TASKS["opt"]
 RANGE = 1 << 16
+# The published search of vulnerable functions, as the functions looked for in each firmware, its binary, and the binaries the functions are taken from.
+SEARCHES = {
+    "NETGEAR_R7000": ("IDBs/Dataset-Vulnerability/libcrypto.so.1.0.0_NETGEAR_R7000_1.0.2h_arm32.i64", "BN_bn2dec CMS_decrypt MDC2_Update PKCS7_dataDecode"),
+    "TP-Link_Deco-M4": (
+        "IDBs/Dataset-Vulnerability/libcrypto.so.1.0.0_TP-Link_Deco-M4_1.0.2d_mips32.i64",
+        "BN_bn2dec BN_dec2bn BN_hex2bn CMS_decrypt EVP_EncodeUpdate EVP_EncryptUpdate PKCS7_dataDecode SRP_VBASE_get_by_user X509_NAME_oneline",
+    ),
+}
+SOURCES = [f"IDBs/Dataset-Vulnerability/libcrypto.so.1.0.0_openssl_1.0.2d_{m}.i64" for m in ("arm32", "mips32", "x64", "x86")]
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -185,6 +194,12 @@ def search_pairs(functions: DataFrame, wanted: DataFrame, sources: DataFrame, ta
     return joined.select(*(f"{c}_1" for c in columns), *(f"{c}_2" for c in columns), F.lit("XM").alias("db_type"))
 
 
+def published_search(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """wanted, sources and targets of the published search, for `search_pairs`."""
+    wanted = spark.createDataFrame([(t, f) for t, (_, names) in SEARCHES.items() for f in names.split()], "target string, func_name string")
+    return wanted, spark.createDataFrame([(x,) for x in SOURCES], "idb_path string"), spark.createDataFrame([(t, b) for t, (b, _) in SEARCHES.items()], "target string, idb_path string")
+
+
 def equal_ends(pairs: DataFrame, column: str) -> DataFrame:
     """Pairs whose ends have the same value, which a search for similar functions must not have; null equals nothing."""
     return pairs.where(F.col(f"{column}_1") == F.col(f"{column}_2"))

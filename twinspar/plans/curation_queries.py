@@ -7,11 +7,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import dataset_of, digest_of, split_of
+from ..functions.codec import base64_text, hex_text
+from ..functions.names import dataset_of, digest_of, hex_number, split_of
 from ..functions.paths import VARIABLES, machine, renamed, side_file, trace_machine
 from ..operators import curate as C
 from ..operators import pairs as P
-from ..session import cut, table
+from ..session import cut, scratch, table
 from ..sources import io
 
 
@@ -222,6 +223,39 @@ def path_helpers(spark: SparkSession, d: str) -> DataFrame:
                     renamed(F.col("idb_path"), [("IDBs/", "DBs/"), ("Dataset-", "D")]).alias("short"), F.endswith(F.col("idb_path"), F.lit(".i64")).alias("is_i64"))
 
 
+def selection_round(spark: SparkSession, d: str) -> DataFrame:
+    """The selected functions of each binary, written as JSON texts {binary: [addresses]} and read back."""
+    a = table(spark, d, "acfg_disasm").select("idb_path", hex_number(F.col("fva")).alias("address")).where("address is not null and idb_path is not null")
+    where = scratch(spark, "selection")
+    io.selection_json(a).write.text(where)
+    return io.read_selection(spark, where, lines=True)
+
+
+def words_round(spark: SparkSession, d: str) -> DataFrame:
+    """The mnemonics of opcodes_dict, written one per line and read back."""
+    where = scratch(spark, "words")
+    io.write_words(table(spark, d, "opcodes_dict").where("trim(mnem) <> ''"), where, "mnem")
+    return io.read_words(spark, where)
+
+
+def same_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that only one of acfg_disasm and fss_hashes has."""
+    h = table(spark, d, "fss_hashes").select(F.col("path").alias("idb_path"), F.col("address").alias("fva"))
+    return C.same_keys(table(spark, d, "acfg_disasm").select("idb_path", "fva"), h, ["idb_path", "fva"])
+
+
+def block_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of each block in hexadecimal, and encoded again."""
+    b = table(spark, d, "acfg_disasm").select("record_id", F.explode("basic_blocks").alias("block", "b")).select("record_id", "block", F.unbase64("b.b64_bytes").alias("data"))
+    return b.where("data is not null").select("record_id", "block", F.lower(F.hex("data")).alias("hex"), base64_text(F.col("data")).alias("b64"))
+
+
+def addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses as numbers and in their usual spelling."""
+    n = hex_number(F.col("fva"))
+    return table(spark, d, "flowchart").select("func_id", n.alias("number"), hex_text(n).alias("text"))
+
+
 _TASKS = {t: "pairs_pos_" + t.lower().replace("+", "_") for t in ("arch", "bit", "comp", "ver", "opt", "XA", "XA+XO", "XC", "XC+XB", "XM")}
 QUERIES = {
     "curate_min_blocks": min_blocks,
@@ -256,6 +290,11 @@ QUERIES = {
     "selection_total": selection,
     "previews": previews,
     "path_helpers": path_helpers,
+    "selection_round_trip": selection_round,
+    "words_round_trip": words_round,
+    "same_keys": same_keys,
+    "block_bytes": block_bytes,
+    "address_forms": addresses,
 }
 
 _FV = r"""
@@ -317,6 +356,13 @@ SQL = {
         LEFT JOIN one x ON x.path = a.idb_path AND x.address = a.fva LEFT JOIN one y ON y.path = b.idb_path AND y.address = b.fva""",
     "vuln_results_joined": f"WITH {_VULN}, {_SCORES} SELECT func_id_1, func_id_2, round(CASE WHEN x.n < y.n THEN x.n / y.n ELSE y.n / x.n END, 6) AS sim FROM vp LEFT JOIN one x ON x.path = p1 AND x.address = a1 LEFT JOIN one y ON y.path = p2 AND y.address = a2",
     "selection_total": "SELECT count(DISTINCT idb_path) AS binaries, count(*) AS functions FROM (SELECT DISTINCT idb_path, fva FROM acfg_disasm)",
+    "selection_round_trip": "SELECT DISTINCT idb_path, ('0x' || regexp_replace(lower(trim(fva)), '^0x', ''))::BIGINT AS address FROM acfg_disasm WHERE idb_path IS NOT NULL AND fva IS NOT NULL",
+    "words_round_trip": "SELECT trim(mnem) AS word FROM opcodes_dict WHERE trim(mnem) <> ''",
+    "same_keys": """WITH a AS (SELECT DISTINCT idb_path, fva FROM acfg_disasm), b AS (SELECT DISTINCT path AS idb_path, address AS fva FROM fss_hashes)
+        SELECT a.*, 'left' AS only_in FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.idb_path = a.idb_path AND b.fva = a.fva) UNION ALL SELECT b.*, 'right' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.idb_path = a.idb_path AND b.fva = a.fva)""",
+    "block_bytes": """SELECT record_id, e.key AS block, lower(hex(from_base64(e.value.b64_bytes))) AS hex, to_base64(from_base64(e.value.b64_bytes)) AS b64
+        FROM (SELECT record_id, unnest(map_entries(basic_blocks)) AS e FROM acfg_disasm) WHERE e.value.b64_bytes IS NOT NULL""",
+    "address_forms": "SELECT func_id, n AS number, '0x' || lower(printf('%x', n)) AS text FROM (SELECT func_id, ('0x' || regexp_replace(lower(trim(fva)), '^0x', ''))::BIGINT AS n FROM flowchart)",
     "previews": 'SELECT func_id, func_name, CASE WHEN x <= 5 THEN \'head\' ELSE \'tail\' END AS "end" FROM (SELECT func_id, func_name, row_number() OVER (ORDER BY func_id) AS x, row_number() OVER (ORDER BY func_id DESC) AS y FROM flowchart) WHERE x <= 5 OR y <= 5',
     "path_helpers": r"""SELECT record_id, 'out/' || regexp_replace(string_split(replace(trim(idb_path), '\', '/'), '/')[-1], '\.(i64|idb)$', '') || '_acfg.pkl' AS side, lower(arch) AS machine,
         CASE WHEN arch = 'x86-64' THEN 'x64' ELSE string_split(arch, '-')[1] END AS trace, replace(replace(idb_path, 'IDBs/', 'DBs/'), 'Dataset-', 'D') AS short, idb_path LIKE '%.i64' AS is_i64 FROM acfg_disasm""",

@@ -71,6 +71,24 @@ def auc_by_task(spark: SparkSession, d: str) -> DataFrame:
     return M.auc(labelled(spark, d), ["task"]).withColumn("auc", F.round("auc", 6))
 
 
+def losses(spark: SparkSession, d: str) -> DataFrame:
+    """Mean losses of the ranked positives and negatives by label: margin and signs of pairs, squared difference, and cross-entropy of (sim, -sim)."""
+    y = F.col("label")
+    l = labelled(spark, d).withColumn("label", F.col("label") * 2 - 1)
+    one = V.zero_one(y)
+    r = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return l.groupBy("task").agg(
+        r(M.margin_pair_loss(1 - F.col("sim"), y), "margin"), r(M.hamming_pair_loss(F.col("sim"), y), "signs"), F.round(M.pair_loss(F.col("sim"), y), 6).alias("squares"),
+        r(M.softmax_loss(F.array(-F.col("sim"), F.col("sim")), one.cast("int")), "softmax"),
+    )
+
+
+def best_task(spark: SparkSession, d: str) -> DataFrame:
+    """The label with the greatest area, of even and of odd ones."""
+    a = M.auc(labelled(spark, d), ["task"]).withColumn("group", F.pmod("task", F.lit(2)))
+    return M.best_by(a.withColumn("auc", F.round("auc", 6)), ["group"], "task", "auc")
+
+
 def auc_binned(spark: SparkSession, d: str) -> DataFrame:
     return M.binned_auc(labelled(spark, d), ["task"]).withColumn("auc", F.round("auc", 6))
 
@@ -195,6 +213,8 @@ QUERIES = {
     "auc_exact": auc_exact,
     "auc_by_task": auc_by_task,
     "auc_binned": auc_binned,
+    "pair_losses": losses,
+    "best_task": best_task,
     **{k: partial(pairwise, m) for k, m in _MEASURES.items()},
     "pairwise_block": pairwise_block,
     "segment_aggregates": segments,
@@ -238,6 +258,9 @@ SQL = {
     "auc_by_task": f"WITH {_SCORED}, {_LAB}, " + _AUC.format(p="PARTITION BY task", q="task,", s="task,", g="GROUP BY task"),
     "auc_binned": f"""WITH {_SCORED}, {_LAB}, ends AS (SELECT task, min(sim) AS lo, max(sim) AS hi FROM lab GROUP BY task), b AS (SELECT task, floor((sim - lo + 1e-8) / (hi - lo + 1e-8) * 199)::INT AS bin, sum(y) AS p, sum(1 - y) AS n FROM lab JOIN ends USING (task) GROUP BY ALL),
         c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY task ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT task, round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM c GROUP BY task""",
+    "pair_losses": f"""WITH {_SCORED}, {_LAB}, s AS (SELECT task, sim, 2 * y - 1 AS y FROM lab) SELECT task, round(avg(greatest(0, 1 - y * sim)), 6) AS margin, round(avg((y - sim) ** 2 / 4), 6) AS signs, round(avg((sim - y) ** 2), 6) AS squares,
+        round(avg(ln(exp(sim) + exp(-sim)) - y * sim), 6) AS softmax FROM s GROUP BY task""",
+    "best_task": f"WITH {_SCORED}, {_LAB}, a AS (" + _AUC.format(p="PARTITION BY task", q="task,", s="task,", g="GROUP BY task").replace("r AS (SELECT", "SELECT * FROM (WITH r AS (SELECT", 1) + ")) SELECT (task % 2)::INT AS \"group\", task, auc FROM a QUALIFY row_number() OVER (PARTITION BY task % 2 ORDER BY auc DESC, task) = 1",
     "cosine_pairs": f"{_NB} SELECT a, b, round({_COS.format('va', 'vb')}, 6) AS sim FROM n",
     "dot_pairs": f"{_NB} SELECT a, b, round(list_dot_product(va, vb), 6) AS sim FROM n",
     "euclid_sim": f"{_NB} SELECT a, b, round(-{_SQUARES.format('va', 'vb')}, 6) AS sim FROM n",

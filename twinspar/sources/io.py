@@ -39,9 +39,9 @@ def read_functions_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.sql("SELECT idb_path, try_variant_get(v, '$.arch', 'string') AS arch, f.key AS fva, f.value AS function FROM __json_binaries, LATERAL variant_explode(v) f WHERE f.key <> 'arch'")
 
 
-def read_selection(spark: SparkSession, path: str) -> DataFrame:
-    """idb_path, address of a JSON file {binary: [addresses]}."""
-    spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<bigint>>").alias("m")).createOrReplaceTempView("__selection")
+def read_selection(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """idb_path, address of JSON files {binary: [addresses]}; with `lines`, of files with such an object on each line, as `selection_json` gives them."""
+    spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,array<bigint>>").alias("m")).createOrReplaceTempView("__selection")
     return spark.sql("SELECT idb_path, explode(addresses) AS address FROM (SELECT explode(m) AS (idb_path, addresses) FROM __selection)")
 
 
